@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from terraloc.llm import simhash
+from terraloc.llm import packing, simhash, suffixes, toxicity
 
 QUERIES = {
+    "op2_suffix_dedup": suffixes.op2_suffix_dedup,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op7_simhash": simhash.op7_simhash,
+    "op10_packing": packing.op10_packing,
 }
 SQL: dict[str, str] = {}

@@ -10,7 +10,8 @@ Fingerprints are compared once per distinct value. An anchor that more than GROU
 blocks, and each pair of blocks is a task of its own. A group gives a spanning forest, never its pairs.
 
 Defined cases: null texts are empty; texts without words have fingerprint 0 and link like any other; equal texts have
-equal fingerprints; an empty table gives an empty result; columns other than doc_id and text aren't read.
+equal fingerprints; an empty table gives an empty result; rows without a
+doc_id have no result, and near_dedup keeps them; columns other than doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ def _fingerprints(batches):
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the fingerprint's bits as a signed long)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
 def _remainders(bits: int, shift: int) -> np.ndarray:
