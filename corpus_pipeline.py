@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from terraloc.llm.common import save, tune
+from terraloc.llm.packing import pack
 from terraloc.llm.simhash import near_dedup
+from terraloc.llm.suffixes import dedup
+from terraloc.llm.toxicity import filter_toxic, train
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the noisy-or model scores as toxic go. The labels of held-out documents aren't learnt."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return filter_toxic(docs, train(docs, labels))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,8 +22,21 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return near_dedup(docs)
 
 
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 50 bytes that a document with a smaller doc_id has too are cut out."""
+    return dedup(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and the sequences that they are packed into."""
+    return pack(docs)
+
+
 STAGES = [
+    ("toxicity", toxicity_stage),
     ("simhash_near_dedup", simhash_stage),
+    ("suffix_array_dedup", suffix_stage),
+    ("packing", packing_stage),
 ]
 #: SQL has neither the trained scores nor the fingerprints of these stages.
 ORACLE_SQL = None
