@@ -225,6 +225,12 @@ def widen(x: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _sorted(t: pa.Table) -> pa.Table:
+    """A group's rows by doc_id and text: shuffles deliver them in any order, and each round must cut the same chunks."""
+    texts, ids = _rows(t)
+    return t.take(pa.array(sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))))
+
+
 def _rows(t: pa.Table) -> tuple[list[bytes], np.ndarray]:
     """Texts as UTF-8 and doc_ids of the column `row`."""
     row = t.column("row").combine_chunks()
@@ -325,7 +331,7 @@ def _by_bucket(h: np.ndarray, buckets: int):
 
 def _send(buckets: int):
     def run(key, left, right):
-        texts, ids = _rows(left)
+        texts, ids = _rows(_sorted(left))
         out = []
         for part, (c, starts, lengths, rows, h, _) in enumerate(_candidates(texts, right)):
             m = c.matrix(starts, lengths)
@@ -427,6 +433,7 @@ def _marked(docs: DataFrame, finish, schema: str) -> DataFrame:
     solved = sent.groupBy("bucket").applyInArrow(_solve, "g int, kind int, bucket int, a binary, b binary")
 
     def run(key, left, right):
+        left = _sorted(left)
         texts, ids = _rows(left)
         return finish(left, texts, ids, _spans(texts, ids, right, buckets))
 
