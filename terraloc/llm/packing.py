@@ -16,6 +16,7 @@ an empty table gives no rows; columns other than doc_id and text aren't read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import Counter
 
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terraloc.llm.common import save, table
+from terraloc.llm.common import by_size, save, table
 
 SEQUENCE = 2048
 END = 1
@@ -34,8 +35,18 @@ CACHED_WORDS = 400_000
 #: The word pattern that the vocabulary file states.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Beyond these, composition, lower case or white space may differ between the libraries.
-UNUSUAL = regex.compile(r"[^\t-\r\x20-\x7e\xa0-įı-ɏ‐-‧€]")
-SPECIAL = regex.compile(r"<\|(?:start|end)oftext\|>")
+USUAL = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xA0, 0x100)])
+UNUSUAL = re.compile(r"[^\t-\r\x20-\x7e\xa0-įı-ɏ‐-‧€]")
+
+
+def usual(text: str) -> bool:
+    """Whether all characters are of the plain range, and none belongs to a special token."""
+    if "<|" in text:
+        return False
+    try:
+        return not text.encode("latin-1").translate(None, USUAL)
+    except UnicodeEncodeError:
+        return not UNUSUAL.search(text)
 
 
 def default_vocabulary() -> str:
@@ -54,22 +65,40 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.final[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}  # by the pattern's words
+        self.tokens: dict[str, bytes] = {}  # by what stands between white space
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        if UNUSUAL.search(text) or SPECIAL.search(text):
-            return self.whole(text)
-        words = WORD.findall(text.lower())
-        known = self.words
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        if new := list({w for w in words if w not in known}):
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+    def learn(self, tokens: set[str]) -> None:
+        parts = [WORD.findall(t) for t in tokens]
+        if len(self.words) > CACHED_WORDS:
+            self.words.clear()
+        new = list({w for p in parts for w in p}.difference(self.words))
+        for k in range(0, len(new), 4096):
+            some = new[k : k + 4096]
+            # One text of many words: each word ends in a token that the vocabulary marks as a word's end.
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.nonzero(self.final[ids])[0] + 1
+            cut = [x.tobytes() for x in np.split(ids, ends[:-1])] if len(ends) == len(some) else [self.whole(w) for w in some]
+            self.words.update(zip(some, cut, strict=True))
+        get = self.words.__getitem__
+        self.tokens.update(zip(tokens, (b"".join(map(get, p)) for p in parts), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """No word of the pattern spans white space, so ids are kept by what stands between it."""
+        cut = [t.lower().split() if usual(t) else None for t in texts]
+        new = set().union(*(c for c in cut if c)).difference(self.tokens)
+        if len(self.tokens) + len(new) > CACHED_WORDS:
+            self.tokens.clear()
+            new = set().union(*(c for c in cut if c))
+        self.learn(new)
+        get = self.tokens.__getitem__
+        return [self.whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, place long"
@@ -84,8 +113,8 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUE
         encoder, seen, part = Encoder(path), Counter(), TaskContext.get().partitionId()
         for b in batches:
             out = []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text or "") + end
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for i, ids in zip(b.column(0).to_pylist(), (x + end for some in by_size(texts) for x in encoder.encode(some)), strict=True):
                 n = len(ids) // 4
                 for a in range(0, n, sequence):
                     cut = ids[4 * a : 4 * (a + sequence)]

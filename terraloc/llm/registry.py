@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from terraloc.llm import packing, simhash, suffixes, toxicity
+from terraloc.llm import bpe, packing, simhash, suffixes, token_counts, toxicity
 
 QUERIES = {
     "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_token_counts": token_counts.op5_token_counts,
+    "op6_bpe": bpe.op6_bpe,
     "op7_simhash": simhash.op7_simhash,
     "op10_packing": packing.op10_packing,
 }
