@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from terraloc.llm import bpe, packing, simhash, suffixes, token_counts, toxicity
+from terraloc.llm import bpe, knn, media, packing, simhash, suffixes, token_counts, toxicity, urls, warc
 
 QUERIES = {
+    "op1_knn": knn.op1_knn,
     "op2_suffix_dedup": suffixes.op2_suffix_dedup,
+    "op3_url_filter": urls.op3_url_filter,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_bpe": bpe.op6_bpe,
     "op7_simhash": simhash.op7_simhash,
+    "op8_media": media.op8_media,
+    "op9_warc": warc.op9_warc,
     "op10_packing": packing.op10_packing,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_knn": knn.OP1_SQL}
