@@ -81,7 +81,8 @@ def templates(pages: DataFrame) -> DataFrame:
         kept = own.join(parent, ["host", "node"]).filter((F.col("own") >= LEAST) & (F.col("own") >= KEEP * F.col("all"))).select("host", "node", "segment", F.lit(True).alias("literal"))
         tree = tree.join(kept, ["host", "node", "segment"], "left")
         step = F.when(F.col("segment").isNull(), F.lit("")).when(F.col("literal"), F.concat(F.lit("/"), F.col("segment"))).otherwise("/*")
-        tree = tree.withColumn("node", F.concat("node", step)).drop("segment", "literal")
+        # Each level is a table of its own: three uses of a level would make the plan 3 ** DEPTH times as large.
+        tree = save(tree.withColumn("node", F.concat("node", step)).drop("segment", "literal"), "level")
     leaf = tree.groupBy("host", F.col("node").alias("template")).agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     parent = F.regexp_replace("template", r"/[^/]*$", "")
     known = leaf.filter("labelled > 0").withColumn("parent", parent).withColumn("p", F.col("blocked") / F.col("labelled"))
