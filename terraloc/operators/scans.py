@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from terraloc.functions.geometry import azimuth, planar_range
 
-BY_FRAME = Window.partitionBy("frame_id").orderBy("pt")
+def by_frame():
+    return Window.partitionBy("frame_id").orderBy("pt")
 
 
 def ring_runs(cloud: DataFrame) -> DataFrame:
     """ring: grows where the signed azimuth turns from at most 0 to over 0; starts at 0 or, if the first isn't positive, at -1."""
     up = F.atan2("y", "x") > 0
-    turned = F.when(up & ~F.coalesce(F.lag(up).over(BY_FRAME), ~up), 1).otherwise(0)
-    return cloud.withColumn("turn", turned).withColumn("ring", (F.sum("turn").over(BY_FRAME.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int")).drop("turn")
+    turned = F.when(up & ~F.coalesce(F.lag(up).over(by_frame()), ~up), 1).otherwise(0)
+    return cloud.withColumn("turn", turned).withColumn("ring", (F.sum("turn").over(by_frame().rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int")).drop("turn")
 
 
 def depth(cloud: DataFrame) -> DataFrame:
@@ -24,7 +25,7 @@ def depth(cloud: DataFrame) -> DataFrame:
 def curvature(cloud: DataFrame, reach: int = 5) -> DataFrame:
     """Square of the sum of ranges around a point less its own; null within `reach` of a frame's ends."""
     d = depth(cloud)
-    near = BY_FRAME.rowsBetween(-reach, reach)
+    near = by_frame().rowsBetween(-reach, reach)
     total = F.sum("r").over(near) - (2 * reach + 1) * F.col("r")
     return d.withColumn("curvature", F.when(F.count("*").over(near) == 2 * reach + 1, total * total))
 
@@ -32,10 +33,10 @@ def curvature(cloud: DataFrame, reach: int = 5) -> DataFrame:
 def occlusion(cloud: DataFrame, jump: float = 0.3, beam: float = 0.02) -> DataFrame:
     """masked: 1 beside a jump of depth (on its far side) or on a surface along the beam."""
     d = depth(cloud)
-    ahead, behind = F.lead("r").over(BY_FRAME), F.lag("r").over(BY_FRAME)
+    ahead, behind = F.lead("r").over(by_frame()), F.lag("r").over(by_frame())
     d = d.withColumn("left", F.when(F.col("r") - ahead > jump, 1).otherwise(0)).withColumn("right", F.when(ahead - F.col("r") > jump, 1).otherwise(0))
     along = (F.abs(behind - F.col("r")) > beam * F.col("r")) & (F.abs(ahead - F.col("r")) > beam * F.col("r"))
-    marks = [F.coalesce(F.max("left").over(BY_FRAME.rowsBetween(0, 5)), F.lit(0)), F.coalesce(F.max("right").over(BY_FRAME.rowsBetween(-6, -1)), F.lit(0)), F.when(along, 1).otherwise(0)]
+    marks = [F.coalesce(F.max("left").over(by_frame().rowsBetween(0, 5)), F.lit(0)), F.coalesce(F.max("right").over(by_frame().rowsBetween(-6, -1)), F.lit(0)), F.when(along, 1).otherwise(0)]
     return d.withColumn("masked", F.greatest(*marks).cast("int"))
 
 
