@@ -43,11 +43,16 @@ def knn(queries: DataFrame, entries: DataFrame, k: int = 10, metric: str = "l2")
     return pairs.withColumn("rk", rank).filter(F.col("rk") <= k)
 
 
-def align(a: np.ndarray, b: np.ndarray, around: int = 3) -> tuple[int, float]:
-    """Shift and distance of two RINGS x SECTORS matrices: the best shift by sector keys, then the best mean column cosine within `around` of it; first wins. NaN without comparable columns."""
+def coarse_shift(a: np.ndarray, b: np.ndarray) -> int:
+    """Columns that b is turned right by to be nearest to a by sector keys; first wins."""
     ka, kb = a.sum(0) / RINGS, b.sum(0) / RINGS
     turned = np.stack([np.roll(kb, s) for s in range(SECTORS)])
-    coarse = int(np.argmin(np.round(np.sqrt(((ka - turned) ** 2).sum(1)), 9)))
+    return int(np.argmin(np.round(np.sqrt(((ka - turned) ** 2).sum(1)), 9)))
+
+
+def align(a: np.ndarray, b: np.ndarray, around: int = 3) -> tuple[int, float]:
+    """Shift and distance of two RINGS x SECTORS matrices: the best shift by sector keys, then the best mean column cosine within `around` of it; first wins. NaN without comparable columns."""
+    coarse = coarse_shift(a, b)
     found = []
     for s in sorted((coarse + t) % SECTORS for t in range(-around, around + 1)):
         r = np.roll(b, s, 1)
@@ -75,8 +80,23 @@ def rerank(pairs: DataFrame, matrices: DataFrame) -> DataFrame:
             got = [align(x, y) for x, y in zip(a, m, strict=True)]
             yield pa.record_batch([b.column("q"), b.column("c"), pa.array([d for _, d in got], pa.float64()), pa.array([s for s, _ in got], pa.int32())], names=["q", "c", "dist", "shift"])
 
+    return _with_matrices(pairs, matrices).mapInArrow(run, "q long, c long, dist double, shift int")
+
+
+def coarse(pairs: DataFrame, matrices: DataFrame) -> DataFrame:
+    """pairs: q, c. q, c, s0: the shift by sector keys alone."""
+
+    def run(batches):
+        for b in batches:
+            a, m = (_dense(b.column(x)) for x in ("ma", "mb"))
+            yield pa.record_batch([b.column("q"), b.column("c"), pa.array([coarse_shift(x, y) for x, y in zip(a, m, strict=True)], pa.int32())], names=["q", "c", "s0"])
+
+    return _with_matrices(pairs, matrices).mapInArrow(run, "q long, c long, s0 int")
+
+
+def _with_matrices(pairs: DataFrame, matrices: DataFrame) -> DataFrame:
     left, right = (matrices.select(F.col("frame_id").alias(i), F.col("m").alias(m)) for i, m in (("q", "ma"), ("c", "mb")))
-    return pairs.select("q", "c").join(left, "q").join(right, "c").select("q", "c", "ma", "mb").mapInArrow(run, "q long, c long, dist double, shift int")
+    return pairs.select("q", "c").join(left, "q").join(right, "c").select("q", "c", "ma", "mb")
 
 
 def top(scored: DataFrame, n: int) -> DataFrame:

@@ -77,3 +77,27 @@ def interpolate(trace: DataFrame, times: DataFrame, columns: tuple[str, ...] = P
     gap = F.nullif(F.col("p1.t") - F.col("p0.t"), F.lit(0))
     share = F.coalesce((F.col("t") - F.col("p0.t")) / gap, F.lit(0.0))
     return found.filter("p0 is not null and p1 is not null").select("id", "t", *((F.col(f"p0.{c}") * (1 - share) + F.col(f"p1.{c}") * share).alias(c) for c in columns))
+
+
+def scan_rings(cloud: DataFrame) -> DataFrame:
+    """ring: a ring ends at the first positive azimuth after a negative one in it."""
+    turn = F.signum(F.atan2("y", "x"))
+    before = F.last(F.nullif(turn, F.lit(0.0)), True).over(by_frame().rowsBetween(Window.unboundedPreceding, -1))
+    marked = cloud.withColumn("new", F.when((turn > 0) & (before < 0), 1).otherwise(0))
+    return marked.withColumn("ring", F.sum("new").over(by_frame().rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("new")
+
+
+def ring_sections(cloud: DataFrame, sections: int = 6) -> DataFrame:
+    """section: which of the equal parts of its ring a point is in, cut at floor(n * j / sections)."""
+    ring = Window.partitionBy("frame_id", "ring")
+    at, n = F.row_number().over(ring.orderBy("pt")) - 1, F.count("*").over(ring)
+    return cloud.withColumn("section", F.floor((sections * (at + 1) - 1) / n).cast("int"))
+
+
+def ordinal(frames: DataFrame, key: str, bucket: int = 65_536) -> DataFrame:
+    """ord: place of each row by an integer key, from 0; equal keys share none. Counts by bucket of keys, so that no task sorts all rows."""
+    cut = frames.withColumn("_b", F.floor(F.col(key) / bucket))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
+    own = F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1
+    return cut.withColumn("_o", own).join(starts, "_b").withColumn("ord", F.col("_s") + F.col("_o")).drop("_b", "_n", "_s", "_o")

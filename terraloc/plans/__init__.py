@@ -1 +1,5 @@
-"""The plans of the place recognition engine."""
+"""Queries over the driver's tables."""
+
+from terraloc.plans import localization, queries
+
+__all__ = ["localization", "queries"]

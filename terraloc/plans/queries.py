@@ -290,8 +290,7 @@ def anchor_window(spark, sf_dir):
     """Eight map frames around position frame_id / 2 of the map, clamped to its ends; joined by exploded positions."""
     f = fx.poses(spark, sf_dir).select("frame_id", "x", "y", "z")
     entries = f.filter("frame_id % 2 = 1")
-    # Positions over distinct frames only; one frame stands for a whole cloud.
-    ordered = entries.selectExpr("*", "row_number() OVER (ORDER BY frame_id) - 1 AS ord")
+    ordered = scans.ordinal(entries, "frame_id")
     n = F.broadcast(entries.agg(F.count("*").alias("n")))
     start = F.greatest(F.least(F.floor(F.col("frame_id") / 2) - 4, F.col("n") - 8), F.lit(0))
     wanted = fx.frames(spark, sf_dir).filter("frame_id % 2 = 0").crossJoin(n).select(F.col("frame_id").alias("q"), F.explode(F.sequence(start, start + 7)).alias("ord"))

@@ -20,7 +20,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, con, name):
     got, want = QUERIES[name](spark, SF).toPandas(), con.sql(SQL[name]).df()
     cols = sorted(got.columns)
@@ -40,3 +40,7 @@ def test_align_finds_planted_shift():
 
 def test_align_without_points():
     assert np.isnan(align(np.zeros((20, 60)), np.zeros((20, 60)))[1])
+
+
+def test_every_query_counts():
+    assert set(SQL) < set(QUERIES) and set(QUERIES) - set(SQL) == {"multilateration", "fresco_descriptor", "loam_features", "registration_loam", "registration_ndt", "localize"}
