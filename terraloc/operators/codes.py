@@ -77,12 +77,17 @@ def least_l1(a: np.ndarray, b: np.ndarray, shifts) -> tuple[float, int]:
     return min((round(float(np.abs(np.roll(a, s, -1) - b).sum()), 9), i, s) for i, s in enumerate(shifts))[::2]
 
 
-def compare_codes(pairs: DataFrame, codes: DataFrame, rows: int, columns: int, around: int = 2, opposite: str = "as_is") -> DataFrame:
+def compare_codes(pairs: DataFrame, codes: DataFrame, rows: int, columns: int, around: int = 2, opposite: str = "as_is", shift: str = "none") -> DataFrame:
     """q, c, dist, shift for pairs (q, c): Hamming distance of packed codes (frame_id, t, m) for `around` columns about a start.
 
-    The start is 0 (opposite "as_is"), half a turn ("opposite"), or the better of both ("both"). With column s0 in
-    pairs, the start is that estimate instead of 0.
+    The start is 0, or with shift "spectral" the codes' phase correlation; "opposite" adds half a turn to it, and
+    "both" takes the better of the two.
     """
+    return compare_joined(_both(pairs.select("q", "c"), codes, ("t", "m")), rows, columns, around, opposite, shift)
+
+
+def compare_joined(wide: DataFrame, rows: int, columns: int, around: int = 2, opposite: str = "as_is", shift: str = "none") -> DataFrame:
+    """As compare_codes, for rows that hold both codes: q, c, ta, ma, tb, mb."""
     half = {"as_is": [0], "opposite": [columns // 2], "both": [0, columns // 2]}[opposite]
 
     def bits(x):
@@ -91,17 +96,18 @@ def compare_codes(pairs: DataFrame, codes: DataFrame, rows: int, columns: int, a
     def run(batches):
         for b in batches:
             got = []
-            for s0, *parts in zip(*(b.column(c).to_pylist() for c in ("s0", "ta", "ma", "tb", "mb")), strict=True):
+            for parts in zip(*(b.column(c).to_pylist() for c in ("ta", "ma", "tb", "mb")), strict=True):
                 if None in parts:
                     got.append((None, None))
                     continue
                 ta, ma, tb, mb = map(bits, parts)
-                tried = [hamming((ta, ma), (tb, mb), [(s0 + h + k) for k in range(-around, around + 1)]) for h in half]
+                # b's turn onto a is a's turn onto b backwards.
+                s0 = -spectral_shift(ta & ~ma, tb & ~mb) % columns if shift == "spectral" else 0
+                tried = [hamming((ta, ma), (tb, mb), [s0 + h + k for k in range(-around, around + 1)]) for h in half]
                 got.append(min(tried, key=lambda t: (t[0] != t[0], t[0])))
             yield pa.record_batch([b.column("q"), b.column("c"), pa.array([d for d, _ in got], pa.float64()), pa.array([s for _, s in got], pa.int32())], names=["q", "c", "dist", "shift"])
 
-    start = F.col("s0") if "s0" in pairs.columns else F.lit(0)
-    return _both(pairs.select("q", "c", start.cast("int").alias("s0")), codes, ("t", "m")).mapInArrow(run, "q long, c long, dist double, shift int")
+    return wide.select("q", "c", "ta", "ma", "tb", "mb").mapInArrow(run, "q long, c long, dist double, shift int")
 
 
 def compare_images(pairs: DataFrame, images: DataFrame, rows: int, columns: int, shifts: int) -> DataFrame:

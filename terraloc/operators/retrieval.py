@@ -71,13 +71,13 @@ def _dense(cells: pa.ListArray) -> np.ndarray:
     return out.reshape(-1, RINGS, SECTORS)
 
 
-def rerank(pairs: DataFrame, matrices: DataFrame) -> DataFrame:
+def rerank(pairs: DataFrame, matrices: DataFrame, around: int = 3) -> DataFrame:
     """pairs: q, c. q, c, dist, shift after alignment."""
 
     def run(batches):
         for b in batches:
             a, m = (_dense(b.column(x)) for x in ("ma", "mb"))
-            got = [align(x, y) for x, y in zip(a, m, strict=True)]
+            got = [align(x, y, around) for x, y in zip(a, m, strict=True)]
             yield pa.record_batch([b.column("q"), b.column("c"), pa.array([d for _, d in got], pa.float64()), pa.array([s for s, _ in got], pa.int32())], names=["q", "c", "dist", "shift"])
 
     return _with_matrices(pairs, matrices).mapInArrow(run, "q long, c long, dist double, shift int")
