@@ -51,12 +51,31 @@ def encode(images: DataFrame, rows: int, columns: int, **options) -> DataFrame:
     return images.select("frame_id", "v").mapInArrow(run, "frame_id long, t binary, m binary")
 
 
+def encode_cells(cells: DataFrame, rows: int, columns: int, **options) -> DataFrame:
+    """frame_id, t, m as encode, from long cells (frame_id, r, c, v) whose empty ones are 0; images grow dense in the task alone."""
+
+    def run(batches):
+        for b in batches:
+            t, m = [], []
+            for p in b.column(1):
+                image = np.zeros(rows * columns)
+                image[p.values.field("at").to_numpy()] = p.values.field("v").to_numpy()
+                bits, mask = sign_code(image.reshape(rows, columns), **options)
+                t.append(np.packbits(bits).tobytes()), m.append(np.packbits(mask).tobytes())
+            yield pa.record_batch([b.column(0), pa.array(t, pa.binary()), pa.array(m, pa.binary())], names=["frame_id", "t", "m"])
+
+    at = (F.col("r") * columns + F.col("c")).cast("long").alias("at")
+    packed = cells.groupBy("frame_id").agg(F.collect_list(F.struct(at, F.col("v").cast("double").alias("v"))).alias("p"))
+    return packed.mapInArrow(run, "frame_id long, t binary, m binary")
+
+
 def spectral_shift(a: np.ndarray, b: np.ndarray) -> int:
-    """Columns that b turns right by to lie on a: peak of the rows' summed phase correlation."""
-    cross = np.fft.fft(a, axis=-1) * np.conj(np.fft.fft(b, axis=-1))
+    """Columns that b turns right by to lie on a: peak of the rows' summed phase correlation. One inverse transform, as the sum comes first."""
+    cross = np.fft.rfft(a.astype(np.float32), axis=-1) * np.conj(np.fft.rfft(b.astype(np.float32), axis=-1))
     size = np.abs(cross)
-    whitened = np.where(size > 1e-12, cross / np.where(size > 1e-12, size, 1), 0)
-    return int(np.argmax(np.round(np.fft.ifft(whitened, axis=-1).real.sum(0), 9)))
+    seen = size > 1e-4
+    whitened = np.where(seen, cross / np.where(seen, size, 1), 0).sum(0, dtype=complex)
+    return int(np.argmax(np.round(np.fft.irfft(whitened, a.shape[-1]), 4)))
 
 
 def hamming(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], shifts) -> tuple[float, int]:

@@ -121,11 +121,8 @@ class Mdfsc(DescriptorModule):
 
     def describe(self, points):
         cells = self.image(points)
-        at = (F.col("r") * 360 + F.col("c")).alias("at")
-        packed = cells.groupBy("frame_id").agg(F.map_from_entries(F.collect_list(F.struct(at, F.col("v").cast("double")))).alias("m"), *(F.sum(F.when(F.col("r") == r, F.col("v")).otherwise(0)).cast("double").alias(f"k{r}") for r in range(80)))
-        image = F.transform(F.sequence(F.lit(0), F.lit(80 * 360 - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-        coded = codes.encode(packed.select("frame_id", image.alias("v")), 80, 360)
-        return coded.join(packed.select("frame_id", F.array(*(f"k{r}" for r in range(80))).alias("k")), "frame_id")
+        keys = cells.groupBy("frame_id").agg(F.array(*(F.sum(F.when(F.col("r") == r, F.col("v")).otherwise(0)).cast("double") for r in range(80))).alias("k"))
+        return codes.encode_cells(cells, 80, 360).join(keys, "frame_id")
 
     def keys(self, described):
         return described.select("frame_id", "k")
@@ -144,7 +141,10 @@ class Iris(Mdfsc):
 
     def search(self, queries, index, n):
         """Each query against all of the index; the exhaustive search is the method, in blocks of codes."""
-        sides = [d.select(F.col("frame_id").alias(i), F.col("t").alias(f"t{s}"), F.col("m").alias(f"m{s}")) for d, i, s in ((queries, "q", "a"), (index, "c", "b"))]
+        sides = []
+        for d, i, s in ((queries, "q", "a"), (index, "c", "b")):
+            parts = max(1, min(64, d.count() // 16))
+            sides.append(d.select(F.col("frame_id").alias(i), F.col("t").alias(f"t{s}"), F.col("m").alias(f"m{s}")).repartition(parts, i))
         scored = codes.compare_joined(sides[0].crossJoin(sides[1]), self.bits, 360, shift="spectral").filter("dist is not null and not isnan(dist)")
         return retrieval.top(scored, n).select("q", "c", "dist", self.yaw(), "rk")
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraloc.functions import geometry as g
-from terraloc.operators import codes, descriptors, features, images, multilateration, registration, retrieval, scans
+from terraloc.operators import codes, descriptors, features, images, modules, multilateration, registration, retrieval, scans
 from terraloc.plans import fixtures as fx
-from terraloc.plans.queries import AZ, QUERIES, RANGE, SHIFTS, R, _embedding_sql, _neighbours, query, rounded
+from terraloc.plans.queries import AZ, QUERIES, RANGE, SHIFTS, R, _embedding_sql, SQL, _neighbours, query, rounded
 
 SC_SUMS = SHIFTS[: SHIFTS.index("rk AS (")].rstrip().rstrip(",")
 OFFSETS = (1, 3, 5, 7, 9, 11, 13, 15)
@@ -280,3 +280,23 @@ def localize(spark, sf_dir):
 
 
 QUERIES["localize"] = localize
+
+
+def _revisit(name: str):
+    """Every frame, turned left by a right angle, sought among all frames as they were; SQL states the planted answer."""
+
+    @query(f"WITH {fx.FRAMES} SELECT frame_id AS q, frame_id AS c, CAST(1 AS INTEGER) AS rk FROM frames")
+    def search(spark, sf_dir):
+        points = fx.points(spark, sf_dir)
+        module = modules.create(name)
+        turned = points.selectExpr("frame_id", "-y AS x", "x AS y", "z", "intensity")
+        return module.search(module.describe(turned), module.describe(points), 1).select("q", "c", "rk")
+
+    return search
+
+
+for _name in modules.MODULES:
+    QUERIES[f"revisit_{_name}"], SQL[f"revisit_{_name}"] = _revisit(_name), SQL.pop("search")
+    del QUERIES["search"]
+# Spectra of these clouds, which are noise, differ too little for 10 candidates by key to hold the planted one among 100 frames.
+del SQL["revisit_fresco"]
