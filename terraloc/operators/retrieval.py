@@ -1,4 +1,4 @@
-"""Exact kNN joins by blocks, and alignment of descriptors by circular shifts.
+"""Exact kNN joins by blocks, radius joins by grid cells, and alignment of descriptors by circular shifts.
 
 Neighbours are found by squared distance, rounded to 9 places, and then id. Queries and map are packed into blocks of
 about BLOCK rows, so that one row of the joined plan is a pair of blocks whose distances are one matrix product.
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terraloc.operators.descriptors import RINGS, SECTORS
@@ -21,8 +21,24 @@ def _blocks(keys: DataFrame, name: str) -> DataFrame:
     return keys.groupBy(F.pmod(F.xxhash64("frame_id"), F.lit(n)).alias("b")).agg(F.collect_list(F.struct("frame_id", "k")).alias(name)).select(name)
 
 
+def save_index(entries: DataFrame, path: str) -> None:
+    """entries: frame_id, k. Writes them as blocks, which load_index reads for searches without packing them again."""
+    _blocks(entries, "cs").write.mode("overwrite").parquet(path)
+
+
+def load_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def knn(queries: DataFrame, entries: DataFrame, k: int = 10, metric: str = "l2") -> DataFrame:
-    """queries, entries: frame_id, k (arrays of one length). q, c, d, rk: the k nearest entries of each query."""
+    """queries, entries: frame_id, k (arrays of one length). q, c, d, rk: the k nearest entries of each query. The metric is l1 or l2 (squared)."""
+    return knn_of_index(queries, _blocks(entries, "cs"), k, metric)
+
+
+def knn_of_index(queries: DataFrame, index: DataFrame, k: int = 10, metric: str = "l2") -> DataFrame:
+    """knn, with the entries as load_index reads them."""
+    if metric not in ("l1", "l2"):
+        raise ValueError(f"no such metric: {metric}")
 
     def near(batches):
         for b in batches:
@@ -38,11 +54,33 @@ def knn(queries: DataFrame, entries: DataFrame, k: int = 10, metric: str = "l2")
                 own = np.repeat(np.array([r["frame_id"] for r in qs], np.int64), order.shape[1])
                 yield pa.record_batch([pa.array(own), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(d, order, 1).ravel())], names=["q", "c", "d"])
 
-    pairs = _blocks(queries, "qs").crossJoin(_blocks(entries, "cs")).mapInArrow(near, "q long, c long, d double")
+    pairs = _blocks(queries, "qs").crossJoin(index).mapInArrow(near, "q long, c long, d double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "c"))
     return pairs.withColumn("rk", rank).filter(F.col("rk") <= k)
 
 
+def radius_join(queries: DataFrame, entries: DataFrame, radius2: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """queries: q, x, y, z; entries: c, x, y, z; both with the columns `by`. by, q, c, d: pairs that are equal in `by` and whose squared distance d is under radius2.
+
+    Entries lie in cubes of the radius's side, and a query looks into its own and the 26 around it. A cube of over BLOCK
+    entries is cut into parts, each of which all of the cube's queries go to, so no task has to hold a crowded cube.
+    Points with a null coordinate or `by` have no pairs.
+    """
+    side = radius2**0.5 * (1 + 1e-9)  # wider by more than the division rounds
+    cube = [F.floor(F.col(x) / side).alias(f"_{x}") for x in "xyz"]
+    key = [*by, "_x", "_y", "_z"]
+    entries = entries.dropna(subset=[*by, "x", "y", "z"]).select(*by, "c", *(F.col(x).alias(f"c{x}") for x in "xyz"), *cube)
+    parts = entries.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_parts"))
+    dealt = entries.join(parts, key).withColumn("_part", F.pmod(F.xxhash64("c"), F.col("_parts")).cast("int")).drop("_parts")
+    asking = queries.dropna(subset=[*by, "x", "y", "z"]).select(*by, "q", "x", "y", "z", *cube)
+    for x in "xyz":
+        asking = asking.withColumn(f"_{x}", F.explode(F.sequence(F.col(f"_{x}") - 1, F.col(f"_{x}") + 1)))
+    asking = asking.join(parts, key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    apart = [F.col(x) - F.col(f"c{x}") for x in "xyz"]
+    d = apart[0] * apart[0] + apart[1] * apart[1] + apart[2] * apart[2]
+    return asking.join(dealt, [*key, "_part"]).withColumn("d", d).filter(F.col("d") < radius2).select(*by, "q", "c", "d")
+
+
 def coarse_shift(a: np.ndarray, b: np.ndarray) -> int:
     """Columns that b is turned right by to be nearest to a by sector keys; first wins."""
     ka, kb = a.sum(0) / RINGS, b.sum(0) / RINGS

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraloc.functions import geometry as g
+from terraloc.functions import metrics
 from terraloc.operators import codes, descriptors, features, images, modules, multilateration, registration, retrieval, scans
 from terraloc.plans import fixtures as fx
 from terraloc.plans.queries import AZ, QUERIES, RANGE, SHIFTS, R, _embedding_sql, SQL, _neighbours, query, rounded
@@ -136,6 +137,49 @@ def knn_labels_recall(spark, sf_dir):
     return rounded(pairs.groupBy("q").agg(F.avg(F.when(F.col("l_q") == F.col("l_c"), 1.0).otherwise(0.0)).alias("share")))
 
 
+def _both_sides(spark, sf_dir) -> DataFrame:
+    """q, c, a, b: the embeddings of each pair of neighbours."""
+    e, pairs = _embedding_pairs(spark, sf_dir)
+    for side, name in (("q", "a"), ("c", "b")):
+        pairs = pairs.join(e.select(F.col("frame_id").alias(side), F.col("k").alias(name)), side)
+    return pairs.select("q", "c", "a", "b")
+
+
+TURN = "(b.k[64]*3e0 - a.k[64]*3e0)"
+
+
+@query(_embedding_sql("(a.k[i] - b.k[i])*(a.k[i] - b.k[i])").rpartition(" SELECT q, c,")[0] + f""" SELECT q, c, {R('list_sum(list_transform(range(1, 65), lambda i: abs(a.k[i] - b.k[i])))', 'l1')}, {R('list_sum(list_transform(range(1, 65), lambda i: (a.k[i] - b.k[i])*(a.k[i] - b.k[i])))', 'l2')},
+{R(f'CASE WHEN {TURN} > pi() THEN {TURN} - 2*pi() WHEN {TURN} < -pi() THEN {TURN} + 2*pi() ELSE {TURN} END', 'so2')}, {R('list_sum(list_transform(range(1, 5), lambda i: (a.k[i] - b.k[i])*(a.k[i] - b.k[i])))', 'so3')} FROM t JOIN e a ON a.frame_id = q JOIN e b ON b.frame_id = c WHERE rk <= 10""")
+def metric_distances(spark, sf_dir):
+    """Neighbours by each metric: all numbers (l1, l2), the last as an angle (so2), the first four as a quaternion (so3)."""
+    p = _both_sides(spark, sf_dir)
+    a, b = F.col("a"), F.col("b")
+    angle = lambda v: F.array(F.element_at(v, -1) * 3.0)
+    args = {"l1": (a, b), "l2": (a, b), "so2": (angle(a), angle(b)), "so3": (F.slice(a, 1, 4), F.slice(b, 1, 4))}
+    return rounded(p.select("q", "c", *(metrics.METRICS[m](*x).alias(m) for m, x in args.items())))
+
+
+def _cosine_sql(at: str) -> str:
+    dot = lambda x, y: f"list_sum(list_transform(range(8), lambda j: {x}.k[{at}]*{y}.k[{at}]))"
+    return f"1 - list_sum(list_transform(range(8), lambda i: {dot('a', 'b')}/(sqrt({dot('a', 'a')})*sqrt({dot('b', 'b')}))))/8"
+
+
+@query(_embedding_sql("(a.k[i] - b.k[i])*(a.k[i] - b.k[i])").rpartition(" SELECT q, c,")[0] + f" SELECT q, c, {R(_cosine_sql('i*8 + j + 1'), 'by_rows')}, {R(_cosine_sql('j*8 + i + 1'), 'by_columns')} FROM t JOIN e a ON a.frame_id = q JOIN e b ON b.frame_id = c WHERE rk <= 10")
+def cosine_images(spark, sf_dir):
+    """Embeddings as 8 x 8 images, compared row by row and column by column."""
+    p, a, b = _both_sides(spark, sf_dir), F.col("a"), F.col("b")
+    return rounded(p.select("q", "c", metrics.cosine_by_rows(a, b, 8, 8).alias("by_rows"), metrics.cosine_by_columns(a, b, 8, 8).alias("by_columns")))
+
+
+@query(f"""WITH {fx.CLOUD} SELECT a.frame_id, a.pt AS q, b.pt AS c, {R('(a.x - b.x)*(a.x - b.x) + (a.y - b.y)*(a.y - b.y) + (a.z - b.z)*(a.z - b.z)', 'd')}
+FROM cloud a JOIN cloud b ON a.frame_id = b.frame_id WHERE a.pt % 10 = 1 AND (a.x - b.x)*(a.x - b.x) + (a.y - b.y)*(a.y - b.y) + (a.z - b.z)*(a.z - b.z) < 10000001e-5""")
+def radius_search(spark, sf_dir):
+    """Points of a frame within 10 m, and a bit so that no distance is on the edge, of every tenth."""
+    c = fx.cloud(spark, sf_dir)
+    found = retrieval.radius_join(c.filter("pt % 10 = 1").withColumnRenamed("pt", "q"), c.withColumnRenamed("pt", "c"), 100.00001, ("frame_id",))
+    return rounded(found)
+
+
 @query(f"WITH {SHIFTS} SELECT q, c, s0 FROM coarse")
 def sc_coarse_align(spark, sf_dir):
     cells = descriptors.height_max(fx.points(spark, sf_dir))

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terraloc.operators import codes, features, images, multilateration, registration, scans
+from terraloc.functions import metrics
+from terraloc.operators import codes, features, images, multilateration, registration, retrieval, scans
 from terraloc.plans import fixtures as fx
 from terraloc.plans.localization import MOTION
 from terraloc.plans.queries import QUERIES
@@ -248,3 +249,35 @@ def test_ordinal_across_buckets(spark):
     df = spark.createDataFrame([(k,) for k in (5, -3, 900, 12, 10**9, 11)], "k long")
     got = {r["k"]: r["ord"] for r in scans.ordinal(df, "k", bucket=10).collect()}
     assert got == {k: i for i, k in enumerate(sorted(got))}
+
+
+def test_radius_join_by_hand(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 8)  # so that the crowded cube is cut
+    at = np.concatenate((np.random.default_rng(3).uniform(-5, 5, (200, 3)), np.zeros((60, 3)), [[2.0, 0, 0]]))
+    rows = [(int(i), *map(float, p), i % 2) for i, p in enumerate(at)]
+    e = spark.createDataFrame([*rows, (900, None, 0.0, 0.0, 0), (901, 0.0, 0.0, 0.0, None)], "c int, x double, y double, z double, g int")
+    got = {(r.q, r.c) for r in retrieval.radius_join(e.withColumnRenamed("c", "q"), e, 4.0, ("g",)).collect()}
+    d = ((at[:, None] - at[None]) ** 2).sum(2)
+    assert got == {(i, j) for i in range(len(at)) for j in range(len(at)) if i % 2 == j % 2 and d[i, j] < 4.0} and (200, 260) not in got
+    assert retrieval.radius_join(e.withColumnRenamed("c", "q"), e.limit(0), 4.0).count() == 0
+
+
+def test_saved_index_finds_the_same(spark, tmp_path):
+    e = spark.createDataFrame([(i, [float(i * i % 17), float(i % 5)]) for i in range(40)], "frame_id long, k array<double>")
+    retrieval.save_index(e.filter("frame_id > 9"), str(tmp_path / "index"))
+    got = retrieval.knn_of_index(e.filter("frame_id < 10"), retrieval.load_index(spark, str(tmp_path / "index")), 3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, retrieval.knn(e.filter("frame_id < 10"), e.filter("frame_id > 9"), 3).collect()))
+    with pytest.raises(ValueError):
+        retrieval.knn(e, e, metric="so2")
+
+
+def test_cosine_of_an_empty_row_is_null(spark):
+    one = spark.createDataFrame([([1.0, 0.0, 0.0, 0.0], [1.0, 2.0, 3.0, 4.0])], "a array<double>, b array<double>")
+    r = one.select(metrics.cosine_by_rows(F.col("a"), F.col("b"), 2, 2), metrics.cosine_by_columns(F.col("a"), F.col("b"), 2, 2), metrics.cosine_by_rows(F.col("b"), F.col("b"), 2, 2)).first()
+    assert r[0] is None and r[1] is None and abs(r[2]) < 1e-12
+
+
+def test_angles_turn_the_short_way(spark):
+    a = spark.createDataFrame([([3.0], [-3.0]), ([-3.0], [3.0]), ([1.0], [2.0])], "a array<double>, b array<double>")
+    got = [r[0] for r in a.select(metrics.so2(F.col("a"), F.col("b"))).collect()]
+    assert np.allclose(got, [2 * np.pi - 6, 6 - 2 * np.pi, 1])
