@@ -5,12 +5,14 @@ holds the best forward score of its prefix and the number of pieces of that segm
 all words that share the prefix, from the ancestors that the pieces ending here start at. A word's count is stored at
 its terminal node. Pieces are found by their rolling hash among the vocabulary's pieces of the same length.
 
+Words of over LONGEST_WORD characters, such as texts without white space, share next to no prefixes; each distinct one
+of them is segmented by the same recurrence by itself, whole, so that the trie's levels stay few.
+
 The vocabulary is a piece file whose order is by frequency; a piece of rank r has log probability -log(r + 2) (Zipf).
 A character that is no piece counts as its UTF-8 bytes, each at UNKNOWN.
 
 Defined cases: null and empty texts have no words and no tokens; of segmentations with equal scores the one whose last
-piece is shorter counts; very long words are cut into stretches of LONGEST_WORD characters; columns other than doc_id
-and text aren't read; an empty table gives an empty result.
+piece is shorter counts; columns other than doc_id and text aren't read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -46,6 +48,7 @@ def vocabulary_scores(path: str) -> dict[str, float]:
 class Counter:
     def __init__(self, scores: dict[str, float]):
         self.tables = {}
+        self.scores = scores
         self.known: dict[str, tuple[int, float]] = {}
         for length in sorted({len(p) for p in scores}):
             pieces = [p for p in scores if len(p) == length]
@@ -100,27 +103,41 @@ class Counter:
         self.known.update(found)
         return found
 
+    def count_long(self, word: str) -> tuple[int, float]:
+        """Pieces and score of one word of any length."""
+        lengths, get = list(self.tables), self.scores.get
+        best, pieces = [0.0], [0]
+        for d, c in enumerate(word, 1):
+            width = 1 + (c >= "\x80") + (c >= "\u0800") + (c >= "\U00010000")
+            score, count = best[-1] + UNKNOWN * width, pieces[-1] + width
+            for length in lengths:
+                if length > d:
+                    break
+                log = get(word[d - length : d])
+                if log is not None and best[d - length] + log > score:
+                    score, count = best[d - length] + log, pieces[d - length] + 1
+            best.append(score)
+            pieces.append(count)
+        return pieces[-1], best[-1]
+
     def texts(self, texts: list[str]) -> list[tuple[int, int, float]]:
         """Words, tokens and score of each text."""
         out = []
-        cut = [self._words(t) for t in texts]
-        if new := set().union(*cut).difference(self.known) if cut else ():
+        cut = [[MARK + w for w in t.split()] for t in texts]
+        all_words = set().union(*cut)
+        long = {w for w in all_words if len(w) > LONGEST_WORD}
+        if new := (all_words - long).difference(self.known):
             if len(self.known) > CACHED_WORDS:
                 self.known.clear()
-                new = set().union(*cut)
+                new = all_words - long
             self.count(list(new))
+        if long:
+            by_word = {w: self.count_long(w) for w in long}
         for words in cut:
-            found = list(map(self.known.__getitem__, words))
+            found = [by_word[w] if len(w) > LONGEST_WORD else self.known[w] for w in words] if long else list(map(self.known.__getitem__, words))
             out.append((len(words), sum(n for n, _ in found), float(sum(s for _, s in found))))
         return out
 
-    @staticmethod
-    def _words(text: str) -> list[str]:
-        words = [MARK + w for w in text.split()]
-        if any(len(w) > LONGEST_WORD for w in words):
-            words = [w[a : a + LONGEST_WORD] for w in words for a in range(0, len(w), LONGEST_WORD)]
-        return words
-
 
 COUNTS = "doc_id long, n_words long, n_tokens long, score double"
 
