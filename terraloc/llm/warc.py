@@ -32,6 +32,8 @@ from terraloc.llm.common import partitions, save, table, utf8
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 ARCHIVE_BYTES = 4 << 20
 SAMPLED = 4096
+#: Bytes of an archive that go to the decompressor at a time.
+STEP = 1 << 14
 END = b"\r\n"
 
 
@@ -70,19 +72,24 @@ def record(page_id: int, url: str, payload: bytes, size: int, digest: str, first
 
 def records(data: bytes):
     """Offset, headers and block of each record."""
-    at = 0
+    at, view = 0, memoryview(data)
     while at < len(data):
-        stretch = zlib.decompressobj(31)
-        whole = stretch.decompress(data[at:] if at else data) + stretch.flush()
+        start, stretch, parts = at, zlib.decompressobj(31), []
+        while not stretch.eof and at < len(data):
+            parts.append(stretch.decompress(view[at : at + STEP]))
+            at = min(at + STEP, len(data))
+        if not stretch.eof:
+            raise ValueError(f"truncated record at {start}")
+        at -= len(stretch.unused_data)
+        whole = b"".join(parts)
         head, _, rest = whole.partition(END + END)
         lines = head.decode("utf-8", "surrogatepass").split("\r\n")
         fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
         size = int(fields["Content-Length"])
         block = rest[:size]
         if not lines[0].startswith("WARC/") or len(block) != size or rest[size:] != END + END:
-            raise ValueError(f"broken record at {at}")
-        yield at, fields, block
-        at = len(data) - len(stretch.unused_data)
+            raise ValueError(f"broken record at {start}")
+        yield start, fields, block
 
 
 def url_key(url: str) -> str:

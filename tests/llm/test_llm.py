@@ -279,6 +279,16 @@ def test_warc(spark):
     assert keys == sorted(keys)
 
 
+def test_records_of_any_size_are_read():
+    made = [(k, bytes(rng.integers(0, 256, n, np.uint8))) for k, n in enumerate((0, 10, 70_000, 5, 16_384, 300))]
+    stored = [warc.record(k, f"http://a.org/{k}", p, len(p), warc.base32_sha1(p), None) for k, p in made]
+    found = list(warc.records(b"".join(stored)))
+    assert [b.partition(b"\r\n\r\n")[2] for _, _, b in found] == [p for _, p in made]
+    assert [at for at, _, _ in found] == np.cumsum([0, *map(len, stored[:-1])]).tolist()
+    with pytest.raises((ValueError, KeyError)):
+        list(warc.records(b"".join(stored)[:-9]))
+
+
 def test_loser_tree():
     lists = [sorted(rng.integers(0, 50, n).tolist()) for n in (0, 1, 7, 30, 4)]
     for k in range(6):
