@@ -53,11 +53,11 @@ def utf8(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16) -> DataFrame:
-    """Left join to a table with one row a key. Rows of a hot key on the left go to `salts` tasks, and each row on the right is sent to all of them."""
-    many = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int = 16, deal: str | None = None) -> DataFrame:
+    """Left join to a table with one row a key. Rows of a hot key on the left go to `salts` tasks, dealt by the column `deal` or by all, and each row on the right is sent to all of them."""
+    many = left.withColumn("_salt", F.pmod(F.xxhash64(*([deal] if deal else left.columns)), F.lit(salts)))
     one = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-    return many.join(one, [key, "_salt"], "left").drop("_salt")
+    return many.join(one, [*keys, "_salt"], "left").drop("_salt")
 
 
 def binary_lists(col) -> list[bytes]:

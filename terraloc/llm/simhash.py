@@ -218,9 +218,9 @@ def components(edges: DataFrame, salts: int = 16) -> DataFrame:
         seen = now
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = salted_join(both, least, "u", salts).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        large = salted_join(both, least, ["u"], salts).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        star = salted_join(large, least, "u", salts)
+        star = salted_join(large, least, ["u"], salts)
         small = star.select(F.col("v").alias("u"), F.col("m").alias("v")).union(star.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
         edges = save(small, "edges")
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloc.llm.common import partitions, save, table, utf8
+from terraloc.llm.common import partitions, salted_join, save, table, utf8
 
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 ARCHIVE_BYTES = 4 << 20
@@ -105,7 +105,7 @@ def archives(pages: DataFrame, least: int = 0) -> DataFrame:
     known = known.withColumn("sha", F.when(F.octet_length("payload") >= least, F.sha1("payload")))
     same = known.filter("sha is not null").groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     same = save(same.filter("n > 1").select("sha", "first"), "payloads")
-    joined = known.join(same, "sha", "left").select("page_id", "url", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("first"), "payload")
+    joined = salted_join(known, same, ["sha"], deal="page_id").select("page_id", "url", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("first"), "payload")
 
     def run(batches):
         held, size, part, count = [], 0, TaskContext.get().partitionId(), 0
