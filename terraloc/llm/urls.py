@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terraloc.llm.common import save, table
+from terraloc.llm.common import salted_join, save, table
 
 #: Verdict, host and path of each rule.
 RULES = (
@@ -109,7 +109,7 @@ def judge(pages: DataFrame, rules=RULES, limit: float = LIMIT) -> DataFrame:
     rule, label = by_rule(F.col("host"), F.col("path"), rules)
     cut = cut.withColumn("rule", rule).withColumn("label", label).withColumn("shape", shape(F.col("path")))
     found = save(templates(cut), "templates")
-    out = cut.join(found, ["host", "shape"], "left")
+    out = salted_join(cut, found, ["host", "shape"], deal="page_id")
     verdict = F.coalesce("label", F.when(F.col("purity") > limit, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
 
