@@ -231,7 +231,7 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     nodes = save(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     comps = components(links(nodes))
     named = save(nodes.join(comps, nodes.node == comps.u, "left").select("fp", F.coalesce("component", "node").alias("component_id")), "comps")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return salted_join(fps, named, ["fp"], deal="doc_id").select("doc_id", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
