@@ -8,7 +8,8 @@ The model is fitted on the driver on at most TRAIN_DOCS labelled documents (chos
 the same size at any scale); texts of over TRAIN_CHARS characters aren't sampled. Every document is scored whole.
 
 Defined cases: null and empty texts, and texts without words, score 0; equal texts score the same; labels that are
-null are ignored, and of several labels of a document the highest counts; without usable labels all scores are 0.
+null are ignored; of several labels of a document the highest counts, and of several texts the smallest; without usable
+labels all scores are 0.
 Columns other than doc_id and text are never inputs of a score, whatever their names.
 """
 
@@ -205,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
     # Both sides are bounded by train_docs from here on.
     picked = {r.doc_id: r.toxic for r in chosen.collect()}
     ids = docs.sparkSession.createDataFrame([(k,) for k in picked], "doc_id long")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.length("text") <= TRAIN_CHARS).join(F.broadcast(ids), "doc_id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.length("text") <= TRAIN_CHARS).join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     return fit([(r.text, picked[r.doc_id]) for r in texts.sort("doc_id").toLocalIterator()])
 
 
