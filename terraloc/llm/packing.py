@@ -135,8 +135,11 @@ def pack_histogram(counts: dict[int, int], sequence: int = SEQUENCE) -> list[tup
         while left:
             while top >= length and not room[top]:
                 top -= 1
-            if top < length:
-                room[sequence - length].append(((length,), left))
+            if top < length:  # new sequences, each filled before the next is opened
+                full, rest = divmod(left, sequence // length)
+                for size, n in ((sequence // length, full), (rest, 1)):
+                    if size and n:
+                        room[sequence - size * length].append(((length,) * size, n))
                 break
             pattern, n = room[top].pop()
             used = min(n, left)

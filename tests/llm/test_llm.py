@@ -189,6 +189,22 @@ def test_histogram_packing_uses_all_pieces():
     assert used == counts
 
 
+def test_pieces_of_one_length_share_sequences():
+    def sequences(counts):
+        return sum(n for _, n in packing.pack_histogram(counts))
+
+    assert sequences({300: 1000}) == -(-1000 // 6)
+    counts = Counter(rng.integers(20, 1200, 2000).tolist()) + Counter({60: 1000})
+    assert sequences(counts) * 2048 <= 1.03 * sum(k * v for k, v in counts.items())
+    patterns = packing.pack_histogram({300: 1000, 100: 7})
+    places, found = set(), packing.slots(patterns)
+    for length, total in ((300, 1000), (100, 7)):
+        for rank in range(total):
+            _, first, base, offset = found[(found[:, 0] == length) & (found[:, 1] <= rank)][-1].tolist()
+            places.update((base + rank - first, offset + k) for k in range(length))
+    assert len(places) == 300 * 1000 + 100 * 7 and max(p for _, p in places) < 2048
+
+
 def test_token_counts():
     scores = token_counts.vocabulary_scores(token_counts.default_vocabulary())
     counter = token_counts.Counter(scores)
