@@ -9,13 +9,15 @@ the other suffixes are sorted by first symbol and sampled rank and merged in; th
 are compared.
 
 Rounds, each a shuffle by group of documents or by bucket:
-1. each group of documents tells the minimizers' buckets which minimizers it has (6 bytes each);
+1. each group of documents tells the minimizers' buckets which minimizers it has (6 bytes each), in how many documents
+   and strings;
 2. the buckets answer which of them occur in two documents or more: no other window can repeat;
 3. the groups send the strings of these minimizers, each distinct string once, with its smallest doc_id;
 4. the buckets sort suffixes and answer, for each string, the smallest doc_id that has all of it, and which of its
    windows occur in a document with a smaller id still;
 5. the groups mark the bytes.
-A minimizer that over HOT documents have is dealt by window instead, so that its windows spread over all buckets.
+A minimizer of over HOT strings, counted in all documents, is dealt by window instead, so that its windows spread over
+all buckets and the strings of any other fit one suffix array.
 
 Defined cases: null texts are empty; texts under 50 bytes lose nothing; documents with equal ids don't count as smaller
 than one another; an empty table gives an empty result; rows without a doc_id have no result in `removed` and stay as
@@ -43,7 +45,7 @@ WIDE = 88
 GROUP_BYTES = 16 << 20
 MOST_BUCKETS = 4096
 HOT = 4000
-#: Bytes that one pass over minimizers takes, and symbols of one suffix array (three of them fit in 63 bits).
+#: Bytes that one pass over minimizers takes, and symbols of one suffix array; HOT strings have fewer.
 CHUNK = 1 << 19
 SORTED = 1 << 20
 H48 = np.uint64((1 << 48) - 1)
@@ -152,9 +154,18 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     m = n + 1 + (-(n + 1)) % 3  # ends in a 0 at least, and is a multiple of 3
     s = np.zeros(m + 3, np.uint64)
     s[:n] = t
-    bits = np.uint64(21)
+    bits = np.uint64(max(m, int(s.max())).bit_length())  # of a symbol, name or rank
+    if bits > 31:
+        raise ValueError(f"{n} symbols are too many for one suffix array")
+
+    def triples(i: np.ndarray, third: np.ndarray) -> np.ndarray:
+        pair = s[i] << bits | s[i + 1]
+        if bits > 21:  # three don't fit, so that pairs are ranked first
+            pair = np.unique(pair, return_inverse=True)[1].astype(np.uint64)
+        return pair << bits | third
+
     sample = np.concatenate((np.arange(1, m, 3), np.arange(2, m, 3)))
-    key = (s[sample] << bits | s[sample + 1]) << bits | s[sample + 2]
+    key = triples(sample, s[sample + 2])
     order = np.argsort(key, kind="stable")
     new = np.append(True, np.diff(key[order]) > 0)
     names = np.empty(len(sample), np.int64)
@@ -166,10 +177,11 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     mixed = sample[order]
     zero = np.arange(0, m, 3)
     short = lambda i: s[i] << bits | rank[i + 1]  # noqa: E731  comparable between classes 0 and 1
-    long = lambda i: (s[i] << bits | s[i + 1]) << bits | rank[i + 2]  # noqa: E731  between classes 0 and 2
     zero = zero[np.argsort(short(zero))]
     ones, twos = mixed[mixed % 3 == 1], mixed[mixed % 3 == 2]
-    place = np.arange(len(zero)) + np.searchsorted(short(ones), short(zero)) + np.searchsorted(long(twos), long(zero))
+    both = np.concatenate((twos, zero))
+    long = triples(both, rank[both + 2])  # comparable between classes 0 and 2
+    place = np.arange(len(zero)) + np.searchsorted(short(ones), short(zero)) + np.searchsorted(long[: len(twos)], long[len(twos) :])
     out = np.empty(m, np.int64)
     rest = np.ones(m, bool)
     rest[place] = False
@@ -239,33 +251,45 @@ def _rows(t: pa.Table) -> tuple[list[bytes], np.ndarray]:
     return [x or b"" for x in texts], row.field(row.type.get_field_index("doc_id")).cast(pa.int64()).to_numpy(zero_copy_only=False)
 
 
-TOLD = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("h", pa.binary()), ("n", pa.binary())])
+TOLD = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("h", pa.binary()), ("n", pa.binary()), ("strings", pa.binary())])
 
 
 def _tell(buckets: int):
     def run(key, t):
         texts, _ = _rows(t)
-        found = [np.zeros(0, np.uint64)]
+        found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
         for c in chunks(texts):
             rows = np.array([i for i, _, _ in c.segments], np.uint64)[c.rows]
-            found.append(np.unique((c.h << np.uint64(16)) | (rows & np.uint64(0xFFFF))) if len(texts) <= 1 << 16 else _by_row(c.h, rows))
-        h = np.concatenate(found)
-        # A text in several chunks is told once; else a row has one chunk.
-        h, n = np.unique(np.unique(h) >> np.uint64(16) if len(texts) <= 1 << 16 else h, return_counts=True)
+            found.append(np.unique((c.h << np.uint64(16)) | (rows & np.uint64(0xFFFF)), return_counts=True) if len(texts) <= 1 << 16 else _by_row(c.h, rows))
+        h, strings = (np.concatenate(x) for x in zip(*found, strict=True))
+        if len(texts) <= 1 << 16:  # a text in several chunks is told once; else a row has one chunk
+            h, strings = _summed(h, strings)
+            h >>= np.uint64(16)
+        n = _summed(h, np.ones(len(h), np.int64))[1]
+        h, strings = _summed(h, strings)
         b = (h % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(b, kind="stable")
         at = np.searchsorted(b[order], np.arange(buckets + 1))
-        out = [(k, narrow(h[o]), squeeze(np.minimum(n[o], 255).astype(np.uint8))) for k in range(buckets) if len(o := order[at[k] : at[k + 1]])]
-        return pa.table([pa.array([k for k, _, _ in out], pa.int32()), pa.array([key[0].as_py()] * len(out), pa.int32()), pa.array([x for _, x, _ in out], pa.binary()), pa.array([x for _, _, x in out], pa.binary())], schema=TOLD)
+        out = [(k, narrow(h[o]), squeeze(np.minimum(n[o], 255).astype(np.uint8)), squeeze(strings[o].astype(np.uint32))) for k in range(buckets) if len(o := order[at[k] : at[k + 1]])]
+        return pa.table([pa.array([k for k, *_ in out], pa.int32()), pa.array([key[0].as_py()] * len(out), pa.int32()), *(pa.array([x[j] for x in out], pa.binary()) for j in (1, 2, 3))], schema=TOLD)
 
     return run
 
 
-def _by_row(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The minimizers, each once for each row that has it."""
+def _by_row(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The minimizers, each once for each row that has it, and in how many strings."""
     order = np.lexsort((rows, h))
     h, rows = h[order], rows[order]
-    return h[np.append(True, (h[1:] != h[:-1]) | (rows[1:] != rows[:-1]))[: len(h)]]
+    heads = np.nonzero(np.append(True, (h[1:] != h[:-1]) | (rows[1:] != rows[:-1]))[: len(h)])[0]
+    return h[heads], np.diff(np.append(heads, len(h)))
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the sum of each one's counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    heads = np.nonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])[0]
+    return keys[heads], np.add.reduceat(counts, heads) if len(heads) else counts
 
 
 ASKED = pa.schema([("g", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
@@ -278,7 +302,8 @@ def _answer(t):
     h = np.concatenate([*hs, np.zeros(0, np.uint64)])
     known, inverse = np.unique(h, return_inverse=True)
     total = np.bincount(inverse, np.concatenate([*ns, np.zeros(0, np.int64)]), len(known)).astype(np.int64)
-    keep, hot, at, out = (total >= 2)[inverse], (total > HOT)[inverse], 0, []
+    strings = np.bincount(inverse, np.concatenate([*(stretch(x, np.uint32) for x in t.column("strings").to_pylist()), np.zeros(0, np.uint32)]), len(known))
+    keep, hot, at, out = (total >= 2)[inverse], (strings > HOT)[inverse], 0, []
     for g, x in zip(t.column("g").to_pylist(), hs, strict=True):
         k = keep[at : at + len(x)]
         if k.any():
@@ -355,7 +380,7 @@ def _solve(t):
     first, inverse = distinct(rows)
     least = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(least, inverse, docs)
-    # Suffix arrays over whole minimizers; one that is longer than SORTED by itself is at most HOT strings.
+    # Suffix arrays over whole minimizers, of which each is of at most HOT strings or of one window.
     order = np.argsort(h[first], kind="stable")
     sizes = rows[first[order], -1].astype(np.int64) + 1
     ends, heads = np.cumsum(sizes), np.nonzero(np.append(True, np.diff(h[first][order]) > 0))[0] if len(order) else np.zeros(0, np.int64)
@@ -427,7 +452,7 @@ def _marked(docs: DataFrame, finish, schema: str) -> DataFrame:
     groups = max(partitions(spark), -(-total // GROUP_BYTES))
     buckets = int(min(groups, MOST_BUCKETS))
     dealt = docs.select(F.struct("*").alias("row"), F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("g"))
-    told = dealt.groupBy("g").applyInArrow(_tell(buckets), "bucket int, g int, h binary, n binary")
+    told = dealt.groupBy("g").applyInArrow(_tell(buckets), "bucket int, g int, h binary, n binary, strings binary")
     asked = told.groupBy("bucket").applyInArrow(_answer, "g int, kind int, bucket int, a binary, b binary")
     sent = dealt.groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(_send(buckets), "bucket int, g int, part int, rows binary, h binary, doc binary")
     solved = sent.groupBy("bucket").applyInArrow(_solve, "g int, kind int, bucket int, a binary, b binary")

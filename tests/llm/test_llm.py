@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -37,6 +38,33 @@ def test_suffix_array():
             assert suffixes.suffix_array(t).tolist() == sorted(range(n), key=lambda i: t[i:].tolist())
 
 
+def test_suffix_array_of_wide_names():
+    t = rng.integers(1, 1 << 20, 3_300_000)  # two thirds of these have names and ranks over 2 ** 21
+    order = suffixes.suffix_array(t)
+    s = np.append(t, np.zeros(8, np.int64))
+    assert (np.bincount(order, minlength=len(t)) == 1).all()
+    a, b = order[:-1], order[1:]
+    less, tied = np.zeros(len(a), bool), np.ones(len(a), bool)
+    for k in range(8):
+        less |= tied & (s[a + k] < s[b + k])
+        tied &= s[a + k] == s[b + k]
+    assert less.all()
+
+
+def test_a_minimizer_of_many_strings_is_dealt_by_window():
+    phrase = "a phrase that every line of this log begins with, "
+    texts = ["".join(f"{phrase}{i * 5 + k:030d} " for k in range(5)) for i in range(1200)]  # few documents, many strings
+    kind = pa.struct([("doc_id", pa.int64()), ("text", pa.string())])
+    told = [suffixes._tell(1)((pa.scalar(g),), pa.table({"row": pa.array([{"doc_id": i, "text": t} for i, t in enumerate(texts) if i % 2 == g], kind)})) for g in (0, 1)]
+    answered = suffixes._answer(pa.concat_tables(told))
+    known, hot = suffixes._repeated(answered)
+    sizes = Counter()
+    for c in suffixes.chunks([t.encode() for t in texts]):
+        sizes.update(c.h.tolist())
+    assert max(sizes.values()) > suffixes.HOT and suffixes.HOT * (suffixes.LONGEST + 1) <= suffixes.SORTED
+    assert {h for h, x in zip(known.tolist(), hot.tolist(), strict=True) if x} == {h for h, n in sizes.items() if n > suffixes.HOT}
+
+
 def brute_removed(rows):
     seen: dict[bytes, int] = {}
     for i, t in rows:
