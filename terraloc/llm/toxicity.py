@@ -1,11 +1,13 @@
 """Toxicity by multiple-instance learning: a document is toxic if any of its sentences is.
 
 A sentence's score is a logistic function of the weights of its words and word beginnings; a document's score is the
-noisy-or of its sentences' scores, 1 - prod(1 - p). The weights are fitted to document labels alone through that
-noisy-or, after which the sentences that carry a document's score can be pointed out.
+noisy-or of its sentences' scores, 1 - prod(1 - p), taken over each STRETCH sentences in turn, of which the worst
+stretch counts: the small scores of plain sentences don't add up with a document's length. The weights are fitted to
+document labels alone through that noisy-or, after which the sentences that carry a document's score can be pointed out.
 
 The model is fitted on the driver on at most TRAIN_DOCS labelled documents (chosen by a hash of doc_id, so a sample of
-the same size at any scale); texts of over TRAIN_CHARS characters aren't sampled. Every document is scored whole.
+the same size at any scale), whole texts of TRAIN_BYTES together; one that no longer fits makes room for the next.
+Every document is scored whole.
 
 Defined cases: null and empty texts, and texts without words, score 0; equal texts score the same; labels that are
 null are ignored; of several labels of a document the highest counts, and of several texts the smallest; without usable
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 from terraloc.llm.common import table
 
 TRAIN_DOCS = 6000
-TRAIN_CHARS = 50_000
+TRAIN_BYTES = 64 << 20
+STRETCH = 32
 FEATURES = 3000
 LEAST_DF = 6
 LEAST_Z = 4.0
@@ -115,25 +118,37 @@ def fit(rows: list[tuple[str, int]], rounds: int = 300, rate: float = 0.1, l2: f
         return Model()
     index = {f: i for i, f in enumerate(names)}
     hits = _Hits(index)
-    doc_of, row_of, col_of, plain = [], [], [], np.zeros(len(rows))
+    in_of, row_of, col_of, plain, heads, doc_of = [], [], [], [], [], []  # a sentence is in a stretch, a stretch of a document
     for d, (text, _) in enumerate(rows):
-        for _, _, words in sentences(text):
+        heads.append(len(doc_of))
+        doc_of.append(d)
+        plain.append(0)
+        for k, (_, _, words) in enumerate(sentences(text)):
+            if k and k % STRETCH == 0:
+                doc_of.append(d)
+                plain.append(0)
             got = {f for w in words for f in hits[w]}
             if got:
-                row_of += [len(doc_of)] * len(got)
+                row_of += [len(in_of)] * len(got)
                 col_of += [index[f] for f in got]
-                doc_of.append(d)
+                in_of.append(len(doc_of) - 1)
             else:
-                plain[d] += 1
-    doc_of, row_of, col_of = (np.array(x, np.int64) for x in (doc_of, row_of, col_of))
+                plain[-1] += 1
+    in_of, row_of, col_of, plain, heads, doc_of = (np.array(x, np.int64) for x in (in_of, row_of, col_of, plain, heads, doc_of))
     w, b = np.zeros(len(names)), -4.0
     state = np.zeros((2, len(names) + 1))
     for t in range(1, rounds + 1):
-        s = b + np.bincount(row_of, w[col_of], len(doc_of))
-        none = -(np.bincount(doc_of, np.logaddexp(0, s), len(rows)) + plain * np.logaddexp(0, b))  # log of no toxic sentence
-        p = np.clip(-np.expm1(none), 1e-9, 1)
-        slope = np.where(labels > 0, -(1 - p) / p, 1.0) / len(rows)  # of the loss, by -none
-        gs = slope[doc_of] / (1 + np.exp(-s))
+        s = b + np.bincount(row_of, w[col_of], len(in_of))
+        none = -(np.bincount(in_of, np.logaddexp(0, s), len(doc_of)) + plain * np.logaddexp(0, b))  # log of no toxic sentence
+        if t <= rounds // 3:  # over whole documents, until the weights tell which stretch is the worst
+            p = np.clip(-np.expm1(np.bincount(doc_of, none, len(rows))), 1e-9, 1)[doc_of]
+            slope = np.where(labels[doc_of] > 0, -(1 - p) / p, 1.0) / len(rows)  # of the loss, by -none
+        else:
+            worst = np.lexsort((none, doc_of))[heads]  # each document's stretch
+            p = np.clip(-np.expm1(none[worst]), 1e-9, 1)
+            slope = np.zeros(len(doc_of))
+            slope[worst] = np.where(labels > 0, -(1 - p) / p, 1.0) / len(rows)
+        gs = slope[in_of] / (1 + np.exp(-s))
         g = np.append(np.bincount(col_of, gs[row_of], len(names)) + l2 * w, gs.sum() + (slope * plain).sum() / (1 + np.exp(-b)))
         state[0] += 0.1 * (g - state[0])
         state[1] += 0.001 * (g * g - state[1])
@@ -144,16 +159,19 @@ def fit(rows: list[tuple[str, int]], rounds: int = 300, rate: float = 0.1, l2: f
 
 def score_text(text: str, model: Model, hits: _Hits) -> tuple[float, int, int, float]:
     """Score, and start, end and score of the sentence that weighs most (-1, -1 and 0 without sentences)."""
-    none, best = 0.0, (-1, -1, -1e300)
+    none, most, best = 0.0, 0.0, (-1, -1, -1e300)
     bias, weights, get = model.bias, model.weights, hits.__getitem__
     plain = float(np.logaddexp(0, bias))
-    for start, end, words in sentences(text):
+    for k, (start, end, words) in enumerate(sentences(text)):
+        if k % STRETCH == 0:
+            none = 0.0
         got = [f for f in map(get, words) if f]
         s = bias + sum(weights[f] for f in set().union(*got)) if got else bias
         none += float(np.logaddexp(0, s)) if got else plain
+        most = max(most, none)
         if s > best[2]:
             best = (start, end, s)
-    return float(-np.expm1(-none)), best[0], best[1], float(1 / (1 + np.exp(-best[2]))) if best[0] >= 0 else 0.0
+    return float(-np.expm1(-most)), best[0], best[1], float(1 / (1 + np.exp(-best[2]))) if best[0] >= 0 else 0.0
 
 
 SCORED = "doc_id long, score double, worst_start long, worst_end long, worst_score double"
@@ -200,14 +218,21 @@ def held_out(doc_id="doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
-    """Fits on at most train_docs labelled documents that aren't held out."""
+    """Fits on at most train_docs labelled documents of TRAIN_BYTES that aren't held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.filter(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
     # Both sides are bounded by train_docs from here on.
     picked = {r.doc_id: r.toxic for r in chosen.collect()}
-    ids = docs.sparkSession.createDataFrame([(k,) for k in picked], "doc_id long")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.length("text") <= TRAIN_CHARS).join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    return fit([(r.text, picked[r.doc_id]) for r in texts.sort("doc_id").toLocalIterator()])
+    ids = lambda some: F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in some], "doc_id long"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
+    sizes = {r.doc_id: r.size for r in texts.select("doc_id", F.octet_length("text").alias("size")).join(ids(picked), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("size").alias("size")).collect()}
+    left, fitting = TRAIN_BYTES, []
+    for k in picked:  # in the order of their hashes
+        if sizes.get(k, left + 1) <= left:
+            left -= sizes[k]
+            fitting.append(k)
+    sample = texts.join(ids(fitting), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return fit([(r.text, picked[r.doc_id]) for r in sample.sort("doc_id").toLocalIterator()])
 
 
 def filter_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

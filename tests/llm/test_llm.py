@@ -180,6 +180,37 @@ def test_toxicity_learns_sentences(spark):
     assert kept.columns == d.columns and kept.count() > 230
 
 
+def test_long_clean_texts_are_not_toxic():
+    def text(n, bad):
+        parts = [prose(6) for _ in range(n)]
+        if bad:
+            parts[int(rng.integers(n))] = "you utter numskull"
+        return ". ".join(parts)
+
+    model = toxicity.fit([(text(8, i % 5 == 0), int(i % 5 == 0)) for i in range(300)])
+    hits, plain = toxicity._Hits(model.weights), prose(6) + ". "
+    for size in (100_000, 1_000_000, 5_000_000):
+        clean = plain * (size // len(plain))
+        assert toxicity.score_text(clean, model, hits)[0] < toxicity.THRESHOLD
+        assert toxicity.score_text(clean + "you utter numskull. " + clean, model, hits)[0] >= toxicity.THRESHOLD
+
+
+def test_long_labelled_texts_are_learnt_whole(spark, monkeypatch):
+    filler = [prose(6) + ". " for _ in range(50)]
+    text = lambda i: "".join(rng.choice(filler, 2200)) + ("you utter numskull. " if i % 3 == 0 else "")
+    rows = [(i, text(i)) for i in range(60)]
+    assert min(len(t) for _, t in rows) > 50_000
+    d, labels = docs(spark, rows), spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.train(d, labels)
+    hits = toxicity._Hits(model.weights)
+    assert [toxicity.score_text(t, model, hits)[0] >= toxicity.THRESHOLD for _, t in rows] == [i % 3 == 0 for i, _ in rows]
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", seen.extend)
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 500_000)
+    toxicity.train(d, labels)
+    assert 3 <= len(seen) and sum(len(t.encode()) for t, _ in seen) <= 500_000 and {t for t, _ in seen} <= {t for _, t in rows}
+
+
 def test_bpe_equals_the_library():
     from tokenizers import Tokenizer
 
