@@ -36,11 +36,11 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def save(df: DataFrame, tag: str) -> DataFrame:
+def save(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/terraloc-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -211,6 +212,31 @@ def test_long_labelled_texts_are_learnt_whole(spark, monkeypatch):
     assert 3 <= len(seen) and sum(len(t.encode()) for t, _ in seen) <= 500_000 and {t for t, _ in seen} <= {t for _, t in rows}
 
 
+def test_each_sample_is_in_a_frame(monkeypatch):
+    for n in (1, 2, 5):
+        x = np.zeros(media.UNIT * n * media.UP // media.DOWN, np.float32)
+        x[-1] = 1.0
+        frames = media.log_mel(x)
+        assert len(frames) == max(1, -(-(len(x) - media.FRAME) // media.HOP) + 1) and (frames[-1] > frames[0]).any() == (n > 0)
+    samples = rng.integers(0, 256, media.UNIT * 40, np.uint8).astype(np.uint8).tobytes()
+    whole = media.features(samples)[0]
+    monkeypatch.setattr(media, "PIECE", 4096)
+    assert np.allclose(media.features(samples)[0], whole, atol=1e-4) and len(media.features(samples)[0]) == len(whole)
+
+
+def test_stored_tensors_give_the_features(spark, tmp_path):
+    docs(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    before = set(Path(media.save(spark.range(1), "probe").inputFiles()[0].removeprefix("file:")).parents[1].iterdir())
+    got = sorted(tuple(r) for r in media.op8_media(spark, str(tmp_path)).collect())
+    assert got == sorted(tuple(r) for r in media.digests(media.media(docs(spark))).collect())
+    base = Path(media.save(spark.range(1), "probe").inputFiles()[0].removeprefix("file:")).parents[1]
+    written = [p for p in set(base.iterdir()) - before if "media" in p.name]
+    stored = spark.read.parquet(f"file://{written[0]}").selectExpr("doc_id", "inline(tensors)")
+    want = media.audio_tensors(media.media(docs(spark))).drop("piece")
+    assert Counter(map(str, stored.collect())) == Counter(map(str, want.collect()))
+    assert media.as_tensors(stored.toArrow()).column("values").type.shape == [media.FRAMES, media.BANDS]
+
+
 def test_bpe_equals_the_library():
     from tokenizers import Tokenizer
 
