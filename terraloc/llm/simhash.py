@@ -11,7 +11,9 @@ blocks, and each pair of blocks is a task of its own. A group gives a spanning f
 
 Defined cases: null texts are empty; texts without words have fingerprint 0 and link like any other; equal texts have
 equal fingerprints; an empty table gives an empty result; rows without a
-doc_id have no result, and near_dedup keeps them; columns other than doc_id and text aren't read.
+doc_id have no result, and near_dedup keeps them; columns other than doc_id and text aren't read. Of several texts with
+one doc_id near_dedup judges each by itself; repeated rows with equal doc_id and text are one document and stay or go
+together.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloc.llm.common import binary_lists, partitions, salted_join, save, table, utf8
+from terraloc.llm.common import binary_lists, discard, fresh, partitions, salted_join, save, table, utf8
 
 WORDS = 4
 SEED = 42
@@ -58,12 +60,13 @@ def fingerprint(text: bytes) -> int:
 def _fingerprints(batches):
     for b in batches:
         fps = np.array([fingerprint(t) for t in binary_lists(b.column(1))], np.uint64).view(np.int64)
-        yield pa.record_batch([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+        yield pa.record_batch([b.column(0), pa.array(fps), b.column(2)], names=["doc_id", "fp", "text_hash"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long)."""
-    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """doc_id, fp (the fingerprint's bits as a signed long), text_hash (which tells texts with one doc_id apart)."""
+    own = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"), F.xxhash64(utf8()).alias("text_hash"))
+    return own.mapInArrow(_fingerprints, "doc_id long, fp long, text_hash long")
 
 
 def _remainders(bits: int, shift: int) -> np.ndarray:
@@ -222,22 +225,29 @@ def components(edges: DataFrame, salts: int = 16) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         star = salted_join(large, least, ["u"], salts)
         small = star.select(F.col("v").alias("u"), F.col("m").alias("v")).union(star.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
-        edges = save(small, "edges")
+        before, edges = edges, save(small, "edges")
+        discard(before)
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id for each row of docs."""
+    """doc_id, fp, text_hash, component_id for each row of docs with a doc_id."""
     fps = save(fingerprints(docs), "fps")
     nodes = save(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     comps = components(links(nodes))
     named = save(nodes.join(comps, nodes.node == comps.u, "left").select("fp", F.coalesce("component", "node").alias("component_id")), "comps")
-    return salted_join(fps, named, ["fp"], deal="doc_id").select("doc_id", "fp", "component_id")
+    return salted_join(fps, named, ["fp"], deal="doc_id").select("doc_id", "fp", "text_hash", "component_id")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """docs without those that link, over any chain, to one with a smaller doc_id."""
-    gone = simhash_components(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs.doc_id == F.col("_gone"), "left_anti")
+    """docs without those that link, over any chain, to one with a smaller doc_id, or to another text of theirs with a smaller hash."""
+    found = simhash_components(docs)
+    first = found.filter("doc_id = component_id").groupBy("component_id").agg(F.min("text_hash").alias("least"))
+    first = first.withColumnRenamed("component_id", "first_id")
+    id_name, hash_name = fresh(docs, "gone_id", "gone_hash")
+    gone = salted_join(found.withColumn("first_id", F.col("component_id")), first, ["first_id"], deal="doc_id")
+    gone = gone.filter((F.col("doc_id") != F.col("component_id")) | (F.col("text_hash") != F.col("least")))
+    gone = gone.select(F.col("doc_id").alias(id_name), F.col("text_hash").alias(hash_name))
+    return docs.join(gone, (docs["doc_id"].cast("long") == F.col(id_name)) & (F.xxhash64(F.coalesce(docs["text"].cast("binary"), F.lit(b""))) == F.col(hash_name)), "left_anti")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

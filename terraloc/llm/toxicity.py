@@ -213,8 +213,8 @@ def offending_sentences(docs: DataFrame, model: Model, least: float = 0.5) -> Da
 
 
 def held_out(doc_id="doc_id"):
-    """Rows whose labels are never learnt."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
+    """Rows whose labels are never learnt. A row without a doc_id has no label to learn, and isn't one of them."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
