@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from terraloc.llm import bpe, knn, media, packing, registry, simhash, suffixes, token_counts, toxicity, urls, warc
+from terraloc.llm import bpe, common, knn, media, packing, registry, simhash, suffixes, token_counts, toxicity, urls, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, g int, fp long, node long, h long, part int, place long, bucket int, kind int"
 rng = np.random.default_rng(7)
@@ -160,6 +160,30 @@ def test_near_dedup(spark):
     assert out.columns == d.columns and kept[None] == 1 and kept[5] == 2 and 6 not in kept and 4 not in kept and kept[0] == 1 and 1 not in kept
 
 
+def test_near_dedup_judges_texts_of_one_id_by_themselves(spark):
+    other = prose(300)
+    d = spark.createDataFrame([(1, BASE, 0, 0), (2, BASE, 0, 0), (2, other, 0, 0), (3, other + " x", 0, 0), (4, BASE, 0, 0), (1, BASE + " y", 0, 0)], "doc_id long, text string, gone_id long, GONE_HASH long")
+    out = simhash.near_dedup(d)
+    assert out.columns == d.columns
+    texts = Counter((r.doc_id, r.text[-2:]) for r in out.collect())
+    assert sum(texts.values()) == 2 and (2, other[-2:]) in texts and sum(n for (i, _), n in texts.items() if i == 1) == 1
+
+
+def test_rows_without_ids_are_not_held_out(spark):
+    rows = [(None, "x"), (1, "x"), (2, "x"), (3, "x")]
+    got = {r.doc_id: r.h for r in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", toxicity.held_out().alias("h")).collect()}
+    assert got == {None: False} | {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in (1, 2, 3)}
+
+
+def test_saved_tables_need_a_shared_folder(monkeypatch):
+    class Far:
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("Context", (), {"getCheckpointDir": staticmethod(lambda: None), "master": "spark://host:7077"})  # noqa: N815
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Far)
+
+
 def test_toxicity_learns_sentences(spark):
     rows, labels = [], []
     for i in range(300):
@@ -311,19 +335,43 @@ def test_token_counts():
         assert n == len(words) and tokens == sum(map(brute, words))
 
 
-def test_knn(spark):
+def brute_knn(rows, k=5):
+    q = []
+    for i, v, *_ in rows:
+        if i is not None and v is not None and all(x is not None and np.isfinite(256 * x) for x in v):
+            q.append((i, [int(np.floor(256 * x)) for x in v]))
+    want = []
+    for n, (i, a) in enumerate(q):
+        if i % 50 == 0:
+            scores = [(min(max(sum(x * y for x, y in zip(a, b, strict=True)), -(2**63) + 1), 2**63 - 1), j) for m, (j, b) in enumerate(q) if m != n and len(a) == len(b)]
+            want += [(i, r, j, s) for r, (s, j) in enumerate(sorted(scores, key=lambda x: (-x[0], x[1]))[:k], 1)]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("per", [512, 3])
+def test_knn(spark, monkeypatch, per):
+    monkeypatch.setattr(knn, "GROUP_QUERIES", per)
+    monkeypatch.setattr(knn, "CELL_ROWS", per)
+    monkeypatch.setattr(knn, "SLICE_ROWS", 20 * per)
     vectors = [[float(v) for v in rng.normal(size=8)] for _ in range(400)]
     vectors[7] = vectors[8] = vectors[50]
-    rows = [(i, v, "x", 1) for i, v in enumerate(vectors)] + [(500, None, "x", 1), (501, [1.0, None] + [0.0] * 6, "x", 1), (502, [float("nan")] * 8, "x", 1), (503, [float("inf")] * 8, "x", 1), (550, [1.0, 2.0], "x", 1), (551, [1.0, 2.0], "x", 1), (600, [], "x", 1), (650, [], "x", 1), (None, vectors[0], "x", 1), (3, vectors[3], "x", 1)]
-    data = knn.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>, cell string, dim int")).cache()
-    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in knn.topk_join(data, data.filter("vec_id % 50 = 0"), pivots=16).collect()}
-    q = {i: np.floor(256 * np.array(v)).astype(np.int64) for i, v in [*enumerate(vectors), (550, [1.0, 2.0]), (551, [1.0, 2.0]), (600, []), (650, [])]}
-    want = {}
-    for i in q:
-        if i % 50 == 0:
-            near = sorted((-int(q[i] @ q[j]), j) for j in q if j != i and len(q[j]) == len(q[i]))[:5]
-            want |= {(i, k + 1): (j, -s) for k, (s, j) in enumerate(near)}
-    assert got == want
+    rows = [(i, v, "x", 1) for i, v in enumerate(vectors)] + [(500, None, "x", 1), (501, [1.0, None] + [0.0] * 6, "x", 1), (502, [float("nan")] * 8, "x", 1), (503, [float("inf")] * 8, "x", 1), (550, [1.0, 2.0], "x", 1), (551, [1.0, 2.0], "x", 1), (600, [], "x", 1), (650, [], "x", 1), (None, vectors[0], "x", 1), (3, vectors[3], "x", 1), (3, vectors[4], "x", 1), (100, vectors[9], "x", 1), (700, [0.0] * 8, "x", 1)]
+    data = knn.save(knn.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>, cell string, dim int")), "vectors")
+    for pivots in (None, 3):
+        assert sorted(tuple(r) for r in knn.topk_join(data, data.filter("vec_id % 50 = 0"), pivots=pivots).collect()) == brute_knn(rows)
+
+
+def test_knn_of_large_numbers(spark):
+    import duckdb
+
+    rows = [(50, [1e7, 1.0]), (1, [2e7, 1.0]), (2, [1.0, 1.0]), (100, [-1.0, 0.0]), (50, [3.0, 4.0]), (50, [1.0, 0.5]), (150, [0.0, 0.0]), (200, [1e15, -1e15]), (201, [1e3, -1e15]), (300, None), (300, []), (9, [1.0]), (9, [1e308])]
+    for some in (rows, [*rows, (7, [1e30, 1.0]), (250, [-1e200, 3.0]), (8, [1e299, 1e307])]):
+        data = knn.save(knn.quantized(spark.createDataFrame(some, "vec_id long, embedding array<double>")), "vectors")
+        assert sorted(tuple(r) for r in knn.topk_join(data, data.filter("vec_id % 50 = 0")).collect()) == brute_knn(some)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows[:-1])
+    assert sorted(con.sql(knn.OP1_SQL).fetchall()) == brute_knn(rows[:-1])
 
 
 def test_urls(spark):
