@@ -93,6 +93,20 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int =
     return many.join(one, [*keys, "_salt"], "left").drop("_salt")
 
 
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join to a saved table with one row a key, whose column `rows` tells how many rows of the left have the key.
+
+    A key of over a quarter of an even share of all rows is hot: its rows are dealt to as many tasks as it holds such
+    quarters, and only its row on the right is sent to all of them. Hot keys number at most 4 x partitions.
+    """
+    share = (right.agg(F.sum("rows")).first()[0] or 0) / (4 * partitions(left.sparkSession))
+    cuts = F.ceil(F.col("rows") / max(share, 1000.0)).cast("int")
+    hot = F.broadcast(right.select(*keys, cuts.alias("_cuts")).filter("_cuts > 1"))
+    dealt = left.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.coalesce("_cuts", F.lit(1))).cast("int")).drop("_cuts")
+    copied = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), cuts - 1))).drop("rows")
+    return dealt.join(copied, [*keys, "_salt"]).drop("_salt")
+
+
 def binary_lists(col) -> list[bytes]:
     """An Arrow binary column as Python bytes; null is empty."""
     return [x or b"" for x in col.to_pylist()]

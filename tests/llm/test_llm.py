@@ -391,6 +391,94 @@ def test_url_templates_learn_from_rules(spark):
     assert by["h.net", "/fr/{n}"] >= by["h.net", "/en/{n}"] and ("s.net", "/fr/p{n}") in by
 
 
+def brute_templates(urls_):
+    """(host, path): template and purity, by plain recursion."""
+
+    def shaped(path):
+        path = path.replace("{", "{{")
+        for pattern, to in ((r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "{uuid}"), (r"\d{4}-\d{2}-\d{2}", "{date}"), (r"(?<![0-9a-zA-Z])(?=[0-9a-f]*\d)[0-9a-f]{16,}(?![0-9a-zA-Z])", "{hex}"), (r"\d+", "{n}"), (r"[^/]{40,}", "{long}")):
+            path = re.sub(pattern, to, path)
+        return path
+
+    def label(host, path):
+        fits = [(len(h + p), kind) for kind, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    labels = [label(h, p) for h, p in urls_]
+    known = [x for x in labels if x]
+    overall = known.count("block") / len(known) if known else 0.0
+    template = {}
+
+    def grow(rows, prefix):
+        """rows: index and segments left, all of one node."""
+        live = [(i, r) for i, r in rows if r]
+        for i, r in rows:
+            if not r:
+                template[i] = prefix
+        sizes = Counter(r[0] for _, r in live)
+        below = {}
+        for i, r in live:
+            literal = sizes[r[0]] >= urls.LEAST and sizes[r[0]] >= urls.KEEP * len(live)
+            below.setdefault(r[0] if literal else urls.ANY, []).append((i, r[1:]))
+        for segment, some in below.items():
+            grow(some, f"{prefix}/{segment}")
+
+    purity = {}
+    for host in {h for h, _ in urls_}:
+        grow([(i, shaped(p).split("/")[1:]) for i, (h, p) in enumerate(urls_) if h == host], "")
+        tree = {}
+        for i, (h, _) in enumerate(urls_):
+            if h == host and labels[i]:
+                l, b = tree.get(template[i], (0, 0))
+                tree[template[i]] = l + 1, b + (labels[i] == "block")
+        unit = {t: (t,) for t in tree}  # of each template: those it has merged with
+        paths = {t: (*t.split("/")[1:], urls.END) for t in tree}
+        for depth in range(max(map(len, paths.values()), default=0), 0, -1):
+            nodes = {}
+            for t, p in paths.items():
+                if len(p) >= depth:
+                    nodes.setdefault(p[:depth], []).append(t)
+            whole = {}
+            for node, ts in nodes.items():
+                if len({unit[t] for t in ts}) == 1:
+                    l, b = (sum(tree[t][k] for t in ts) for k in (0, 1))
+                    whole.setdefault(node[:-1], []).append((b / l, "/".join(node), l, ts))
+            for some in whole.values():
+                held, last = [], None
+                for p, _, l, ts in sorted(some, key=lambda x: x[:2]):
+                    if last:
+                        both = (p * l + last[0] * last[1]) / (l + last[1])
+                        if (p - last[0]) / (max(both * (1 - both), 1e-4) * (1 / l + 1 / last[1])) ** 0.5 >= urls.MERGE_Z:
+                            unit |= {t: tuple(held) for t in held}
+                            held = []
+                    held += ts
+                    last = p, l
+                unit |= {t: tuple(held) for t in held}
+        for t, of in unit.items():
+            l, b = (sum(tree[x][k] for x in of) for k in (0, 1))
+            purity[host, t] = (b + urls.PRIOR * overall) / (l + urls.PRIOR)
+    return [(template[i], purity.get((h, template[i]), overall)) for i, (h, _) in enumerate(urls_)]
+
+
+def test_url_templates_equal_brute_force(spark):
+    pick = lambda *x: str(rng.choice(x))
+    paths = [f"/{pick('en', 'fr', 'es', 'de')}/{pick('a', 'b', '*', '{n}', '{*}')}/{rng.integers(99)}/{pick('x', 'y', 'z')}" for _ in range(500)]
+    paths += [f"/{pick('fr', 'en')}/{'deep/' * int(rng.integers(9))}p{rng.integers(3)}{pick('', '/', '//x')}" for _ in range(300)]
+    paths += [f"/wiki/{rng.integers(1 << 40):x}g/{pick('talk', 'history', '')}" for _ in range(300)] + ["", "/", "//", "/2024-01-02/" + "s" * 50, "/" + "t/" * 40, "/0123456789abcdef0/1"] * 2
+    made = [(pick("h.net", "a.example.com", "www.example.com", "k.org"), p) for p in paths]
+    pages = spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p) in enumerate(made)], "page_id long, url string")
+    got = {r.page_id: (r.template, r.purity) for r in urls.judge(pages).collect()}
+    for i, (t, p) in enumerate(brute_templates(made)):
+        assert got[i][0] == t and abs(got[i][1] - p) < 1e-12, (made[i], got[i], (t, p))
+
+
+def test_hot_join_deals_hot_keys(spark):
+    left = spark.range(40_000).selectExpr("id", "if(id % 3 = 0, 0, id) AS k")
+    right = common.save(left.groupBy("k").agg(F.count("*").alias("rows")).withColumn("v", F.col("k") * 2), "right")
+    out = common.hot_join(left, right, ["k"])
+    assert out.count() == 40_000 and out.filter("v != 2 * k").count() == 0 and out.columns == ["k", "id", "v"]
+
+
 def test_media(spark):
     out = {(r.doc_id, r.n_bytes): r for r in media.digests(media.media(docs(spark))).collect()}
     for i, t in ROWS:
