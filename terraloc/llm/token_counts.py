@@ -1,33 +1,33 @@
 """Unigram token counts by dynamic programming over a trie.
 
-A batch's distinct words that aren't known yet go into a trie, built level by level from the words' characters. A node
-holds the best forward score of its prefix and the number of pieces of that segmentation; both are computed once for
-all words that share the prefix, from the ancestors that the pieces ending here start at. A word's count is stored at
-its terminal node. Pieces are found by their rolling hash among the vocabulary's pieces of the same length.
+A batch's distinct words that aren't known yet are walked in order, which is a walk of their trie: a word goes on from
+the deepest node that it shares with the word before it, where the forward scores of that prefix are kept, so that each
+node's score is computed once. A node holds the best forward score of its prefix and the number of pieces of that
+segmentation; a word's are stored at its terminal node. Pieces that end at a node are found by a walk backwards in a
+trie of the vocabulary's reversed pieces, so that no step is taken that leads to no piece. Words have any length.
 
-Words of over LONGEST_WORD characters, such as texts without white space, share next to no prefixes; each distinct one
-of them is segmented by the same recurrence by itself, whole, so that the trie's levels stay few.
+The vocabulary is a piece file whose order is by frequency. Nothing is trained: the unigram distribution is Zipf's over
+that order, the 256 bytes being the last ranks: p(r) = 1 / (r + 2), divided by the sum of all. A character that is no
+piece counts as its UTF-8 bytes.
 
-The vocabulary is a piece file whose order is by frequency; a piece of rank r has log probability -log(r + 2) (Zipf).
-A character that is no piece counts as its UTF-8 bytes, each at UNKNOWN.
+Bounded: a task keeps the counts of words of CACHED_CHARACTERS together.
 
 Defined cases: null and empty texts have no words and no tokens; of segmentations with equal scores the one whose last
-piece is shorter counts; columns other than doc_id and text aren't read; an empty table gives an empty result.
+piece is shorter counts; rows without a doc_id keep their null; columns other than doc_id and text aren't read; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
-import numpy as np
+import math
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloc.llm.common import table
+from terraloc.llm.common import by_size, table
 
-UNKNOWN = -25.0
-LONGEST_WORD = 64
-CACHED_WORDS = 400_000
-BASE = np.uint64(0x9E3779B97F4A7C15)
+CACHED_CHARACTERS = 4 << 20
 MARK = "▁"
 
 
@@ -37,105 +37,72 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def vocabulary_scores(path: str) -> dict[str, float]:
+def vocabulary_scores(path: str) -> tuple[dict[str, float], float]:
+    """The log probability of each piece, and that of each of the 256 bytes."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-    return {p: -float(np.log(r + 2)) for r, p in enumerate(pieces)}
+    weight, byte = [1 / (r + 2) for r in range(len(pieces))], 1 / (len(pieces) + 2)
+    total = math.fsum(weight) + 256 * byte
+    return {p: math.log(w / total) for p, w in zip(pieces, weight, strict=True)}, math.log(byte / total)
 
 
 class Counter:
-    def __init__(self, scores: dict[str, float]):
-        self.tables = {}
-        self.scores = scores
+    def __init__(self, scores: dict[str, float], byte: float):
+        self.byte = byte
         self.known: dict[str, tuple[int, float]] = {}
-        for length in sorted({len(p) for p in scores}):
-            pieces = [p for p in scores if len(p) == length]
-            chars = np.array([[ord(c) for c in p] for p in pieces], np.uint64)
-            h = np.zeros(len(pieces), np.uint64)
-            with np.errstate(over="ignore"):
-                for k in range(length):
-                    h = h * BASE + chars[:, k] + np.uint64(1)
-            order = np.argsort(h)
-            self.tables[length] = (h[order], np.array([scores[p] for p in pieces])[order])
-
-    def count(self, words: list[str]) -> list[tuple[int, float]]:
-        """Pieces and score of each word; words are at most LONGEST_WORD characters and a mark."""
-        words = sorted(words)
-        n, deep = len(words), max(map(len, words))
-        size = np.array([len(w) for w in words])
-        chars = np.zeros((n, deep), np.uint64)
-        chars[np.arange(deep) < size[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
-        node = np.zeros((deep + 1, n), np.int32)  # of each word's prefix, by its length
-        rolled = np.zeros((deep + 1, n), np.uint64)
-        best, pieces = [np.zeros(1)], [np.zeros(1, np.int64)]
-        terminal_score, terminal_count = np.zeros(n), np.zeros(n, np.int64)
-        power = [np.uint64(1)]
-        with np.errstate(over="ignore"):
-            for d in range(1, deep + 1):
-                power.append(power[-1] * BASE)
-                live = np.nonzero(size >= d)[0]
-                _, first, inverse = np.unique(node[d - 1, live].astype(np.int64) << 21 | chars[live, d - 1].astype(np.int64), return_index=True, return_inverse=True)
-                node[d, live] = inverse
-                rolled[d, live] = rolled[d - 1, live] * BASE + chars[live, d - 1] + np.uint64(1)
-                rep = live[first]  # a word of each node
-                last = chars[rep, d - 1]
-                width = 1 + (last >= 0x80).astype(np.int64) + (last >= 0x800) + (last >= 0x10000)
-                score = best[d - 1][node[d - 1, rep]] + UNKNOWN * width
-                count = pieces[d - 1][node[d - 1, rep]] + width
-                for length, (keys, logs) in self.tables.items():
-                    if length > d:
+        self.size = 0
+        self.ends: dict = {}  # reversed pieces: a node's children by character, and under "" the log of the piece that is whole there
+        for piece, log in scores.items():
+            node = self.ends
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[""] = log
+
+    def count(self, words) -> None:
+        """Stores pieces and score of each word."""
+        best, pieces, before = [0.0], [0], ""
+        ends, byte, known = self.ends.get, self.byte, self.known
+        for word in sorted(words):
+            shared = 0
+            for a, b in zip(before, word):  # noqa: B905  up to the shorter's end
+                if a != b:
+                    break
+                shared += 1
+            del best[shared + 1 :], pieces[shared + 1 :]
+            for d in range(shared, len(word)):
+                c = word[d]
+                width = 1 + (c >= "\x80") + (c >= "\u0800") + (c >= "\U00010000")
+                score, count = best[d] + byte * width, pieces[d] + width
+                at, node = d, ends(c)
+                while node is not None:
+                    log = node.get("")
+                    if log is not None and best[at] + log > score:
+                        score, count = best[at] + log, pieces[at] + 1
+                    if not at:
                         break
-                    h = rolled[d, rep] - rolled[d - length, rep] * power[length]
-                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    hit = np.nonzero(keys[at] == h)[0]
-                    up = node[d - length, rep[hit]]
-                    new = best[d - length][up] + logs[at[hit]]
-                    better = new > score[hit]
-                    score[hit[better]] = new[better]
-                    count[hit[better]] = pieces[d - length][up[better]] + 1
+                    at -= 1
+                    node = node.get(word[at])
                 best.append(score)
                 pieces.append(count)
-                ends = np.nonzero(size == d)[0]
-                terminal_score[ends], terminal_count[ends] = score[node[d, ends]], count[node[d, ends]]
-        found = dict(zip(words, zip(terminal_count.tolist(), terminal_score.tolist(), strict=True), strict=True))
-        self.known.update(found)
-        return found
-
-    def count_long(self, word: str) -> tuple[int, float]:
-        """Pieces and score of one word of any length."""
-        lengths, get = list(self.tables), self.scores.get
-        best, pieces = [0.0], [0]
-        for d, c in enumerate(word, 1):
-            width = 1 + (c >= "\x80") + (c >= "\u0800") + (c >= "\U00010000")
-            score, count = best[-1] + UNKNOWN * width, pieces[-1] + width
-            for length in lengths:
-                if length > d:
-                    break
-                log = get(word[d - length : d])
-                if log is not None and best[d - length] + log > score:
-                    score, count = best[d - length] + log, pieces[d - length] + 1
-            best.append(score)
-            pieces.append(count)
-        return pieces[-1], best[-1]
+            known[word] = pieces[-1], best[-1]
+            before = word
 
     def texts(self, texts: list[str]) -> list[tuple[int, int, float]]:
         """Words, tokens and score of each text."""
-        out = []
         cut = [[MARK + w for w in t.split()] for t in texts]
-        all_words = set().union(*cut)
-        long = {w for w in all_words if len(w) > LONGEST_WORD}
-        if new := (all_words - long).difference(self.known):
-            if len(self.known) > CACHED_WORDS:
-                self.known.clear()
-                new = all_words - long
-            self.count(list(new))
-        if long:
-            by_word = {w: self.count_long(w) for w in long}
-        for words in cut:
-            found = [by_word[w] if len(w) > LONGEST_WORD else self.known[w] for w in words] if long else list(map(self.known.__getitem__, words))
-            out.append((len(words), sum(n for n, _ in found), float(sum(s for _, s in found))))
+        words = set().union(*cut)
+        new = words.difference(self.known)
+        if self.size + sum(map(len, new)) > CACHED_CHARACTERS:
+            self.known.clear()
+            self.size, new = 0, words
+        self.count(new)
+        self.size += sum(map(len, new))
+        out, get = [], self.known.__getitem__
+        for some in cut:
+            found = list(map(get, some))
+            out.append((len(some), sum(n for n, _ in found), math.fsum(s for _, s in found)))
         return out
 
 
@@ -147,16 +114,9 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or default_vocabulary()
 
     def run(batches):
-        counter = Counter(vocabulary_scores(path))
+        counter = Counter(*vocabulary_scores(path))
         for b in batches:
-            rows, size, held = [], 0, []
-            for t in b.column(1).to_pylist():
-                held.append(t or "")
-                size += len(held[-1])
-                if size > 1 << 20:
-                    rows += counter.texts(held)
-                    held, size = [], 0
-            rows += counter.texts(held) if held else []
+            rows = [x for some in by_size([t or "" for t in b.column(1).to_pylist()]) for x in counter.texts(some)]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
             yield pa.record_batch([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=[x.split()[0] for x in COUNTS.split(", ")])
 

@@ -314,25 +314,31 @@ def test_pieces_of_one_length_share_sequences():
     assert len(places) == 300 * 1000 + 100 * 7 and max(p for _, p in places) < 2048
 
 
-def test_token_counts():
-    scores = token_counts.vocabulary_scores(token_counts.default_vocabulary())
-    counter = token_counts.Counter(scores)
+@pytest.mark.parametrize("cached", [token_counts.CACHED_CHARACTERS, 10])
+def test_token_counts(monkeypatch, cached):
+    monkeypatch.setattr(token_counts, "CACHED_CHARACTERS", cached)
+    scores, byte = token_counts.vocabulary_scores(token_counts.default_vocabulary())
+    assert abs(sum(map(np.exp, scores.values())) + 256 * np.exp(byte) - 1) < 1e-9
+    counter, longest = token_counts.Counter(scores, byte), max(map(len, scores))
 
     def brute(w):
         best = [(0.0, 0)]
         for d in range(1, len(w) + 1):
             u = len(w[d - 1].encode())
-            s, n = best[d - 1][0] + token_counts.UNKNOWN * u, best[d - 1][1] + u
-            for k in range(1, d + 1):
+            s, n = best[d - 1][0] + byte * u, best[d - 1][1] + u
+            for k in range(1, min(d, longest) + 1):
                 if w[d - k : d] in scores and best[d - k][0] + scores[w[d - k : d]] > s:
                     s, n = best[d - k][0] + scores[w[d - k : d]], best[d - k][1] + 1
             best.append((s, n))
-        return best[-1][1]
+        return best[-1]
 
-    texts = [t or "" for t in TEXTS if len(t or "") < 50_000] + ["the" * 300 + " 日本" * 5 + "日本語😀" * 200 + "\u07ff\u0800\uffff" * 30, "日本" * 99]
-    for t, (n, tokens, _) in zip(texts, counter.texts(texts), strict=True):
-        words = [token_counts.MARK + w for w in t.split()]
-        assert n == len(words) and tokens == sum(map(brute, words))
+    texts = [t or "" for t in TEXTS] + ["the" * 300 + " 日本" * 5 + "日本語😀" * 200 + "\u07ff\u0800\uffff" * 30, "日本" * 99, "".join(prose(12_000).split()), "the theme then they thin"]
+    own = {}
+    for k in range(0, len(texts), 6):
+        for t, (n, tokens, score) in zip(texts[k : k + 6], counter.texts(texts[k : k + 6]), strict=True):
+            words = [token_counts.MARK + w for w in t.split()]
+            own.update((w, brute(w)) for w in set(words).difference(own))
+            assert n == len(words) and tokens == sum(own[w][1] for w in words) and abs(score - sum(own[w][0] for w in words)) <= 1e-9 * abs(score)
 
 
 def brute_knn(rows, k=5):
@@ -491,6 +497,50 @@ def test_media(spark):
     assert media.as_tensors(tensors).column("values").type.shape == [media.FRAMES, media.BANDS]
 
 
+def test_log_mel_equals_direct_sums():
+    x = rng.normal(size=700).astype(np.float32)
+    rate, n = media.RATE * media.UP / media.DOWN, media.FRAME
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / (n - 1))
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(n // 2 + 1), np.arange(n)) / n)
+    top = 2595 * np.log10(1 + rate / 2 / 700)
+    edges = [700 * (10 ** (top * k / (media.BANDS + 1) / 2595) - 1) for k in range(media.BANDS + 2)]
+    want = []
+    for a in range(0, len(x) - n + media.HOP, media.HOP):
+        frame = np.zeros(n)
+        frame[: len(x[a : a + n])] = x[a : a + n]
+        power = np.abs(turn @ (frame * window)) ** 2
+        row = []
+        for low, mid, high in zip(edges, edges[1:], edges[2:], strict=False):
+            f = np.arange(n // 2 + 1) * rate / n
+            gain = [max(0, min((v - low) / (mid - low), (high - v) / (high - mid))) for v in f]
+            row.append(np.log(max(float(power @ gain), 1e-6)))
+        want.append(row)
+    assert np.allclose(media.log_mel(x), want, atol=2e-3)
+
+
+def test_segments_equal_a_state_machine():
+    for energy in (rng.normal(size=400).cumsum(), rng.normal(size=50), np.zeros(9), np.array([1.0]), np.zeros(0)):
+        want, on = [], None
+        if len(energy) and energy.std() >= 1e-4:
+            high, low = energy.mean() + 0.5 * energy.std(), energy.mean() - 0.25 * energy.std()
+            for k, v in enumerate(energy):
+                if on is None and v > high:
+                    on = k
+                elif on is not None and v < low:
+                    want.append((on, k))
+                    on = None
+            want += [(on, len(energy))] if on is not None else []
+        assert [tuple(x) for x in media.segments(energy).tolist()] == want
+
+
+def test_features_of_long_texts_equal_the_whole_signal():
+    samples = bytes(rng.integers(0, 256, media.PIECE + 4096 + 64, np.uint8))
+    x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
+    frames, found = media.features(samples)
+    whole = media.log_mel(media.resample(x))
+    assert frames.shape == whole.shape and np.allclose(frames, whole, atol=1e-3) and (found == media.segments(frames.mean(1))).all()
+
+
 def test_resampling_is_upsample_filter_decimate():
     x = rng.normal(size=1000).astype(np.float32)
     h = np.zeros(media.UP * media.TAPS)
