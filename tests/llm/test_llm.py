@@ -552,18 +552,52 @@ def test_resampling_is_upsample_filter_decimate():
     assert np.allclose(media.resample(x)[: len(want)], want, atol=1e-4)
 
 
-def test_warc(spark):
-    rows = [(1, "http://b.org/x", "same"), (2, "http://a.org/y z\r\n", "same"), (3, None, None), (4, "http://a.org/", ""), (5, "http://a.org/", "é" * 5000), (6, "http://b.org/x", "same"), (6, "http://b.org/x", "same")]
+WARC_ROWS = [(1, "http://b.org/x", "same"), (2, "http://a.org/y z\r\n", "same"), (3, None, None), (4, "http://a.org/", ""), (5, "HTTP://A.org", "é" * 5000), (6, "http://b.org/x", "same"), (6, "http://b.org/x", "same"), (7, "://é.B.c?q#f", "\0\r\n"), (8, "a\x7f", "WARC/1.1\r\n\r\n")]
+
+
+@pytest.mark.parametrize("size", [warc.ARCHIVE_BYTES, 1])
+def test_warc(spark, tmp_path, monkeypatch, size):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", size)
+    monkeypatch.setattr(warc, "RANGE_ROWS", 2)
+    rows = [*WARC_ROWS, (None, "http://b.org/x", "same")]
     pages = spark.createDataFrame([(i, u, h, "t", 1) for i, u, h in rows], "page_id long, url string, html string, sha string, first int")
-    index = warc.merged_index(warc.captures(warc.archives(pages))).collect()
-    assert len(index) == 7
-    first = {"same": 1, "": 3, "é" * 5000: 5}
+    warc.write_archives(pages, str(tmp_path / "w"))
+    index = warc.merged_index(warc.save(warc.captures(warc.read_archives(spark, str(tmp_path / "w"))), "captures")).collect()
+    assert len(index) == len(WARC_ROWS)
+    first = {}
+    for i, _, h in WARC_ROWS:
+        first.setdefault(h or "", i)
     for r in index:
-        h = dict((i, h or "") for i, _, h in rows)[r.page_id]
+        h = dict((i, h or "") for i, _, h in WARC_ROWS)[r.page_id]
         assert (r.payload_bytes, r.payload_digest) == (len(h.encode()), warc.base32_sha1(h.encode()))
         assert (r.record_type, r.refers_to) == (("response", None) if first[h] == r.page_id else ("revisit", first[h]))
-    keys = [(r.url_key, r.captured, r.page_id) for r in sorted(index, key=lambda r: (r.range, r.position))]
+    assert sorted(r.position for r in index) == list(range(len(index)))
+    keys = [(r.url_key, r.captured, r.page_id) for r in sorted(index, key=lambda r: r.position)]
     assert keys == sorted(keys)
+    import gzip
+
+    for f in (tmp_path / "w").glob("*.warc.gz"):  # whole gzip files, each with a warcinfo record first
+        assert gzip.decompress(f.read_bytes()).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
+
+
+def test_warc_equals_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(10 * i, u, h) for i, (_, u, h) in enumerate(WARC_ROWS)] + [(10 * i + 1, f"http://h{i % 7}.org/{i}", f"{i % 5}") for i in range(300)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(warc.OP9_SQL)
+    got = warc.op9_warc(spark, str(tmp_path))
+    assert got.columns == want.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_long_records_end_in_zero():
+    payload = bytes(rng.integers(0, 256, 17 << 20, np.uint8))
+    made = [warc.record(k, "http://a.org/", p, len(p), warc.base32_sha1(p), None) for k, p in enumerate((payload, b"x"))]
+    assert made[0][-1] and not made[1][-1]
+    data = b"".join(warc.line(m) + b"\0" for m in made)
+    assert [len(b.partition(b"\r\n\r\n")[2]) for _, _, b in warc.records(data)] == [len(payload), 1]
 
 
 def test_records_of_any_size_are_read():
