@@ -16,4 +16,4 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_packing": packing.op10_packing,
 }
-SQL: dict[str, str] = {"op1_knn": knn.OP1_SQL, "op9_warc": warc.OP9_SQL}
+SQL: dict[str, str] = {"op1_knn": knn.OP1_SQL, "op2_suffix_dedup": suffixes.OP2_SQL, "op9_warc": warc.OP9_SQL}

@@ -518,4 +518,20 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removed(table(spark, sf_dir, "documents"))
+    return removed(table(spark, sf_dir, "documents")).drop("spans")
+
+
+OP2_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, CAST(doc_id AS BIGINT) AS doc_id, encode(coalesce(text, '')) AS b FROM documents WHERE doc_id IS NOT NULL),
+p AS (SELECT r, unnest(range(1, CAST(octet_length(b) AS BIGINT) - {WINDOW - 2})) AS k FROM d),
+w AS (SELECT r, doc_id, k, b[k:k + {WINDOW - 1}] AS s FROM p JOIN d USING (r)),
+m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+h AS (SELECT r, k, CASE WHEN k - lag(k) OVER (PARTITION BY r ORDER BY k) <= {WINDOW} THEN 0 ELSE 1 END AS new FROM w JOIN m USING (s) WHERE least < doc_id),
+n AS (SELECT r, k, sum(new) OVER (PARTITION BY r ORDER BY k) AS run FROM h),
+s AS (SELECT r, min(k) AS a, max(k) + {WINDOW} AS e FROM n GROUP BY r, run),
+t AS (SELECT r, sum(e - a) AS n_removed, count(*) AS n_spans, list(a - 1 ORDER BY a) AS ends, list(e ORDER BY a) AS starts FROM s GROUP BY r),
+u AS (SELECT doc_id, b, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, list_concat([1], coalesce(starts, [])) AS starts, list_concat(coalesce(ends, []), [CAST(octet_length(b) AS BIGINT)]) AS ends FROM d LEFT JOIN t USING (r))
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans,
+  sha256(unhex(array_to_string([CASE WHEN ends[i] >= starts[i] THEN hex(b[starts[i]:ends[i]]) ELSE '' END FOR i IN range(1, len(starts) + 1)], ''))) AS kept_sha256
+FROM u
+"""
