@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloc.llm.common import save, tune
+from terraloc.llm.common import discard, save, tune
 from terraloc.llm.packing import pack
 from terraloc.llm.simhash import near_dedup
 from terraloc.llm.suffixes import dedup
@@ -18,7 +18,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of near copies stays."""
+    """One document, that with the smallest doc_id, of each group of near copies stays; near copies are texts whose fingerprints over four words link, as the operator's contract has it."""
     return near_dedup(docs)
 
 
@@ -43,10 +43,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's table goes when the next one is written."""
     tune(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = save(docs, name)
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        kept = save(stage(spark, docs, sf_dir), name)
+        if k:
+            discard(docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
