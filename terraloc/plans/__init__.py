@@ -1,5 +1,5 @@
 """Queries over the driver's tables."""
 
-from terraloc.plans import localization, queries
+from terraloc.plans import files, localization, queries
 
-__all__ = ["localization", "queries"]
+__all__ = ["files", "localization", "queries"]

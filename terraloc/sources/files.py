@@ -120,6 +120,11 @@ PARSERS = {".bin": parse_bin, ".pcd": parse_pcd}
 
 def read_scans(spark: SparkSession, folder: str, extension: str, block: int = 65_536) -> DataFrame:
     """POINT rows of a folder's scans; fields that a file lacks are null. One task reads one file or more, by Spark's splitting."""
+    return scan_points(spark.read.format("binaryFile").option("pathGlobFilter", f"*{extension}").load(folder), extension, block)
+
+
+def scan_points(files: DataFrame, extension: str, block: int = 65_536) -> DataFrame:
+    """POINT rows of scans' path and content."""
     parse = PARSERS[extension]
 
     def run(batches):
@@ -137,7 +142,6 @@ def read_scans(spark: SparkSession, folder: str, extension: str, block: int = 65
                         cols.append(pa.array(p[f][s:e], t, from_pandas=False, safe=False) if f in p else pa.nulls(e - s, t))
                     yield pa.record_batch(cols, names=["path", "pt", "x", "y", "z", "intensity", "ring", "time"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{extension}").load(folder)
     return files.select("path", "content").mapInArrow(run, POINT)
 
 
