@@ -1,7 +1,8 @@
 """Exact kNN joins by blocks, radius joins by grid cells, and alignment of descriptors by circular shifts.
 
-Neighbours are found by squared distance, rounded to 9 places, and then id. Queries and map are packed into blocks of
-about BLOCK rows, so that one row of the joined plan is a pair of blocks whose distances are one matrix product.
+Neighbours are found by squared distance, rounded to 9 places, and then id. Queries and map are packed, where they lie,
+into blocks of up to BLOCK rows of ids and numbers, so that nothing is shuffled or counted before, and one row of the
+joined plan is a pair of blocks that are read as matrices. Queries are a stated set; all of the map is searched for them.
 """
 
 from __future__ import annotations
@@ -16,45 +17,84 @@ from terraloc.operators.descriptors import RINGS, SECTORS
 BLOCK = 512
 
 
-def _blocks(keys: DataFrame, name: str) -> DataFrame:
-    n = max(1, -(-keys.count() // BLOCK))
-    return keys.groupBy(F.pmod(F.xxhash64("frame_id"), F.lit(n)).alias("b")).agg(F.collect_list(F.struct("frame_id", "k")).alias(name)).select(name)
+def _blocks(keys: DataFrame) -> DataFrame:
+    """ids, ks: little-endian 64-bit ids and doubles of up to BLOCK keys of one partition. Null keys, or such that hold a null, have no neighbours."""
+
+    def pack(batches):
+        held, size = [], 0
+
+        def block():
+            t = pa.Table.from_batches(held).combine_chunks()
+            ks = t.column(1).combine_chunks()
+            ks = pa.concat_arrays(ks.chunks) if isinstance(ks, pa.ChunkedArray) else ks
+            return [t.column(0).to_numpy().astype("<i8").tobytes()], [ks.flatten().to_numpy(zero_copy_only=False).astype("<f8").tobytes()]
+
+        for b in batches:
+            for at in range(0, b.num_rows, BLOCK):
+                part = b.slice(at, BLOCK)
+                if size + part.num_rows > BLOCK:
+                    yield pa.record_batch(list(map(pa.array, block())), names=["ids", "ks"])
+                    held, size = [], 0
+                held.append(part)
+                size += part.num_rows
+        if size:
+            yield pa.record_batch(list(map(pa.array, block())), names=["ids", "ks"])
+
+    known = keys.filter(F.col("frame_id").isNotNull() & F.col("k").isNotNull() & ~F.exists("k", F.isnull))
+    return known.select(F.col("frame_id").cast("long"), F.col("k").cast("array<double>")).mapInArrow(pack, "ids binary, ks binary")
 
 
 def save_index(entries: DataFrame, path: str) -> None:
     """entries: frame_id, k. Writes them as blocks, which load_index reads for searches without packing them again."""
-    _blocks(entries, "cs").write.mode("overwrite").parquet(path)
+    _blocks(entries).write.mode("overwrite").parquet(path)
 
 
 def load_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def knn(queries: DataFrame, entries: DataFrame, k: int = 10, metric: str = "l2") -> DataFrame:
-    """queries, entries: frame_id, k (arrays of one length). q, c, d, rk: the k nearest entries of each query. The metric is l1 or l2 (squared)."""
-    return knn_of_index(queries, _blocks(entries, "cs"), k, metric)
+def knn(queries: DataFrame, entries: DataFrame, k: int = 10, metric: str = "l2", without_own: bool = False) -> DataFrame:
+    """queries, entries: frame_id, k (arrays of one length). q, c, d, rk: the k nearest entries of each query; without_own leaves out those of the query's id. The metric is l1 or l2 (squared)."""
+    return knn_of_index(queries, _blocks(entries), k, metric, without_own)
 
 
-def knn_of_index(queries: DataFrame, index: DataFrame, k: int = 10, metric: str = "l2") -> DataFrame:
+def knn_of_index(queries: DataFrame, index: DataFrame, k: int = 10, metric: str = "l2", without_own: bool = False) -> DataFrame:
     """knn, with the entries as load_index reads them."""
     if metric not in ("l1", "l2"):
         raise ValueError(f"no such metric: {metric}")
 
+    def read(ids, ks):
+        ids = np.frombuffer(ids, "<i8")
+        return ids, np.frombuffer(ks, "<f8").reshape(len(ids), -1)
+
     def near(batches):
         for b in batches:
-            for qs, cs in zip(b.column("qs").to_pylist(), b.column("cs").to_pylist(), strict=True):
-                q, c = (np.array([r["k"] for r in x], float) for x in (qs, cs))
-                ids = np.array([r["frame_id"] for r in cs], np.int64)
+            for qi, qk, ci, ck in zip(*(b.column(c).to_pylist() for c in ("qi", "qk", "ids", "ks")), strict=True):
+                (own, q), (ids, c) = read(qi, qk), read(ci, ck)
                 d = np.empty((len(q), len(c)))
                 for i in range(len(q)):  # differences, as |a|^2 - 2ab + |b|^2 loses places
                     diff = c - q[i]
-                    d[i] = np.abs(diff).sum(1) if metric == "l1" else (diff * diff).sum(1)
+                    d[i] = np.abs(diff).sum(1) if metric == "l1" else np.einsum("ij,ij->i", diff, diff)
                 d = np.round(d, 9)
-                order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-                own = np.repeat(np.array([r["frame_id"] for r in qs], np.int64), order.shape[1])
-                yield pa.record_batch([pa.array(own), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(d, order, 1).ravel())], names=["q", "c", "d"])
-
-    pairs = _blocks(queries, "qs").crossJoin(index).mapInArrow(near, "q long, c long, d double")
+                if without_own:
+                    d[own[:, None] == ids] = np.inf
+                if len(c) > 4 * k:  # only those up to the k-th distance are sorted
+                    order = np.argsort(ids, kind="stable")
+                    ids, d = ids[order], d[:, order]
+                    kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+                    tied = d == kth
+                    take = (d < kth) | (tied & (np.cumsum(tied, axis=1) <= k - (d < kth).sum(1, keepdims=True)))
+                    at = np.nonzero(take)[1].reshape(len(q), k)
+                    wide, d = ids[at], np.take_along_axis(d, at, 1)
+                else:
+                    wide = np.broadcast_to(ids, d.shape)
+                order = np.lexsort((wide, d), axis=1)[:, :k]
+                wide, d = np.take_along_axis(wide, order, 1).ravel(), np.take_along_axis(d, order, 1).ravel()
+                left, found = np.repeat(own, order.shape[1]), d < np.inf
+                yield pa.record_batch([pa.array(left[found]), pa.array(wide[found]), pa.array(d[found])], names=["q", "c", "d"])
+
+    asked = _blocks(queries).select(F.col("ids").alias("qi"), F.col("ks").alias("qk"))
+    pairs = asked.crossJoin(index).mapInArrow(near, "q long, c long, d double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "c"))
     return pairs.withColumn("rk", rank).filter(F.col("rk") <= k)
 

@@ -30,14 +30,26 @@ def curvature(cloud: DataFrame, reach: int = 5) -> DataFrame:
     return d.withColumn("curvature", F.when(F.count("*").over(near) == 2 * reach + 1, total * total))
 
 
-def occlusion(cloud: DataFrame, jump: float = 0.3, beam: float = 0.02) -> DataFrame:
-    """masked: 1 beside a jump of depth (on its far side) or on a surface along the beam."""
+def scan_column(x, y, columns: int = 1800):
+    """Column of a point's azimuth, counted clockwise from behind; what falls outside is column 0."""
+    turns = (F.degrees(F.atan2(x, y)) - 90.0) / (360.0 / columns)
+    col = F.lit(columns // 2) - F.when(turns >= 0, F.floor(turns + 0.5)).otherwise(F.ceil(turns - 0.5))
+    col = F.when(col >= columns, col - columns).otherwise(col)
+    return F.when((col >= 0) & (col < columns), col).otherwise(0).cast("int")
+
+
+def occlusion(cloud: DataFrame, jump: float = 0.3, beam: float = 0.02, gap: int | None = 10) -> DataFrame:
+    """masked: 1 beside a jump of depth (on its far side) between neighbours of under `gap` columns apart (any, if None), or on a surface along the beam."""
     d = depth(cloud)
     ahead, behind = F.lead("r").over(by_frame()), F.lag("r").over(by_frame())
-    d = d.withColumn("left", F.when(F.col("r") - ahead > jump, 1).otherwise(0)).withColumn("right", F.when(ahead - F.col("r") > jump, 1).otherwise(0))
+    near = F.lit(True)
+    if gap is not None:
+        d = d.withColumn("_col", scan_column(F.col("x"), F.col("y")))
+        near = F.abs(F.lead("_col").over(by_frame()) - F.col("_col")) < gap
+    d = d.withColumn("left", F.when(near & (F.col("r") - ahead > jump), 1).otherwise(0)).withColumn("right", F.when(near & (ahead - F.col("r") > jump), 1).otherwise(0))
     along = (F.abs(behind - F.col("r")) > beam * F.col("r")) & (F.abs(ahead - F.col("r")) > beam * F.col("r"))
     marks = [F.coalesce(F.max("left").over(by_frame().rowsBetween(0, 5)), F.lit(0)), F.coalesce(F.max("right").over(by_frame().rowsBetween(-6, -1)), F.lit(0)), F.when(along, 1).otherwise(0)]
-    return d.withColumn("masked", F.greatest(*marks).cast("int"))
+    return d.withColumn("masked", F.greatest(*marks).cast("int")).drop("_col")
 
 
 def last_written(cloud: DataFrame, columns: int = 360) -> DataFrame:

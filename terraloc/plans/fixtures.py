@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from terraloc.functions.geometry import azimuth
+
 ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
 X = "CAST((l_orderkey*7919 + l_partkey*104729 + l_linenumber*1299709) % 16000 AS DOUBLE)/1e2 - 8e1 + 5e-3"
 Y = "CAST((l_orderkey*15485863 + l_partkey*31 + l_linenumber*6151) % 16000 AS DOUBLE)/1e2 - 8e1 + 5e-3"
@@ -34,6 +36,12 @@ def cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.col("l_suppkey").alias("frame_id"), pt.alias("pt"), F.expr(X).alias("x"), F.expr(Y).alias("y"), F.expr(Z).alias("z"), F.expr(INTENSITY).alias("intensity"))
 
 
+def swept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cloud, with pt anew: two turns of rising azimuth."""
+    order = Window.partitionBy("frame_id").orderBy(F.col("pt") % 2, azimuth(F.col("x"), F.col("y")), "pt")
+    return cloud(spark, sf_dir).withColumn("pt", F.row_number().over(order).cast("long"))
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("frame_id")).distinct()
 

@@ -141,13 +141,13 @@ def sc_best_match(spark, sf_dir):
 
 def _embedding_sql(term: str) -> str:
     return f"""WITH e AS (SELECT vec_id AS frame_id, CAST(embedding AS DOUBLE[]) AS k FROM embeddings),
-p AS (SELECT a.frame_id AS q, b.frame_id AS c, round(list_sum(list_transform(range(1, 65), lambda i: {term})), 9) AS d FROM e a, e b WHERE a.frame_id % 50 = 0 AND b.frame_id % 50 <> 0),
+p AS (SELECT a.frame_id AS q, b.frame_id AS c, round(list_sum(list_transform(range(1, 65), lambda i: {term})), 9) AS d FROM e a, e b WHERE a.frame_id % 50 = 0 AND a.frame_id <> b.frame_id),
 t AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, c) AS rk FROM p) SELECT q, c, {R('d', 'd')}, CAST(rk AS INTEGER) AS rk FROM t WHERE rk <= 10"""
 
 
 def _embedding_knn(spark, sf_dir, metric):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("frame_id"), F.col("embedding").cast("array<double>").alias("k"))
-    return rounded(retrieval.knn(e.filter("frame_id % 50 = 0"), e.filter("frame_id % 50 <> 0"), metric=metric))
+    return rounded(retrieval.knn(e.filter("frame_id % 50 = 0"), e, metric=metric, without_own=True))
 
 
 @query(_embedding_sql("(a.k[i] - b.k[i])*(a.k[i] - b.k[i])"))
@@ -197,11 +197,17 @@ def curvature(spark, sf_dir):
     return rounded(scans.curvature(fx.cloud(spark, sf_dir)).select("frame_id", "pt", "curvature"))
 
 
-@query(f"""WITH {DEPTH}, n AS (SELECT *, lead(r) OVER w AS ahead, lag(r) OVER w AS behind FROM dep WINDOW w AS (PARTITION BY frame_id ORDER BY pt)),
-j AS (SELECT *, CASE WHEN r - ahead > 3e-1 THEN 1 ELSE 0 END AS l, CASE WHEN ahead - r > 3e-1 THEN 1 ELSE 0 END AS rt, CASE WHEN abs(behind - r) > 2e-2*r AND abs(ahead - r) > 2e-2*r THEN 1 ELSE 0 END AS b FROM n)
+SWEPT = f"{fx.CLOUD}, swept AS (SELECT * REPLACE (row_number() OVER (PARTITION BY frame_id ORDER BY pt % 2, {AZ}, pt) AS pt) FROM cloud)"
+
+
+@query(f"""WITH {SWEPT}, u AS (SELECT *, sqrt(x*x + y*y + z*z) AS r, (degrees(atan2(x, y)) - 9e1)/2e-1 AS t FROM swept),
+k AS (SELECT *, CAST(900 - CASE WHEN t >= 0 THEN floor(t + 5e-1) ELSE ceil(t - 5e-1) END AS INTEGER) AS k FROM u), c AS (SELECT *, CASE WHEN k >= 1800 THEN k - 1800 WHEN k < 0 THEN 0 ELSE k END AS col FROM k),
+n AS (SELECT *, lead(r) OVER w AS ahead, lag(r) OVER w AS behind, abs(lead(col) OVER w - col) < 10 AS near FROM c WINDOW w AS (PARTITION BY frame_id ORDER BY pt)),
+j AS (SELECT *, CASE WHEN near AND r - ahead > 3e-1 THEN 1 ELSE 0 END AS l, CASE WHEN near AND ahead - r > 3e-1 THEN 1 ELSE 0 END AS rt, CASE WHEN abs(behind - r) > 2e-2*r AND abs(ahead - r) > 2e-2*r THEN 1 ELSE 0 END AS b FROM n)
 SELECT frame_id, pt, CAST(greatest(coalesce(max(l) OVER (w ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING), 0), coalesce(max(rt) OVER (w ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), 0), b) AS INTEGER) AS masked FROM j WINDOW w AS (PARTITION BY frame_id ORDER BY pt)""")
 def occlusion_mask(spark, sf_dir):
-    return scans.occlusion(fx.cloud(spark, sf_dir)).select("frame_id", "pt", "masked")
+    """Points in two turns of rising azimuth, so that neighbours' columns lie near or far."""
+    return scans.occlusion(fx.swept(spark, sf_dir)).select("frame_id", "pt", "masked")
 
 
 def _trace_sql(clamp: bool) -> str:

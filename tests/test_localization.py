@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from terraloc.functions import metrics
 from terraloc.operators import codes, features, images, multilateration, registration, retrieval, scans
 from terraloc.plans import fixtures as fx
-from terraloc.plans.localization import MOTION
+from terraloc.plans import localization
+from terraloc.plans.localization import MOTION, _moved_pairs
 from terraloc.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -164,7 +165,7 @@ def test_nearest_by_hand():
 
 @pytest.mark.parametrize("name", ["registration_loam", "registration_ndt"])
 def test_registration_finds_planted_motion(spark, name):
-    got = QUERIES[name](spark, SF).toPandas().set_index("frame_id").sort_index()
+    got = _moved_pairs(spark, SF, name.removeprefix("registration_"), 1.0).toPandas().set_index("frame_id").sort_index()
     want = fx.frames(spark, SF).select("frame_id", *(F.expr(v).alias(k) for k, v in MOTION.items())).toPandas().set_index("frame_id").sort_index()
     assert len(got) == len(want)
     assert np.abs(got[list(MOTION)] - want[list(MOTION)]).values.max() < 0.02
@@ -239,10 +240,13 @@ def test_spectral_image_by_direct_sums():
         assert np.isclose(got[ring, sector], np.log(want))
 
 
-def test_localize_with_exact_ranges(spark):
+@pytest.mark.parametrize("least", [10, 5])
+def test_localize_by_registration(spark, monkeypatch, least):
+    monkeypatch.setattr(localization, "LEAST_ENTRIES", least)  # the map has five entries here
     got = QUERIES["localize"](spark, SF).toPandas()
-    assert len(got) and (got[got["ok"]]["err"] < 1e-3).all()
-    assert (got[~got["ok"]][["px", "py", "pz"]] == 0).all().all()
+    assert len(got) and (got["ok"] == (least == 5)).all()
+    truth = got[["gx", "gy", "gz"]].values if least == 5 else 0.0
+    assert np.abs(got[["px", "py", "pz"]].values - truth).max() <= 1e-6
 
 
 def test_ordinal_across_buckets(spark):
