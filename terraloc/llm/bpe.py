@@ -4,7 +4,8 @@ The symbols of many words lie in one flat array. In a round, the ranks of all ne
 search over the sorted pair keys; each word's lowest rank is taken by a segmented minimum, and all pairs of that rank
 are merged, the first ones where they overlap. A word that has no ranked pair is done and leaves the array.
 
-Words come from the pattern that the vocabulary's pre-tokenizer states. Each task keeps the ids of at most
+Words come from the pattern that the vocabulary's pre-tokenizer states; a vocabulary that states another, or a
+normalizer, is refused. Each task keeps the ids of at most
 CACHED_WORDS words. A special token's text in a document is that token.
 
 Defined cases: null texts are empty; empty texts have no ids, and decode to the empty text; columns other than doc_id
@@ -46,6 +47,9 @@ def byte_symbols() -> dict[str, int]:
 class Codec:
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
+        cut = spec["pre_tokenizer"] or {}
+        if spec["normalizer"] or (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex")) != ("ByteLevel", False, True):
+            raise ValueError(f"{path} cuts texts in another way than WORD")
         ids, symbols = spec["model"]["vocab"], byte_symbols()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max([*ids.values(), *self.special.values()]) + 1

@@ -7,7 +7,8 @@ among the pieces of a length, so that pieces find their sequence by (length, ran
 task and completed by sums over (length, task), so that no length's pieces need to meet in one task.
 
 Ids are those of the tokenizers library: texts of a plain range of characters are normalised and split here, and each
-distinct word is encoded once by the library; other texts go to the library whole.
+distinct word is encoded once by the library; other texts go to the library whole. A vocabulary file that states other
+steps than these is refused.
 
 Defined cases: null texts are empty and give the one id END; repeated rows and equal texts are packed each for itself;
 an empty table gives no rows; columns other than doc_id and text aren't read.
@@ -15,6 +16,7 @@ an empty table gives no rows; columns other than doc_id and text aren't read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -62,6 +64,10 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        spec = json.load(open(path, encoding="utf-8"))
+        parts = [(spec[k] or {}).get(of, []) for k, of in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        if [p["type"] for x in parts for p in x] != ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] or parts[1][0]["pattern"].get("Regex") != WORD.pattern or spec["model"].get("end_of_word_suffix") != "</w>":
+            raise ValueError(f"{path} normalizes or cuts texts in another way than WORD")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()

@@ -447,11 +447,12 @@ def _joined(runs: np.ndarray) -> np.ndarray:
 
 def _marked(docs: DataFrame, finish, schema: str) -> DataFrame:
     """finish(the table of a group of documents, texts, spans) over all documents."""
+    # Rows are dealt by id, text and the partition that they are read in, so that no repeated id or row fills one group.
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(partitions(spark), -(-total // GROUP_BYTES))
     buckets = int(min(groups, MOST_BUCKETS))
-    dealt = docs.select(F.struct("*").alias("row"), F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("g"))
+    dealt = docs.select(F.struct("*").alias("row"), F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(groups)).cast("int").alias("g"))
     told = dealt.groupBy("g").applyInArrow(_tell(buckets), "bucket int, g int, h binary, n binary, strings binary")
     asked = told.groupBy("bucket").applyInArrow(_answer, "g int, kind int, bucket int, a binary, b binary")
     sent = dealt.groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(_send(buckets), "bucket int, g int, part int, rows binary, h binary, doc binary")

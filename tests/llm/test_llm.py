@@ -283,6 +283,13 @@ def test_bpe_equals_the_library():
         assert codec.decode(ids) == lib.decode(want, skip_special_tokens=False)
 
 
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError):
+        bpe.Codec(packing.default_vocabulary())
+    with pytest.raises(ValueError):
+        packing.Encoder(bpe.default_vocabulary())
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
