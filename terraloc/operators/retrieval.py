@@ -1,7 +1,7 @@
 """Exact kNN joins by blocks, radius joins by grid cells, and alignment of descriptors by circular shifts.
 
 Neighbours are found by squared distance, rounded to 9 places, and then id. Queries and map are packed, where they lie,
-into blocks of up to BLOCK rows of ids and numbers, so that nothing is shuffled or counted before, and one row of the
+into blocks of up to BLOCK rows of ids and numbers, so that keys aren't shuffled row by row or counted before, and one row of the
 joined plan is a pair of blocks that are read as matrices. Queries are a stated set; all of the map is searched for them.
 """
 
@@ -41,7 +41,7 @@ def _blocks(keys: DataFrame) -> DataFrame:
             yield pa.record_batch(list(map(pa.array, block())), names=["ids", "ks"])
 
     known = keys.filter(F.col("frame_id").isNotNull() & F.col("k").isNotNull() & ~F.exists("k", F.isnull))
-    return known.select(F.col("frame_id").cast("long"), F.col("k").cast("array<double>")).mapInArrow(pack, "ids binary, ks binary")
+    return known.select(F.col("frame_id").cast("long"), F.col("k").cast("array<double>")).mapInArrow(pack, "ids binary, ks binary").repartition("ids")  # so that a pair of blocks reads them, instead of packing them again
 
 
 def save_index(entries: DataFrame, path: str) -> None:
