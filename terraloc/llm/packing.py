@@ -21,6 +21,7 @@ import os
 import re
 import zlib
 from collections import Counter
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +82,8 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, tokens: set[str]) -> None:
-        parts = [WORD.findall(t) for t in tokens]
+        tokens = list(tokens)
+        parts = [(t,) if t.isalpha() else WORD.findall(t) for t in tokens]  # letters alone are one word
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
         new = list({w for p in parts for w in p}.difference(self.words))
@@ -90,10 +92,11 @@ class Encoder:
             # One text of many words: each word ends in a token that the vocabulary marks as a word's end.
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.nonzero(self.final[ids])[0] + 1
-            cut = [x.tobytes() for x in np.split(ids, ends[:-1])] if len(ends) == len(some) else [self.whole(w) for w in some]
+            raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+            cut = [raw[a:b] for a, b in pairwise(at)] if len(ends) == len(some) else [self.whole(w) for w in some]
             self.words.update(zip(some, cut, strict=True))
         get = self.words.__getitem__
-        self.tokens.update(zip(tokens, (b"".join(map(get, p)) for p in parts), strict=True))
+        self.tokens.update(zip(tokens, [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in parts], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """No word of the pattern spans white space, so ids are kept by what stands between it."""
