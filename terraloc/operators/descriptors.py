@@ -26,12 +26,12 @@ def intensity_max(points: DataFrame) -> DataFrame:
     return polar(points).groupBy("frame_id", "ring", "sector").agg(F.max("intensity").alias("v"))
 
 
-def mean_height(points: DataFrame, least: float = 2.0, reach: float = REACH, lift: float = 2.0) -> DataFrame:
+def mean_height(points: DataFrame, least: float = 2.0, reach: float = REACH, lift: float = 2.0, rings: int = RINGS, sectors: int = SECTORS) -> DataFrame:
     """Mean z by sector and by ring of elevation; below the horizon is the last ring."""
     r = planar_range(F.col("x"), F.col("y"))
     near = points.filter(r.between(least, reach))
-    ring = floor_bin(azimuth(r, F.col("z") + lift) / 45.0 * RINGS, RINGS)
-    sector = floor_bin(azimuth(F.col("x"), F.col("y")) / 360.0 * SECTORS, SECTORS)
+    ring = floor_bin(azimuth(r, F.col("z") + lift) / 45.0 * rings, rings)
+    sector = floor_bin(azimuth(F.col("x"), F.col("y")) / 360.0 * sectors, sectors)
     return near.groupBy("frame_id", ring.alias("ring"), sector.alias("sector")).agg(F.avg("z").alias("v"))
 
 
@@ -68,16 +68,11 @@ def row_sums(cells: DataFrame) -> DataFrame:
     return cells.groupBy("frame_id", "r").agg(F.sum("v").alias("k"))
 
 
-def packed(cells: DataFrame) -> DataFrame:
-    """frame_id, m: a frame's cells as (place by row, value) in order of place; RINGS x SECTORS at most."""
-    at = (F.col("ring") * SECTORS + F.col("sector")).alias("at")
-    return cells.groupBy("frame_id").agg(F.sort_array(F.collect_list(F.struct(at, "v"))).alias("m"))
-
-
-def ring_keys(cells: DataFrame) -> DataFrame:
-    """frame_id, k: the RINGS numbers of `ring_key`."""
-    sums = [F.sum(F.when(F.col("ring") == r, F.col("v")).otherwise(0.0)) / SECTORS for r in range(RINGS)]
-    return cells.groupBy("frame_id").agg(F.array(*sums).alias("k"))
+def matrices(cells: DataFrame, rings: int = RINGS, sectors: int = SECTORS) -> DataFrame:
+    """frame_id, k, m: the `rings` numbers of `ring_key`, and a frame's cells as (place by row, value) in order of place."""
+    at = (F.col("ring") * sectors + F.col("sector")).alias("at")
+    sums = [F.sum(F.when(F.col("ring") == r, F.col("v")).otherwise(0.0)) / sectors for r in range(rings)]
+    return cells.groupBy("frame_id").agg(F.array(*sums).alias("k"), F.sort_array(F.collect_list(F.struct(at, "v"))).alias("m"))
 
 
 def bev_height(points: DataFrame, half: float = 100.0, cell: float = 2.0) -> DataFrame:

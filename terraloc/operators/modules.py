@@ -75,38 +75,50 @@ class DescriptorModule(ABC):
 
 
 class ScanContext(DescriptorModule):
-    """Ring x sector matrices; frames without a point in reach have no descriptor. Ids of frames are 0 or more."""
+    """num_ring x num_sector matrices; frames without a point in reach have no descriptor. Ids of frames are 0 or more."""
 
-    name, options = "scancontext", {"lidar_height": 2.0, "max_radius": 80.0, "num_candidates": 10, "ratio": 0.1}
+    name = "scancontext"
+    options = {"lidar_height": 2.0, "num_ring": descriptors.RINGS, "num_sector": descriptors.SECTORS, "max_radius": 80.0, "num_candidates": 10, "ratio": 0.1}
+
+    def config(self, key, value):
+        super().config(key, value)
+        if min(self.set["num_ring"], self.set["num_sector"]) < 1:
+            raise ValueError(f"{self.name} needs a ring and a sector at least")
+        self.turn = self.period = self.set["num_sector"]
+
+    @property
+    def size(self) -> tuple[int, int]:
+        return self.set["num_ring"], self.set["num_sector"]
+
+    def polar(self, points: DataFrame) -> DataFrame:
+        return descriptors.polar(points, self.set["max_radius"], *self.size).groupBy("frame_id", "ring", "sector")
 
     def cells(self, points: DataFrame) -> DataFrame:
-        lift, reach = self.set["lidar_height"], self.set["max_radius"]
-        return descriptors.polar(points, reach).groupBy("frame_id", "ring", "sector").agg((F.max("z") + lift).alias("v"))
+        return self.polar(points).agg((F.max("z") + self.set["lidar_height"]).alias("v"))
 
     def describe(self, points):
-        cells = self.cells(points)
-        return descriptors.packed(cells).join(descriptors.ring_keys(cells), "frame_id")
+        return descriptors.matrices(self.cells(points), *self.size)
 
     def keys(self, described):
         return described.select("frame_id", "k")
 
     def distances(self, pairs, described):
-        around = math.floor(0.5 * self.set["ratio"] * descriptors.SECTORS + 0.5)
-        return retrieval.rerank(pairs, described.select("frame_id", "m"), around)
+        around = math.floor(0.5 * self.set["ratio"] * self.set["num_sector"] + 0.5)
+        return retrieval.rerank(pairs, described.select("frame_id", "m"), around, *self.size)
 
 
 class IntensityScanContext(ScanContext):
     name = "isc"
 
     def cells(self, points):
-        return descriptors.polar(points, self.set["max_radius"]).groupBy("frame_id", "ring", "sector").agg(F.max("intensity").alias("v"))
+        return self.polar(points).agg(F.max("intensity").alias("v"))
 
 
 class Mercator(ScanContext):
     name = "mercator"
 
     def cells(self, points):
-        return descriptors.mean_height(points, reach=self.set["max_radius"], lift=self.set["lidar_height"])
+        return descriptors.mean_height(points, reach=self.set["max_radius"], lift=self.set["lidar_height"], rings=self.set["num_ring"], sectors=self.set["num_sector"])
 
 
 class Mdfsc(DescriptorModule):

@@ -15,10 +15,16 @@ from pyspark.sql import functions as F
 from terraloc.operators.descriptors import RINGS, SECTORS
 
 BLOCK = 512
+#: Pairs of matrices that are compared at once.
+COMPARED = 256
 
 
-def _blocks(keys: DataFrame) -> DataFrame:
-    """ids, ks: little-endian 64-bit ids and doubles of up to BLOCK keys of one partition. Null keys, or such that hold a null, have no neighbours."""
+def _blocks(keys: DataFrame, chosen: str = "true") -> DataFrame:
+    """ids, ks: little-endian 64-bit ids and doubles of up to BLOCK keys of one partition. Null keys, or such that hold a null, have no neighbours.
+
+    Keys for which the condition `chosen` doesn't hold are left out here, in the task: a filter would be pushed below
+    the aggregation that makes the keys, and what is chosen otherwise from the same table couldn't read its exchange.
+    """
 
     def pack(batches):
         held, size = [], 0
@@ -30,6 +36,7 @@ def _blocks(keys: DataFrame) -> DataFrame:
             return [t.column(0).to_numpy().astype("<i8").tobytes()], [ks.flatten().to_numpy(zero_copy_only=False).astype("<f8").tobytes()]
 
         for b in batches:
+            b = b.filter(b.column(2)).select([0, 1])
             for at in range(0, b.num_rows, BLOCK):
                 part = b.slice(at, BLOCK)
                 if size + part.num_rows > BLOCK:
@@ -40,8 +47,8 @@ def _blocks(keys: DataFrame) -> DataFrame:
         if size:
             yield pa.record_batch(list(map(pa.array, block())), names=["ids", "ks"])
 
-    known = keys.filter(F.col("frame_id").isNotNull() & F.col("k").isNotNull() & ~F.exists("k", F.isnull))
-    return known.select(F.col("frame_id").cast("long"), F.col("k").cast("array<double>")).mapInArrow(pack, "ids binary, ks binary").repartition("ids")  # so that a pair of blocks reads them, instead of packing them again
+    known = F.col("frame_id").isNotNull() & F.col("k").isNotNull() & ~F.exists("k", F.isnull) & F.expr(chosen)
+    return keys.select(F.col("frame_id").cast("long"), F.col("k").cast("array<double>"), F.coalesce(known, F.lit(False))).mapInArrow(pack, "ids binary, ks binary").repartition("ids")  # so that a pair of blocks reads them, instead of packing them again
 
 
 def save_index(entries: DataFrame, path: str) -> None:
@@ -58,8 +65,17 @@ def knn(queries: DataFrame, entries: DataFrame, k: int = 10, metric: str = "l2",
     return knn_of_index(queries, _blocks(entries), k, metric, without_own)
 
 
+def knn_within(keys: DataFrame, asked: str, searched: str, k: int = 10, metric: str = "l2") -> DataFrame:
+    """knn of the keys for which the condition `asked` holds among those for which `searched` does; the keys are computed once."""
+    return _nearest(_blocks(keys, asked), _blocks(keys, searched), k, metric, False)
+
+
 def knn_of_index(queries: DataFrame, index: DataFrame, k: int = 10, metric: str = "l2", without_own: bool = False) -> DataFrame:
     """knn, with the entries as load_index reads them."""
+    return _nearest(_blocks(queries), index, k, metric, without_own)
+
+
+def _nearest(asked: DataFrame, index: DataFrame, k: int, metric: str, without_own: bool) -> DataFrame:
     if metric not in ("l1", "l2"):
         raise ValueError(f"no such metric: {metric}")
 
@@ -93,8 +109,7 @@ def knn_of_index(queries: DataFrame, index: DataFrame, k: int = 10, metric: str
                 left, found = np.repeat(own, order.shape[1]), d < np.inf
                 yield pa.record_batch([pa.array(left[found]), pa.array(wide[found]), pa.array(d[found])], names=["q", "c", "d"])
 
-    asked = _blocks(queries).select(F.col("ids").alias("qi"), F.col("ks").alias("qk"))
-    pairs = asked.crossJoin(index).mapInArrow(near, "q long, c long, d double")
+    pairs = asked.select(F.col("ids").alias("qi"), F.col("ks").alias("qk")).crossJoin(index).mapInArrow(near, "q long, c long, d double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "c"))
     return pairs.withColumn("rk", rank).filter(F.col("rk") <= k)
 
@@ -121,55 +136,60 @@ def radius_join(queries: DataFrame, entries: DataFrame, radius2: float, by: tupl
     return asking.join(dealt, [*key, "_part"]).withColumn("d", d).filter(F.col("d") < radius2).select(*by, "q", "c", "d")
 
 
-def coarse_shift(a: np.ndarray, b: np.ndarray) -> int:
-    """Columns that b is turned right by to be nearest to a by sector keys; first wins."""
-    ka, kb = a.sum(0) / RINGS, b.sum(0) / RINGS
-    turned = np.stack([np.roll(kb, s) for s in range(SECTORS)])
-    return int(np.argmin(np.round(np.sqrt(((ka - turned) ** 2).sum(1)), 9)))
-
-
-def align(a: np.ndarray, b: np.ndarray, around: int = 3) -> tuple[int, float]:
-    """Shift and distance of two RINGS x SECTORS matrices: the best shift by sector keys, then the best mean column cosine within `around` of it; first wins. NaN without comparable columns."""
-    coarse = coarse_shift(a, b)
-    found = []
-    for s in sorted((coarse + t) % SECTORS for t in range(-around, around + 1)):
-        r = np.roll(b, s, 1)
-        na, nr = np.sqrt((a * a).sum(0)), np.sqrt((r * r).sum(0))
-        ok = (na > 0) & (nr > 0)
-        if ok.any():
-            found.append((round(1 - float(((a * r).sum(0)[ok] / (na * nr)[ok]).mean()), 9), s))
-    return (found and min(found) or (float("nan"), coarse))[::-1]
-
-
-def _dense(cells: pa.ListArray) -> np.ndarray:
-    """RINGS x SECTORS matrices of packed cells, empty ones 0."""
+def coarse_shifts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each pair of matrices (pairs, rings, sectors), the columns that b's is turned right by to be nearest to a's by sector keys; first wins."""
+    ka, kb, columns = a.mean(1), b.mean(1), np.arange(a.shape[2])
+    turned = kb[:, (columns - columns[:, None]) % len(columns)]
+    return np.argmin(np.round(np.sqrt(((ka[:, None] - turned) ** 2).sum(2)), 9), 1)
+
+
+def align(a: np.ndarray, b: np.ndarray, around: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Shifts and distances of pairs of matrices (pairs, rings, sectors): the best shift by sector keys, then the best mean column cosine within `around` of it; first wins. NaN without comparable columns."""
+    columns, coarse = np.arange(a.shape[2]), coarse_shifts(a, b)
+    na, nb = (np.sqrt((x * x).sum(1)) for x in (a, b))
+    tried = np.sort((coarse[:, None] + np.arange(-around, around + 1)) % len(columns), 1)
+    dist = np.empty(tried.shape)
+    for t in range(tried.shape[1]):
+        source = (columns - tried[:, t, None]) % len(columns)
+        dot, size = (a * np.take_along_axis(b, source[:, None], 2)).sum(1), na * np.take_along_axis(nb, source, 1)
+        seen = size > 0
+        cosines = np.where(seen, dot / np.where(seen, size, 1), 0).sum(1)
+        dist[:, t] = np.where(seen.any(1), np.round(1 - cosines / np.maximum(seen.sum(1), 1), 9), np.inf)
+    at = np.argmin(dist, 1)
+    best = dist[np.arange(len(at)), at]
+    return np.where(best < np.inf, tried[np.arange(len(at)), at], coarse), np.where(best < np.inf, best, np.nan)
+
+
+def _dense(cells: pa.ListArray, rings: int, sectors: int) -> np.ndarray:
+    """rings x sectors matrices of packed cells, empty ones 0."""
     flat, sizes = cells.flatten(), np.diff(cells.offsets.to_numpy())
-    out = np.zeros((len(cells), RINGS * SECTORS))
+    out = np.zeros((len(cells), rings * sectors))
     out[np.repeat(np.arange(len(cells)), sizes), flat.field(0).to_numpy()] = flat.field(1).to_numpy()
-    return out.reshape(-1, RINGS, SECTORS)
+    return out.reshape(-1, rings, sectors)
 
 
-def rerank(pairs: DataFrame, matrices: DataFrame, around: int = 3) -> DataFrame:
+def rerank(pairs: DataFrame, matrices: DataFrame, around: int = 3, rings: int = RINGS, sectors: int = SECTORS) -> DataFrame:
     """pairs: q, c. q, c, dist, shift after alignment."""
+    return _compared(pairs, matrices, lambda a, b: dict(zip(("shift", "dist"), align(a, b, around))), rings, sectors).select("q", "c", "dist", "shift")
 
-    def run(batches):
-        for b in batches:
-            a, m = (_dense(b.column(x)) for x in ("ma", "mb"))
-            got = [align(x, y, around) for x, y in zip(a, m, strict=True)]
-            yield pa.record_batch([b.column("q"), b.column("c"), pa.array([d for _, d in got], pa.float64()), pa.array([s for s, _ in got], pa.int32())], names=["q", "c", "dist", "shift"])
 
-    return _with_matrices(pairs, matrices).mapInArrow(run, "q long, c long, dist double, shift int")
+def coarse(pairs: DataFrame, matrices: DataFrame, rings: int = RINGS, sectors: int = SECTORS) -> DataFrame:
+    """pairs: q, c. q, c, s0: the shift by sector keys alone."""
+    return _compared(pairs, matrices, lambda a, b: {"shift": coarse_shifts(a, b)}, rings, sectors).select("q", "c", F.col("shift").alias("s0"))
 
 
-def coarse(pairs: DataFrame, matrices: DataFrame) -> DataFrame:
-    """pairs: q, c. q, c, s0: the shift by sector keys alone."""
+def _compared(pairs: DataFrame, matrices: DataFrame, compare, rings: int, sectors: int) -> DataFrame:
+    """q, c, dist, shift: what `compare` says of the matrices of up to COMPARED pairs at a time."""
 
     def run(batches):
         for b in batches:
-            a, m = (_dense(b.column(x)) for x in ("ma", "mb"))
-            yield pa.record_batch([b.column("q"), b.column("c"), pa.array([coarse_shift(x, y) for x, y in zip(a, m, strict=True)], pa.int32())], names=["q", "c", "s0"])
+            for at in range(0, b.num_rows, COMPARED):
+                part = b.slice(at, COMPARED)
+                got = compare(*(_dense(part.column(x), rings, sectors) for x in ("ma", "mb")))
+                dist = got.get("dist", np.full(part.num_rows, np.nan))
+                yield pa.record_batch([part.column("q"), part.column("c"), pa.array(dist, pa.float64()), pa.array(got["shift"], pa.int32())], names=["q", "c", "dist", "shift"])
 
-    return _with_matrices(pairs, matrices).mapInArrow(run, "q long, c long, s0 int")
+    return _with_matrices(pairs, matrices).mapInArrow(run, "q long, c long, dist double, shift int")
 
 
 def _with_matrices(pairs: DataFrame, matrices: DataFrame) -> DataFrame:

@@ -190,8 +190,8 @@ def radius_search(spark, sf_dir):
 
 @query(f"WITH {SHIFTS} SELECT q, c, s0 FROM coarse")
 def sc_coarse_align(spark, sf_dir):
-    cells = descriptors.height_max(fx.points(spark, sf_dir))
-    return retrieval.coarse(_neighbours(cells), descriptors.packed(cells))
+    described = descriptors.matrices(descriptors.height_max(fx.points(spark, sf_dir)))
+    return retrieval.coarse(_neighbours(described), described)
 
 
 @query(f"WITH {SC_SUMS}, s AS (SELECT frame_id, ring, sum(v) AS s, sum(v*v) AS ss FROM m GROUP BY ALL), t AS (SELECT frame_id, sum(s)/1200 AS m FROM s GROUP BY 1) SELECT frame_id, ring, {R('s/60/m', 'mean')}, {R('sqrt(greatest(ss - s*s/60, 0)/20)/m', 'spread')} FROM s JOIN t USING (frame_id)")
@@ -348,9 +348,9 @@ SELECT frame_id, ok, {', '.join(R(f'g{c}', f'g{c}') for c in 'xyz')}, {', '.join
 def localize(spark, sf_dir):
     """The whole chain: best match by descriptor, the eight map frames around it, ranges as lengths of the shifts that register the query's cloud onto theirs from the match's turn, and the position from these. SQL states the planted places, met within 1 cm. Frames without a match are at 0."""
     seen = _seen(spark, sf_dir)
-    cells = descriptors.height_max(seen)
-    near = retrieval.knn(*(descriptors.ring_keys(cells).filter(f"frame_id % 2 = {k}") for k in (0, 1)))
-    best = retrieval.top(retrieval.rerank(near, descriptors.packed(cells)), 1).select("q", F.col("c").alias("match_id"), F.radians(F.col("shift") * (-360.0 / descriptors.SECTORS)).alias("yaw"))
+    described = descriptors.matrices(descriptors.height_max(seen))
+    near = retrieval.knn_within(described, "frame_id % 2 = 0", "frame_id % 2 = 1")
+    best = retrieval.top(retrieval.rerank(near, described), 1).select("q", F.col("c").alias("match_id"), F.radians(F.col("shift") * (-360.0 / descriptors.SECTORS)).alias("yaw"))
     place = fx.frames(spark, sf_dir).select("frame_id", *(F.expr(v).alias(c) for c, v in PLACE.items()))
     entries = scans.ordinal(place.filter("frame_id % 2 = 1"), "frame_id")
     n = F.broadcast(entries.agg(F.count("*").alias("n")))

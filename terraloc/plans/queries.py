@@ -108,19 +108,18 @@ def sector_key(spark, sf_dir):
     return rounded(d.sector_key(d.height_max(fx.points(spark, sf_dir))))
 
 
-def _neighbours(cells: DataFrame) -> DataFrame:
-    keys = d.ring_keys(cells)
-    return retrieval.knn(keys.filter("frame_id % 2 = 0"), keys.filter("frame_id % 2 = 1"))
+def _neighbours(described: DataFrame) -> DataFrame:
+    return retrieval.knn_within(described, "frame_id % 2 = 0", "frame_id % 2 = 1")
 
 
 def _aligned(spark, sf_dir) -> DataFrame:
-    cells = d.height_max(fx.points(spark, sf_dir))
-    return retrieval.rerank(_neighbours(cells), d.packed(cells))
+    described = d.matrices(d.height_max(fx.points(spark, sf_dir)))
+    return retrieval.rerank(_neighbours(described), described)
 
 
 @query(f"WITH {SHIFTS} SELECT q, c, {R('d', 'd')}, CAST(rk AS INTEGER) AS rk FROM knn")
 def knn_ringkey(spark, sf_dir):
-    return rounded(_neighbours(d.height_max(fx.points(spark, sf_dir))))
+    return rounded(_neighbours(d.matrices(d.height_max(fx.points(spark, sf_dir)))))
 
 
 @query(f"WITH {SHIFTS} SELECT q, c, {R('dist', 'dist')}, shift FROM aligned")

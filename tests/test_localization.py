@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terraloc.functions import metrics
-from terraloc.operators import codes, features, images, multilateration, registration, retrieval, scans
+from terraloc.operators import codes, features, images, modules, multilateration, registration, retrieval, scans
 from terraloc.plans import fixtures as fx
 from terraloc.plans import localization
 from terraloc.plans.localization import MOTION, _moved_pairs
@@ -285,3 +285,42 @@ def test_angles_turn_the_short_way(spark):
     a = spark.createDataFrame([([3.0], [-3.0]), ([-3.0], [3.0]), ([1.0], [2.0])], "a array<double>, b array<double>")
     got = [r[0] for r in a.select(metrics.so2(F.col("a"), F.col("b"))).collect()]
     assert np.allclose(got, [2 * np.pi - 6, 6 - 2 * np.pi, 1])
+
+
+def plain_align(a, b, around):
+    """Shift and distance of two matrices, shift by shift."""
+    sectors = a.shape[1]
+    ka, kb = a.mean(0), b.mean(0)
+    off = [round(float(np.linalg.norm(ka - np.roll(kb, s))), 9) for s in range(sectors)]
+    coarse, best = off.index(min(off)), None
+    for s in sorted((coarse + t) % sectors for t in range(-around, around + 1)):
+        r = np.roll(b, s, 1)
+        cos = [a[:, j] @ r[:, j] / (np.linalg.norm(a[:, j]) * np.linalg.norm(r[:, j])) for j in range(sectors) if a[:, j].any() and r[:, j].any()]
+        if cos and (best is None or round(1 - sum(cos) / len(cos), 9) < best[1]):
+            best = s, round(1 - sum(cos) / len(cos), 9)
+    return best or (coarse, float("nan"))
+
+
+def test_align():
+    rng = np.random.default_rng(5)
+    a = rng.random((40, 6, 17)) * (rng.random((40, 6, 17)) < 0.2)
+    b = np.stack([np.roll(x, -i, 1) if i % 2 else rng.random((6, 17)) for i, x in enumerate(a)])
+    a[0], b[2] = 0, 0
+    for around in (0, 3):
+        shifts, dists = retrieval.align(a, b, around)
+        for i in range(len(a)):
+            s, d = plain_align(a[i], b[i], around)
+            assert (shifts[i], np.isnan(dists[i])) == (s, np.isnan(d)) and (np.isnan(d) or abs(dists[i] - d) < 2e-9)
+
+
+def test_matrix_sizes(spark):
+    points = fx.points(spark, SF)
+    turned = points.selectExpr("frame_id", "-y AS x", "x AS y", "z", "intensity")
+    for name in ("scancontext", "isc", "mercator"):
+        module = modules.create(name, **{"search.num_ring": 12, "num_sector": "24"})
+        index = module.describe(points)
+        assert {len(r.k) for r in index.select("k").collect()} == {12}
+        found = module.search(module.describe(turned), index, 1).collect()
+        assert found and all(r.q == r.c and abs(r.yaw - np.pi / 2) < 1e-9 for r in found)
+    with pytest.raises(ValueError):
+        modules.create("isc", num_sector=0)
