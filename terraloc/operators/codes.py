@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCALES, WAVELENGTH, GROWTH, SPREAD, FAINT = 4, 18.0, 1.6, 0.75, 1e-4
+#: Codes of a block.
+CODES = 16
 
 
 def responses(image: np.ndarray, scales: int = SCALES, wavelength: float = WAVELENGTH, growth: float = GROWTH, spread: float = SPREAD) -> np.ndarray:
@@ -69,13 +71,23 @@ def encode_cells(cells: DataFrame, rows: int, columns: int, **options) -> DataFr
     return packed.mapInArrow(run, "frame_id long, t binary, m binary")
 
 
+def phases(image: np.ndarray) -> np.ndarray:
+    """Unit phases of each row's frequencies (..., frequencies, rows), 0 where a response is faint."""
+    f = np.fft.rfft(image.astype(np.float32), axis=-1)
+    size = np.abs(f)
+    seen = size > 1e-3
+    return np.ascontiguousarray(np.moveaxis(np.where(seen, f / np.where(seen, size, 1), 0).astype(np.complex64), -1, -2))
+
+
+def spectral_shifts(a: np.ndarray, b: np.ndarray, columns: int) -> np.ndarray:
+    """Of each image in a with each in b (phases), the columns that b's turns right by to lie on a's: peak of the rows' summed phase correlation. The rows are summed by one product of matrices a frequency, before the inverse transform."""
+    summed = np.matmul(a.swapaxes(0, 1), np.conj(b).transpose(1, 2, 0))
+    return np.argmax(np.round(np.fft.irfft(summed.transpose(1, 2, 0), columns), 4), -1)
+
+
 def spectral_shift(a: np.ndarray, b: np.ndarray) -> int:
-    """Columns that b turns right by to lie on a: peak of the rows' summed phase correlation. One inverse transform, as the sum comes first."""
-    cross = np.fft.rfft(a.astype(np.float32), axis=-1) * np.conj(np.fft.rfft(b.astype(np.float32), axis=-1))
-    size = np.abs(cross)
-    seen = size > 1e-4
-    whitened = np.where(seen, cross / np.where(seen, size, 1), 0).sum(0, dtype=complex)
-    return int(np.argmax(np.round(np.fft.irfft(whitened, a.shape[-1]), 4)))
+    """spectral_shifts of two images."""
+    return int(spectral_shifts(phases(a)[None], phases(b)[None], a.shape[-1])[0, 0])
 
 
 def hamming(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], shifts) -> tuple[float, int]:
@@ -83,9 +95,9 @@ def hamming(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
     best = (float("nan"), 0)
     for s in shifts:
         hidden = np.roll(a[1], s, -1) | b[1]
-        seen = hidden.size - int(hidden.sum())
+        seen = hidden.size - np.count_nonzero(hidden)
         if seen:
-            d = round(int(((np.roll(a[0], s, -1) ^ b[0]) & ~hidden).sum()) / seen, 9)
+            d = round(np.count_nonzero((np.roll(a[0], s, -1) ^ b[0]) & ~hidden) / seen, 9)
             if not d >= best[0]:
                 best = (d, s)
     return best
@@ -129,6 +141,54 @@ def compare_joined(wide: DataFrame, rows: int, columns: int, around: int = 2, op
     return wide.select("q", "c", "ta", "ma", "tb", "mb").mapInArrow(run, "q long, c long, dist double, shift int")
 
 
+def compare_all(queries: DataFrame, entries: DataFrame, rows: int, columns: int, parts: int, around: int = 2) -> DataFrame:
+    """q, c, dist, shift as compare_codes with shift "spectral", of each query's code with each entry's (frame_id, t, m); null codes have no distance.
+
+    Codes travel in blocks of CODES, over `parts` tasks, and a block's phases are computed once for all codes of the other side's block.
+    """
+
+    def pack(batches):
+        held = []
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                held.append(row)
+                if len(held) == CODES:
+                    yield block(held)
+                    held = []
+        if held:
+            yield block(held)
+
+    def block(held):
+        ids, t, m = zip(*held, strict=True)
+        return pa.record_batch([pa.array([np.array(ids, "<i8").tobytes()]), pa.array([b"".join(t)]), pa.array([b"".join(m)])], names=["ids", "t", "m"])
+
+    def blocks(coded):
+        known = coded.dropna(subset=["frame_id", "t", "m"]).select(F.col("frame_id").cast("long"), "t", "m")
+        return known.mapInArrow(pack, "ids binary, t binary, m binary").repartition(parts, "ids")
+
+    def read(ids, t, m):
+        ids = np.frombuffer(ids, "<i8")
+        t, m = (np.unpackbits(np.frombuffer(x, np.uint8).reshape(len(ids), -1), axis=1, count=rows * columns).reshape(-1, rows, columns).astype(bool) for x in (t, m))
+        return ids, t, m, phases(t & ~m)
+
+    def run(batches):
+        last = {}
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in range(6)), strict=True):
+                sides = []
+                for side, parts in (("q", row[:3]), ("c", row[3:])):
+                    if last.get(side, (None,))[0] != parts:
+                        last[side] = parts, read(*parts)
+                    sides.append(last[side][1])
+                (qi, qt, qm, qp), (ci, ct, cm, cp) = sides
+                start = -spectral_shifts(qp, cp, columns) % columns  # c's turn onto q is q's turn onto c backwards
+                got = [hamming((qt[i], qm[i]), (ct[j], cm[j]), [int(start[i, j]) + k for k in range(-around, around + 1)]) for i in range(len(qi)) for j in range(len(ci))]
+                yield pa.record_batch([pa.array(np.repeat(qi, len(ci))), pa.array(np.tile(ci, len(qi))), pa.array([d for d, _ in got], pa.float64()), pa.array([s for _, s in got], pa.int32())], names=["q", "c", "dist", "shift"])
+
+    asked = blocks(queries).toDF("qi", "qt", "qm")
+    return asked.crossJoin(blocks(entries)).mapInArrow(run, "q long, c long, dist double, shift int")
+
+
 def compare_images(pairs: DataFrame, images: DataFrame, rows: int, columns: int, shifts: int) -> DataFrame:
     """q, c, dist, shift for pairs (q, c): L1 distance of images (frame_id, v) under the first `shifts` shifts."""
 

@@ -146,18 +146,16 @@ class Mdfsc(DescriptorModule):
 class Iris(Mdfsc):
     """As Mdfsc, with bit sets of heights, and all frames of the index as candidates."""
 
-    name = "iris"
+    #: Tasks that the codes of a side are dealt to; under 1: as many as Spark's default parallelism.
+    name, options = "iris", {"threads": 0}
 
     def image(self, points):
         return descriptors.bit_set(points)
 
     def search(self, queries, index, n):
         """Each query against all of the index; the exhaustive search is the method, in blocks of codes."""
-        sides = []
-        for d, i, s in ((queries, "q", "a"), (index, "c", "b")):
-            parts = max(1, min(64, d.count() // 16))
-            sides.append(d.select(F.col("frame_id").alias(i), F.col("t").alias(f"t{s}"), F.col("m").alias(f"m{s}")).repartition(parts, i))
-        scored = codes.compare_joined(sides[0].crossJoin(sides[1]), self.bits, 360, shift="spectral").filter("dist is not null and not isnan(dist)")
+        parts = self.set["threads"] if self.set["threads"] > 0 else queries.sparkSession.sparkContext.defaultParallelism
+        scored = codes.compare_all(queries, index, self.bits, 360, parts).filter("not isnan(dist)")
         return retrieval.top(scored, n).select("q", "c", "dist", self.yaw(), "rk")
 
 

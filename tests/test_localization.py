@@ -324,3 +324,24 @@ def test_matrix_sizes(spark):
         assert found and all(r.q == r.c and abs(r.yaw - np.pi / 2) < 1e-9 for r in found)
     with pytest.raises(ValueError):
         modules.create("isc", num_sector=0)
+
+
+def test_codes_all_to_all(spark):
+    rng = np.random.default_rng(11)
+    rows, columns = 6, 24
+    codes_of = [(rng.random((rows, columns)) < 0.5, rng.random((rows, columns)) < 0.1) for _ in range(20)]
+    codes_of += [tuple(np.roll(x, 7, 1) for x in codes_of[3]), (codes_of[0][0], np.ones((rows, columns), bool))]
+    table = spark.createDataFrame([(i, bytearray(np.packbits(t).tobytes()), bytearray(np.packbits(m).tobytes())) for i, (t, m) in enumerate(codes_of)] + [(99, None, None)], "frame_id long, t binary, m binary")
+    got = {(r.q, r.c): (r.dist, r.shift) for r in codes.compare_all(table.filter("frame_id >= 2"), table.filter("frame_id <> 5"), rows, columns, 2).collect()}
+    assert len(got) == 20 * 21
+    for (q, c), (dist, shift) in got.items():
+        (tq, mq), (tc, mc) = codes_of[q], codes_of[c]
+        start = -codes.spectral_shift(tq & ~mq, tc & ~mc) % columns
+        tried = []
+        for s in range(start - 2, start + 3):
+            seen = ~np.roll(mq, s, 1) & ~mc
+            tried.append((round(float((np.roll(tq, s, 1) ^ tc)[seen].mean()), 9) if seen.any() else float("inf"), s))
+        best = min(tried, key=lambda t: t[0])
+        assert (np.isnan(dist) and best[0] == float("inf")) or (dist, shift) == best
+    assert got[3, 20][0] == 0 and got[20, 3][0] == 0
+    assert codes.compare_all(table.limit(0), table, rows, columns, 1).count() == 0
