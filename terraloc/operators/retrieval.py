@@ -143,7 +143,7 @@ def coarse_shifts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.argmin(np.round(np.sqrt(((ka[:, None] - turned) ** 2).sum(2)), 9), 1)
 
 
-def align(a: np.ndarray, b: np.ndarray, around: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def align_all(a: np.ndarray, b: np.ndarray, around: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Shifts and distances of pairs of matrices (pairs, rings, sectors): the best shift by sector keys, then the best mean column cosine within `around` of it; first wins. NaN without comparable columns."""
     columns, coarse = np.arange(a.shape[2]), coarse_shifts(a, b)
     na, nb = (np.sqrt((x * x).sum(1)) for x in (a, b))
@@ -160,6 +160,12 @@ def align(a: np.ndarray, b: np.ndarray, around: int = 3) -> tuple[np.ndarray, np
     return np.where(best < np.inf, tried[np.arange(len(at)), at], coarse), np.where(best < np.inf, best, np.nan)
 
 
+def align(a: np.ndarray, b: np.ndarray, around: int = 3) -> tuple[int, float]:
+    """align_all of two matrices."""
+    shifts, dists = align_all(a[None], b[None], around)
+    return int(shifts[0]), float(dists[0])
+
+
 def _dense(cells: pa.ListArray, rings: int, sectors: int) -> np.ndarray:
     """rings x sectors matrices of packed cells, empty ones 0."""
     flat, sizes = cells.flatten(), np.diff(cells.offsets.to_numpy())
@@ -170,7 +176,7 @@ def _dense(cells: pa.ListArray, rings: int, sectors: int) -> np.ndarray:
 
 def rerank(pairs: DataFrame, matrices: DataFrame, around: int = 3, rings: int = RINGS, sectors: int = SECTORS) -> DataFrame:
     """pairs: q, c. q, c, dist, shift after alignment."""
-    return _compared(pairs, matrices, lambda a, b: dict(zip(("shift", "dist"), align(a, b, around))), rings, sectors).select("q", "c", "dist", "shift")
+    return _compared(pairs, matrices, lambda a, b: dict(zip(("shift", "dist"), align_all(a, b, around), strict=True)), rings, sectors).select("q", "c", "dist", "shift")
 
 
 def coarse(pairs: DataFrame, matrices: DataFrame, rings: int = RINGS, sectors: int = SECTORS) -> DataFrame:

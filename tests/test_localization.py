@@ -307,7 +307,7 @@ def test_align():
     b = np.stack([np.roll(x, -i, 1) if i % 2 else rng.random((6, 17)) for i, x in enumerate(a)])
     a[0], b[2] = 0, 0
     for around in (0, 3):
-        shifts, dists = retrieval.align(a, b, around)
+        shifts, dists = retrieval.align_all(a, b, around)
         for i in range(len(a)):
             s, d = plain_align(a[i], b[i], around)
             assert (shifts[i], np.isnan(dists[i])) == (s, np.isnan(d)) and (np.isnan(d) or abs(dists[i] - d) < 2e-9)
