@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terraloc.llm import bpe, conversation_trie, hard_negatives, knn, media, packing, simhash, suffixes, token_counts, toxicity, urls, warc
+from terraloc.llm import bpe, conversation_trie, hard_negatives, jaccard, knn, media, packing, simhash, suffixes, token_counts, toxicity, urls, warc
 
 QUERIES = {
     "op1_knn": knn.op1_knn,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_media": media.op8_media,
     "op9_warc": warc.op9_warc,
     "op10_packing": packing.op10_packing,
+    "op11_jaccard_join": jaccard.op11_jaccard_join,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_conversation_trie": conversation_trie.op13_conversation_trie,
 }
-SQL: dict[str, str] = {"op1_knn": knn.OP1_SQL, "op2_suffix_dedup": suffixes.OP2_SQL, "op9_warc": warc.OP9_SQL, "op12_hard_negatives": hard_negatives.OP12_SQL, "op13_conversation_trie": conversation_trie.OP13_SQL}
+SQL: dict[str, str] = {"op1_knn": knn.OP1_SQL, "op2_suffix_dedup": suffixes.OP2_SQL, "op9_warc": warc.OP9_SQL, "op11_jaccard_join": jaccard.OP11_SQL, "op12_hard_negatives": hard_negatives.OP12_SQL, "op13_conversation_trie": conversation_trie.OP13_SQL}
