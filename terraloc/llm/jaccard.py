@@ -49,6 +49,7 @@ HOT = 1 << 19
 LIGHT_MOST = 20
 TEST_ROWS = 20
 GROUP_ROWS = 4096
+BROADCAST_ROWS = 1 << 19
 BUCKETS = 256
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -331,10 +332,14 @@ class Joined:
         likely = save(sides.mapInArrow(_likely, "u long, v long"), f"{tag}-likely")
         self.seen = pairs.select("u", "v") if self.seen is None else self.seen.unionByName(pairs.select("u", "v"))
         asked = likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct()
-        asked = asked.join(self.nodes, "node").select("node", F.col("first").alias("doc_id"), "hi", "lo")
-        own = _own(self.docs)
+        asked = save(asked.join(self.nodes, "node").select("node", F.col("first").alias("doc_id"), "hi", "lo"), f"{tag}-asked")
+        n = asked.count()
+        if not n:
+            return 0
+        # Beyond that size both sides are shuffled by doc_id.
+        named = _own(self.docs).join(F.broadcast(asked) if n <= BROADCAST_ROWS else asked, "doc_id")
         # A doc_id may have several texts, so the sets' hashes tell whose text it is.
-        texts = own.join(asked, "doc_id").mapInArrow(_matching, "node long, text binary").dropDuplicates(["node"]) if self._repeated() else own.join(asked.select("node", "doc_id"), "doc_id").select("node", "text")
+        texts = named.mapInArrow(_matching, "node long, text binary").dropDuplicates(["node"]) if self._repeated() else named.select("node", "text")
         texts = save(texts, f"{tag}-texts")
         sizes = likely.groupBy("v").agg(F.ceil(F.count("*") / 256).cast("int").alias("parts"))
         sizes = save(sizes, f"{tag}-parts")
