@@ -16,7 +16,7 @@ against the list's first; rounds go on until none finds a link. Then only pairs
 are compared within each list, where lengths, places in the order and counts of shingles by bucket rule out nearly all.
 Each pair that is left in any round is tested by its whole sets, once, so subsets and lists only propose.
 
-Shingles are compared by 64-bit hashes of their words' XXH64. Bounded: sets of one size class in a list are combined in
+Shingles are compared by 64-bit hashes of all their bytes. Bounded: sets of one size class in a list are combined in
 partial aggregates; lists of over GROUP_ROWS nodes are cut into pairs of blocks; a pair's test holds two sets, and a
 node with many pairs is dealt to several tasks. HOT bounds what is broadcast. Time for the last step grows with the pairs
 of different components that share a list.
@@ -52,6 +52,9 @@ GROUP_ROWS = 4096
 BROADCAST_ROWS = 1 << 19
 BUCKETS = 256
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
+BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: By k, the bits of a little-endian number's first k bytes.
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def needed(a, b):
@@ -68,41 +71,43 @@ def partner_sizes(n: int) -> range:
     return range(-(-4 * n // 5), 5 * n // 4 + 1)
 
 
-class _Words(dict):
-    """Words' hashes; keeps up to a million short words."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64:
-            if len(self) >= 1 << 20:
-                self.clear()
-            self[word] = h
-        return h
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(32))
 
 
-def shingle_set(text: bytes, known: _Words) -> np.ndarray:
+def word_hashes(text: bytes) -> np.ndarray:
+    """Hashes of the text's words in order: of up to 16 bytes by two numbers that hold them, of longer ones by their XXH64."""
+    own = b" " + text.lower() + b" " * 17
+    blank = BLANK[np.frombuffer(own, np.uint8)]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray(len(own) - 7, "<u8", own, strides=(1,))
+    h = mix((eight[starts] & FIRST_BYTES[np.minimum(sizes, 8)]) + FACTOR * sizes.astype(np.uint64))
+    h = mix(h + (eight[np.minimum(starts + 8, len(eight) - 1)] & FIRST_BYTES[np.clip(sizes - 8, 0, 8)]))
+    for i in np.flatnonzero(sizes > 16).tolist():
+        h[i] = xxhash.xxh64_intdigest(own[starts[i] : starts[i] + sizes[i]])
+    return h
+
+
+def shingle_set(text: bytes) -> np.ndarray:
     """Sorted hashes of the text's distinct shingles."""
-    words = text.lower().split()
-    w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    wide = min(WORDS, len(words))
+    w = word_hashes(text)
+    wide = min(WORDS, len(w))
     if not wide:
         return np.zeros(0, np.uint64)
     n = len(w) - wide + 1
     h = np.full(n, wide, np.uint64)
     for k in range(wide):
         h = h * FACTOR + w[k : k + n]
-    return np.unique(mix(h))
+    h = np.sort(mix(h))
+    return h[np.append(True, h[1:] != h[:-1])]
 
 
 def _sets(batches):
     """Rows of kind 0: doc_id, the set's 128-bit hash and size, and counts by bucket; of kind 1: shingles frequent in a stretch, and how often."""
-    known, held, size, seen = _Words(), [], 0, set()
+    held, size, seen = [], 0, set()
 
     def frequent():
         if not held:
@@ -122,7 +127,7 @@ def _sets(batches):
     for b in batches:
         keys, n, sketch = [], [], []
         for t in binary_lists(b.column(1)):
-            h = shingle_set(t, known)
+            h = shingle_set(t)
             key = xxhash.xxh3_128_digest(h.tobytes())
             keys.append(key)
             n.append(len(h))
@@ -199,12 +204,11 @@ def _listed(hot, most: int):
     """Whole texts to packed lists: doc_id, the set's hash, its first shingles and, for light sets, its subsets."""
 
     def run(batches):
-        known = _Words()
         names, counts = hot.value
         for b in batches:
             keys, firsts, lights = [], [], []
             for t in binary_lists(b.column(1)):
-                h = shingle_set(t, known)
+                h = shingle_set(t)
                 keys.append(xxhash.xxh3_128_digest(h.tobytes()))
                 heavy = len(h) and 5 * len(h) // 4 > most
                 firsts.append(_first(h, names, counts).tobytes() if heavy else b"")
@@ -262,14 +266,14 @@ def _shared(batches):
 
 def _tested(batches):
     """Sorted by v, part and kind: a hub's text (kind 0), then the texts of its partners. Pairs that link."""
-    known, own, hub = _Words(), None, None
+    own, hub = None, None
     for b in batches:
         us, vs = [], []
         for v, kind, u, t in zip(b.column("v").to_pylist(), b.column("kind").to_pylist(), b.column("u").to_pylist(), binary_lists(b.column("text")), strict=True):
             if kind == 0:
-                own, hub = shingle_set(t, known), v
+                own, hub = shingle_set(t), v
             elif hub == v:
-                h = shingle_set(t, known)
+                h = shingle_set(t)
                 at = np.searchsorted(own, h)
                 both = int((own[np.minimum(at, len(own) - 1)] == h).sum())
                 if both >= needed(len(own), len(h)):
@@ -418,12 +422,11 @@ def _near(a: str, b: str):
 
 
 def _matching(batches):
-    known = _Words()
     for b in batches:
         names = b.schema.names
         keep = []
         for i, (t, hi, lo) in enumerate(zip(binary_lists(b.column(names.index("text"))), b.column("hi").to_pylist(), b.column("lo").to_pylist(), strict=True)):
-            key = np.frombuffer(xxhash.xxh3_128_digest(shingle_set(t, known).tobytes()), ">u8").astype(np.uint64).view(np.int64)
+            key = np.frombuffer(xxhash.xxh3_128_digest(shingle_set(t).tobytes()), ">u8").astype(np.uint64).view(np.int64)
             if key.tolist() == [hi, lo]:
                 keep.append(i)
         yield b.select(["node", "text"]).take(pa.array(keep, pa.int64()))

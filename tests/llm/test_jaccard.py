@@ -108,3 +108,14 @@ def test_lists_keep_what_is_shared_over_batches():
         batches = [pa.record_batch([pa.array([x[k] for x in some]) for k in range(3)] + [pa.array([1] * len(some))], names=["token", "part", "node", "pos"]) for some in (rows[:cut], [], rows[cut:]) if some]
         kept = [n for b in jaccard._shared(iter(batches)) for n in b.column("node").to_pylist()]
         assert kept == [2, 3, 5, 6, 7, 8]
+
+
+def test_words_are_told_apart_by_all_their_bytes():
+    r = random.Random(2)
+    words = {bytes(r.choices(range(33, 127), k=r.randrange(1, 24))).lower() for _ in range(3000)} | {b"a" * k for k in range(1, 40)} | {b"a" * k + b"\x00" for k in range(1, 20)}
+    words = sorted(words)
+    h = jaccard.word_hashes(b"\t\n" + b" \x0b\r ".join(words).upper())
+    assert len(h) == len(words) and len(set(h.tolist())) == len(words)
+    for w, x in zip(words[:300], h.tolist(), strict=False):
+        assert jaccard.word_hashes(w).tolist() == [x]
+    assert not len(jaccard.word_hashes(b"")) and not len(jaccard.word_hashes(b" \n"))
