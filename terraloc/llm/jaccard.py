@@ -12,8 +12,8 @@ The order puts shingles that aren't frequent first. Frequent ones are counted wi
 ones, and whatever it takes, results are the same.
 
 Equal sets are one node. A round takes, for each list and class of sizes, one node of each component so far and tests it
-against the list's first; rounds go on until none finds a link. Then only pairs of different components are left; they
-are compared within each list, where lengths, places in the order and counts of shingles by bucket rule out nearly all.
+against the list's first, another one in each round; rounds go on while they find many links. Then only pairs of different components are left; they
+are compared within each list, where lengths, places in the order and parities of shingles' numbers by bucket rule out nearly all.
 Each pair that is left in any round is tested by its whole sets, once, so subsets and lists only propose.
 
 Shingles are compared by 64-bit hashes of all their bytes. Bounded: sets of one size class in a list are combined in
@@ -50,7 +50,8 @@ LIGHT_MOST = 20
 TEST_ROWS = 20
 GROUP_ROWS = 4096
 BROADCAST_ROWS = 1 << 19
-BUCKETS = 256
+#: Rounds end when one finds no more than this part of all links.
+LAST_SHARE = 20
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 #: By k, the bits of a little-endian number's first k bytes.
@@ -105,8 +106,27 @@ def shingle_set(text: bytes) -> np.ndarray:
     return h[np.append(True, h[1:] != h[:-1])]
 
 
+def parities(h: np.ndarray) -> bytes:
+    """A bit for each of a power of two of buckets, 2 to 4 for each hash: whether it holds an odd number of them."""
+    bits = max(64, 1 << (2 * len(h) - 1).bit_length()) if len(h) else 64
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many parities of paired sets differ, which is at most how many members do. The longer one's halves are added up until both are of a length."""
+    out = np.empty(len(a), np.int64)
+    for k, (x, y) in enumerate(zip(a, b, strict=True)):
+        while len(x) > len(y):
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        while len(y) > len(x):
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+        out[k] = np.bitwise_count(x ^ y).sum()
+    return out
+
+
 def _sets(batches):
-    """Rows of kind 0: doc_id, the set's 128-bit hash and size, and counts by bucket; of kind 1: shingles frequent in a stretch, and how often."""
+    """Rows of kind 0: doc_id, the set's 128-bit hash and size, and parities by bucket; of kind 1: shingles frequent in a stretch, and how often."""
     held, size, seen = [], 0, set()
 
     def frequent():
@@ -131,7 +151,7 @@ def _sets(batches):
             key = xxhash.xxh3_128_digest(h.tobytes())
             keys.append(key)
             n.append(len(h))
-            sketch.append(np.minimum(np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes())
+            sketch.append(parities(h))
             if key not in seen:
                 seen.add(key)
                 held.append(h)
@@ -283,12 +303,12 @@ def _tested(batches):
 
 
 def _likely(batches):
-    """Pairs whose counts by bucket don't rule out a link."""
+    """Pairs whose parities don't rule out a link."""
     for b in batches:
         if b.num_rows:
-            s, t = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for c in ("su", "sv"))
+            s, t = ([np.frombuffer(x, np.uint64) for x in b.column(c).to_pylist()] for c in ("su", "sv"))
             total = b.column("total").to_numpy()
-            yield b.select(["u", "v"]).filter(pa.array(np.abs(s - t).sum(1) <= total - 2 * needed(total, 0)))
+            yield b.select(["u", "v"]).filter(pa.array(apart(s, t) <= total - 2 * needed(total, 0)))
 
 
 class Joined:
@@ -369,12 +389,13 @@ class Joined:
         rows = self.lists.join(comps.withColumnRenamed("u", "node"), "node", "left") if comps is not None else self.lists.withColumn("component", F.lit(None).cast("long"))
         return rows.withColumn("component", F.coalesce("component", "node"))
 
-    def stars(self, tag: str) -> int:
-        """One node of each component in a list's class of sizes, against the first of them."""
+    def stars(self, turn: int) -> int:
+        """One node of each component in a list's class of sizes, against the first of them: by number in turn 0, so that lists have the same first ones, and else by hashes that differ between lists and turns."""
+        tag = f"stars{turn}"
         # In a class of a heavy list sizes are within 1.25 of each other; in a light list all of a size are in one class, and go with the other size's.
         level = F.when(F.col("pos") > 0, F.floor(F.log(F.col("n") + 0.5) / float(np.log(1.25)))).otherwise(-F.col("n"))
         rows = self.labelled().withColumn("level", level.cast("int"))
-        rows = rows.groupBy("key", "level", "component").agg(F.min(F.struct("node", "n", "pos")).alias("p"))
+        rows = rows.groupBy("key", "level", "component").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("rank") if turn else F.col("node").alias("rank"), "node", "n", "pos")).alias("p"))
         rows = save(rows, f"{tag}-reps")
         heavy, light = rows.filter("level >= 0"), rows.filter("level < 0")
         hubs = save(heavy.groupBy("key", "level").agg(F.min("p").alias("hub"), F.count("*").alias("rows")).filter("rows > 1"), f"{tag}-hubs")
@@ -433,10 +454,12 @@ def _matching(batches):
 
 
 def crossed(g: dict[str, np.ndarray], step: int = 256):
-    """u, v, total of the pairs of a list, of different components, that sizes, places and counts don't rule out."""
+    """u, v, total of the pairs of a list, of different components, that sizes, places and parities don't rule out."""
     order = np.argsort(g["n"], kind="stable")
     node, n, pos, comp = (g[c][order].astype(np.int64) for c in ("node", "n", "pos", "component"))
-    sketch = np.frombuffer(b"".join(g["sketch"][order].tolist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
+    marks = [np.frombuffer(x, np.uint64) for x in g["sketch"][order].tolist()]
+    wide = np.array([len(x) for x in marks])
+    by_width = {w: folded(marks, wide, w) for w in np.unique(wide).tolist()}
     for a in range(0, len(node), step):
         i = slice(a, a + step)
         end = int(np.searchsorted(n, 5 * n[i].max() // 4, side="right"))
@@ -445,12 +468,27 @@ def crossed(g: dict[str, np.ndarray], step: int = 256):
         ok = (comp[i, None] != comp[None, j]) & (4 * b_n <= 5 * a_n) & (np.arange(a, a + len(n[i]))[:, None] < np.arange(a, end)[None, :])
         ok &= 9 * (np.minimum(p, q) + np.minimum(a_n - p, b_n - q)) >= 4 * (a_n + b_n)
         left, right = np.nonzero(ok)
-        for k in range(0, len(left), 1 << 15):
-            u, v = left[k : k + (1 << 15)] + a, right[k : k + (1 << 15)] + a
-            total = n[u] + n[v]
-            keep = np.abs(sketch[u] - sketch[v]).sum(1) <= total - 2 * needed(total, 0)
-            if keep.any():
-                yield node[u[keep]], node[v[keep]], total[keep]
+        for w in np.unique(wide[i]).tolist():  # sizes grow along the list, so the left one's parities are the shorter
+            own = np.nonzero(wide[left + a] == w)[0]
+            at, same = by_width[w]
+            block = max(1, (4 << 20) // (8 * w))
+            for k in range(0, len(own), block):
+                u, v = left[own[k : k + block]] + a, right[own[k : k + block]] + a
+                total = n[u] + n[v]
+                keep = np.bitwise_count(same[at[u]] ^ same[at[v]]).sum(1, dtype=np.int64) <= total - 2 * needed(total, 0)
+                if keep.any():
+                    yield node[u[keep]], node[v[keep]], total[keep]
+
+
+def folded(marks: list[np.ndarray], wide: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """The parities of width w, or of the next two widths brought to it, as rows of one array, and each one's row."""
+    own = np.nonzero((wide >= w) & (wide <= 4 * w))[0]
+    out = np.empty((len(own), w), np.uint64)
+    for k, i in enumerate(own.tolist()):
+        out[k] = np.bitwise_xor.reduce(marks[i].reshape(-1, w), axis=0)
+    at = np.full(len(marks), -1)
+    at[own] = np.arange(len(own))
+    return at, out
 
 
 def _crossed(batches):
@@ -462,9 +500,10 @@ def _crossed(batches):
 def jaccard_components(docs: DataFrame, most: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of each row with a doc_id. most: the boundary between light and heavy sets, by default that of least cost."""
     join = Joined(docs, most)
-    k = 0
-    while join.stars(f"stars{k}"):
-        k += 1
+    found, turn = [], 0
+    while not turn or found[-1] * LAST_SHARE > sum(found):
+        found.append(join.stars(turn))
+        turn += 1
     join.rest()
     return join.result()
 
