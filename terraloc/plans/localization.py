@@ -80,12 +80,6 @@ def multilateration_noisy(spark, sf_dir):
 QUERIES["multilateration"] = multilateration_noisy
 
 
-def settled(found: DataFrame, planted: dict[str, str], tolerance: float) -> DataFrame:
-    """Columns that lie within the tolerance of the planted ones (expressions by column) as those; others, rounded, as they are."""
-    snapped = [F.when(F.abs(F.col(c) - F.expr(p)) <= tolerance, F.round(F.expr(p), 6) + 0.0).otherwise(F.round(c, 6) + 0.0).alias(c) for c, p in planted.items()]
-    return found.select(*(c for c in found.columns if c not in planted), *snapped)
-
-
 def _code_sql(margin: str) -> str:
     """T and M of embeddings as 1 x 64 images: signs, faint ones masked."""
     top = _embedding_sql("(a.k[i] - b.k[i])*(a.k[i] - b.k[i])").rpartition(" SELECT q, c,")[0]
@@ -263,57 +257,71 @@ def thinning(spark, sf_dir):
     return features.thinned(fx.cloud(spark, sf_dir))
 
 
-#: A closed room of 6 x 5 x 3 m, seen from two poses a small known motion apart.
+#: A closed room of 6 x 5 x 3 m, seen from two poses a known motion apart.
 MOTION = {"roll": "CAST(frame_id % 3 - 1 AS DOUBLE)/1e2", "pitch": "CAST(frame_id % 5 - 2 AS DOUBLE)/1e2", "yaw": "CAST(frame_id % 7 - 3 AS DOUBLE)/1e2", "x": "CAST(frame_id % 11 - 5 AS DOUBLE)/1e2", "y": "CAST(frame_id % 13 - 6 AS DOUBLE)/1e2", "z": "CAST(frame_id % 3 - 1 AS DOUBLE)/1e2"}
+#: Motions of some tenths of a metre and of several degrees, none of them zero.
+WIDE_MOTION = {"roll": "CAST(frame_id % 4*2 - 3 AS DOUBLE)/1e2", "pitch": "CAST(frame_id % 6*2 - 5 AS DOUBLE)/1e2", "yaw": "CAST(frame_id % 8*2 - 7 AS DOUBLE)/5e1", "x": "CAST(frame_id % 10*2 - 9 AS DOUBLE)/4e1", "y": "CAST(frame_id % 12*2 - 11 AS DOUBLE)/4e1", "z": "CAST(frame_id % 4*2 - 3 AS DOUBLE)/2e1"}
+#: What a motion found may be off by: planes through points of two walls bend it by up to 7 mm on these rooms.
+EXACT = dict.fromkeys(("roll", "pitch", "yaw"), 5e-3) | dict.fromkeys("xyz", 8e-3)
 
 
-def _room(spark, sf_dir) -> DataFrame:
-    """frame_id, x, y, z on the six faces, by hashes of the rows."""
+def _room(spark, sf_dir, edges: bool = False) -> DataFrame:
+    """frame_id, x, y, z, kind on the six faces, by hashes of the rows; with edges, a quarter of the points lie on the room's twelve edges and are corners (kind 2)."""
     t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("frame_id"), F.pmod(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey"), F.lit(1 << 40)).alias("h"))
     u, v, face = (F.col("h") % 1000) / 1000.0, (F.floor(F.col("h") / 1000) % 1000) / 1000.0, F.floor(F.col("h") / 1_000_000) % 6
     x = F.when(face == 0, -3.0).when(face == 1, 3.0).otherwise(u * 6 - 3)
     y = F.when(face == 2, -2.5).when(face == 3, 2.5).when(face < 2, u * 5 - 2.5).otherwise(v * 5 - 2.5)
     z = F.when(face == 4, -1.5).when(face == 5, 1.5).otherwise(v * 3 - 1.5)
-    return t.select("frame_id", x.alias("x"), y.alias("y"), z.alias("z"))
+    on_edge, edge = F.floor(F.col("h") / 6_000_000) % 4 == 0, F.floor(F.col("h") / 24_000_000) % 12
+    side = [F.when(F.floor(edge / 3) % 2 == 0, -1.0).otherwise(1.0), F.when(edge < 6, -1.0).otherwise(1.0)]
+    along = [F.when(edge % 3 == axis, u * 2 - 1).otherwise(side[0] if axis == 0 or axis == 1 else side[1]) for axis in range(3)]
+    along[1] = F.when(edge % 3 == 1, u * 2 - 1).when(edge % 3 == 0, side[0]).otherwise(side[1])
+    own = [F.when(on_edge, a * half).otherwise(c).alias(n) if edges else c.alias(n) for a, half, c, n in zip(along, (3.0, 2.5, 1.5), (x, y, z), "xyz", strict=True)]
+    return t.select("frame_id", *own, (F.when(on_edge, 2).otherwise(1) if edges else F.lit(1)).alias("kind"))
 
 
-def _moved_pairs(spark, sf_dir, method: str, reach: float, kind: int = 1) -> DataFrame:
+def _moved_pairs(spark, sf_dir, method: str, reach: float, motion: dict[str, str] = MOTION, edges: bool = False) -> DataFrame:
     """Each room (id) and what of it is seen after the motion (-1 - id), registered onto each other."""
-    room = _room(spark, sf_dir)
-    m = g.rotation(*(F.expr(MOTION[a]) for a in ("roll", "pitch", "yaw")))
-    off = [F.col(c) - F.expr(MOTION[c]) for c in "xyz"]
+    room = _room(spark, sf_dir, edges)
+    m = g.rotation(*(F.expr(motion[a]) for a in ("roll", "pitch", "yaw")))
+    off = [F.col(c) - F.expr(motion[c]) for c in "xyz"]
     back = [sum(m[i][j] * off[i] for i in range(3)) for j in range(3)]
-    moved = room.select((-1 - F.col("frame_id")).alias("frame_id"), *(b.alias(c) for b, c in zip(back, "xyz", strict=True)))
-    clouds = room.unionByName(moved).groupBy("frame_id").agg(F.collect_list(F.struct("x", "y", "z", F.lit(kind).alias("kind"))).alias("p"))
+    moved = room.select((-1 - F.col("frame_id")).alias("frame_id"), *(b.alias(c) for b, c in zip(back, "xyz", strict=True)), "kind")
+    clouds = room.unionByName(moved).groupBy("frame_id").agg(F.collect_list(F.struct("x", "y", "z", "kind")).alias("p"))
     pairs = fx.frames(spark, sf_dir).select((-1 - F.col("frame_id")).alias("q"), F.col("frame_id").alias("c"))
     r = registration.register_pairs(pairs, clouds, method, reach)
     a = g.angles([[F.col(f"m{i}{j}") for j in range(3)] for i in range(3)])
-    return r.select(F.col("c").alias("frame_id"), *((F.round(v, 3) + 0.0).alias(n) for v, n in [*zip(a, ("roll", "pitch", "yaw"), strict=True), *((F.col(c), c) for c in "xyz")]))
+    return r.select(F.col("c").alias("frame_id"), *(v.alias(n) for v, n in [*zip(a, ("roll", "pitch", "yaw"), strict=True), *((F.col(c), c) for c in "xyz")]))
 
 
 MOTION_SQL = f"WITH {fx.FRAMES} SELECT frame_id, {', '.join(f'round({v}, 3) + 0e0 AS {k}' for k, v in MOTION.items())} FROM frames"
 
 
-def _settled_motion(spark, sf_dir, method: str, tolerance: float) -> DataFrame:
-    return settled(_moved_pairs(spark, sf_dir, method, 1.0), MOTION, tolerance)
+WIDE_SQL = f"WITH {fx.FRAMES} SELECT frame_id, {', '.join(f'true AS {k}_met, {v} > 0 AS {k}_ahead' for k, v in WIDE_MOTION.items())} FROM frames"
 
 
-@query(MOTION_SQL)
+def _met(found: DataFrame, motion: dict[str, str]) -> DataFrame:
+    """For each part of the motion whether what was found is off by under EXACT, and whether it is over zero."""
+    return found.select("frame_id", *(x for k, v in motion.items() for x in ((F.abs(F.col(k) - F.expr(v)) < EXACT[k]).alias(f"{k}_met"), (F.col(k) > 0).alias(f"{k}_ahead"))))
+
+
+@query(WIDE_SQL)
 def registration_loam(spark, sf_dir):
-    """The motions found from surfaces; SQL states the planted ones, met within 2 cm (and 0.02 radians): planes through points of two walls bend them by some millimetres."""
-    return _settled_motion(spark, sf_dir, "loam", 0.02)
+    """Motions found from corners on lines and surfaces on planes; the rows tell which parts are met within 8 mm and 0.005 radians, and their signs."""
+    return _met(_moved_pairs(spark, sf_dir, "loam", 1.0, WIDE_MOTION, edges=True), WIDE_MOTION)
 
 
-@query(MOTION_SQL)
+@query(WIDE_SQL)
 def registration_ndt(spark, sf_dir):
     """As registration_loam, by normal distributions."""
-    return _settled_motion(spark, sf_dir, "ndt", 0.02)
+    return _met(_moved_pairs(spark, sf_dir, "ndt", 1.0, WIDE_MOTION), WIDE_MOTION)
 
 
 @query(MOTION_SQL)
 def registration_icp(spark, sf_dir):
     """The motions found by nearest points; SQL states the planted ones."""
-    return _moved_pairs(spark, sf_dir, "icp", 1.0)
+    found = _moved_pairs(spark, sf_dir, "icp", 1.0)
+    return found.select("frame_id", *((F.round(c, 3) + 0.0).alias(c) for c in found.columns[1:]))
 
 
 _N = "sqrt(x*x + y*y + z*z)"
@@ -327,44 +335,65 @@ def normal_equations(spark, sf_dir):
     return out.select("frame_id", *((F.round(c, 4) + 0.0).alias(c) for c in out.columns[1:]))
 
 
-#: Where frames stand in one world, within half a metre of its middle; even ones (queries) have turned left by 6 degrees a step.
+#: Each stretch of so many frame ids is a place of its own, with its own surroundings.
+PLACE_FRAMES = 20
+#: Where frames stand, within half a metre of their place's middle; even ones (queries) have turned left by 6 degrees a step.
 PLACE = {"x": "CAST((frame_id*frame_id*31 + frame_id*7) % 101 AS DOUBLE)/1e2 - 5e-1", "y": "CAST((frame_id*frame_id*17 + frame_id*13) % 103 AS DOUBLE)/1e2 - 5e-1", "z": "CAST((frame_id*frame_id*11 + frame_id*5) % 97 AS DOUBLE)/1e2 - 5e-1"}
-#: A map of fewer entries has no match for any query.
-LEAST_ENTRIES = 10
+#: A map of fewer entries has no match for any query; so many map frames around the match are anchors.
+LEAST_ENTRIES, ANCHORS = 10, 8
+#: Clouds whose points lie this far apart after registration, in the mean, don't show the same place.
+ALIKE = 0.05
+
+
+def _stands(spark, sf_dir) -> DataFrame:
+    """frame_id, place, and the planted x, y, z."""
+    place = F.floor(F.col("frame_id") / PLACE_FRAMES).alias("place")
+    return fx.frames(spark, sf_dir).select("frame_id", place, *(F.expr(v).alias(c) for c, v in PLACE.items()))
 
 
 def _seen(spark, sf_dir) -> DataFrame:
-    """frame_id, x, y, z, intensity: the points of the first frame as each frame sees them from its place."""
-    points = fx.points(spark, sf_dir)
-    world = points.join(F.broadcast(points.agg(F.min("frame_id").alias("frame_id"))), "frame_id").drop("frame_id")
-    placed = fx.frames(spark, sf_dir).select("frame_id", *(F.expr(v).alias(f"p{c}") for c, v in PLACE.items()), F.when(F.col("frame_id") % 2 == 0, F.radians((F.col("frame_id") % 60) * 6.0)).otherwise(0.0).alias("yaw"))
+    """frame_id, x, y, z, intensity: each place has the points of its first frame, and its frames see these from where they stand."""
+    stands = _stands(spark, sf_dir)
+    first = stands.groupBy("place").agg(F.min("frame_id").alias("frame_id"))
+    world = fx.points(spark, sf_dir).join(first, "frame_id").drop("frame_id")
+    yaw = F.when(F.col("frame_id") % 2 == 0, F.radians((F.col("frame_id") % 60) * 6.0)).otherwise(0.0)
+    both = stands.select("frame_id", "place", *(F.col(c).alias(f"p{c}") for c in "xyz"), yaw.alias("yaw")).join(world, "place")
     off = [F.col(c) - F.col(f"p{c}") for c in "xyz"]
     cos, sin = F.cos("yaw"), F.sin("yaw")
-    return placed.crossJoin(F.broadcast(world)).select("frame_id", (off[0] * cos + off[1] * sin).alias("x"), (off[1] * cos - off[0] * sin).alias("y"), off[2].alias("z"), "intensity")
+    return both.select("frame_id", (off[0] * cos + off[1] * sin).alias("x"), (off[1] * cos - off[0] * sin).alias("y"), off[2].alias("z"), "intensity")
 
 
-@query(f"""WITH {fx.FRAMES}, n AS (SELECT count(*) >= {LEAST_ENTRIES} AS ok FROM frames WHERE frame_id % 2 = 1), p AS (SELECT frame_id, ok, {', '.join(f'{v} AS g{c}' for c, v in PLACE.items())} FROM frames, n WHERE frame_id % 2 = 0)
-SELECT frame_id, ok, {', '.join(R(f'g{c}', f'g{c}') for c in 'xyz')}, {', '.join(R(f'CASE WHEN ok THEN g{c} ELSE 0 END', f'p{c}') for c in 'xyz')} FROM p""")
-def localize(spark, sf_dir):
-    """The whole chain: best match by descriptor, the eight map frames around it, ranges as lengths of the shifts that register the query's cloud onto theirs from the match's turn, and the position from these. SQL states the planted places, met within 1 cm. Frames without a match are at 0."""
+def _localized(spark, sf_dir) -> DataFrame:
+    """frame_id, match_id, match_place, ok, px, py, pz of each even frame, unrounded: the best match among all odd frames by descriptor, the map frames around it at its place, ranges as lengths of the shifts that register the query's cloud onto theirs from the match's turn, and the position from these. Frames without a match, or whose cloud is none of the match's place, are at 0."""
     seen = _seen(spark, sf_dir)
     described = descriptors.matrices(descriptors.height_max(seen))
     near = retrieval.knn_within(described, "frame_id % 2 = 0", "frame_id % 2 = 1")
     best = retrieval.top(retrieval.rerank(near, described), 1).select("q", F.col("c").alias("match_id"), F.radians(F.col("shift") * (-360.0 / descriptors.SECTORS)).alias("yaw"))
-    place = fx.frames(spark, sf_dir).select("frame_id", *(F.expr(v).alias(c) for c, v in PLACE.items()))
-    entries = scans.ordinal(place.filter("frame_id % 2 = 1"), "frame_id")
-    n = F.broadcast(entries.agg(F.count("*").alias("n")))
-    start = F.greatest(F.least(F.col("ord") - 4, F.col("n") - 8), F.lit(0))
-    matched = best.join(entries.select(F.col("frame_id").alias("match_id"), "ord"), "match_id").crossJoin(n).filter(F.col("n") >= LEAST_ENTRIES)
-    wanted = matched.select("q", "yaw", F.explode(F.sequence(start, start + 7)).alias("ord")).join(entries.select("ord", F.col("frame_id").alias("c")), "ord")
+    stands = _stands(spark, sf_dir)
+    entries = scans.ordinal(stands.filter("frame_id % 2 = 1"), "frame_id")
+    sizes = entries.groupBy("place").agg(F.min("ord").alias("first"), F.count("*").alias("n"))
+    enough = F.broadcast(entries.agg((F.count("*") >= LEAST_ENTRIES).alias("enough")))
+    start = F.greatest(F.least(F.col("ord") - ANCHORS // 2, F.col("first") + F.col("n") - ANCHORS), F.col("first"))
+    last = F.least(start + ANCHORS, F.col("first") + F.col("n")) - 1
+    matched = best.join(entries.select(F.col("frame_id").alias("match_id"), "place", "ord"), "match_id").join(sizes, "place").crossJoin(enough).filter("enough")
+    wanted = matched.select("q", "yaw", F.explode(F.sequence(start, last)).alias("ord")).join(entries.select("ord", F.col("frame_id").alias("c")), "ord")
     clouds = seen.groupBy("frame_id").agg(F.collect_list(F.struct("x", "y", "z", F.lit(1).alias("kind"))).alias("p"))
-    ranged = registration.register_pairs(wanted.select("q", "c", "yaw"), clouds, "icp", 2.0).filter("residual is not null").select("q", F.col("c").alias("a"), "radius")
+    ranged = registration.register_pairs(wanted.select("q", "c", "yaw"), clouds, "icp", 2.0).filter(F.col("residual") < ALIKE).select("q", F.col("c").alias("a"), "radius")
     s = ranged.join(entries.select(F.col("frame_id").alias("a"), "x", "y", "z"), "a").select("q", "a", F.struct("x", "y", "z", "radius").alias("s"))
     solved = multilateration.solve(observed(s)).select(F.col("q").alias("frame_id"), "ok", *(F.col(c).alias(f"p{c}") for c in "xyz"))
-    out = place.filter("frame_id % 2 = 0").select("frame_id", *(F.col(c).alias(f"g{c}") for c in "xyz")).join(solved, "frame_id", "left")
-    out = out.select("frame_id", F.coalesce("ok", F.lit(False)).alias("ok"), *(F.round(f"g{c}", 6).alias(f"g{c}") + 0.0 for c in "xyz"), *(F.coalesce(f"p{c}", F.lit(0.0)).alias(f"p{c}") for c in "xyz"))
-    out = out.toDF("frame_id", "ok", "gx", "gy", "gz", "px", "py", "pz")
-    return settled(out, {f"p{c}": f"if(ok, g{c}, 0.0)" for c in "xyz"}, 0.01)
+    matches = matched.select(F.col("q").alias("frame_id"), "match_id", F.col("place").alias("match_place"))
+    out = stands.filter("frame_id % 2 = 0").select("frame_id").join(matches, "frame_id", "left").join(solved, "frame_id", "left")
+    ok = F.coalesce("ok", F.lit(False))
+    return out.select("frame_id", "match_id", "match_place", ok.alias("ok"), *(F.coalesce(f"p{c}", F.lit(0.0)).alias(f"p{c}") for c in "xyz"))
+
+
+@query(f"""WITH {fx.FRAMES}, p AS (SELECT frame_id, frame_id // {PLACE_FRAMES} AS place, {', '.join(f'{v} AS p{c}' for c, v in PLACE.items())} FROM frames),
+m AS (SELECT *, count(*) FILTER (frame_id % 2 = 1) OVER (PARTITION BY place) >= {ANCHORS // 2} AND count(*) FILTER (frame_id % 2 = 1) OVER () >= {LEAST_ENTRIES} AS ok FROM p)
+SELECT frame_id, CASE WHEN ok THEN place END AS match_place, ok, {', '.join(f'round(CASE WHEN ok THEN p{c} ELSE 0 END, 3) + 0e0 AS p{c}' for c in 'xyz')} FROM m WHERE frame_id % 2 = 0""")
+def localize(spark, sf_dir):
+    """The whole chain, positions to the millimetre as computed. SQL states each query's own place and where it was planted; queries of a place without map frames aren't localised."""
+    found = _localized(spark, sf_dir)
+    return found.select("frame_id", F.when(F.col("ok"), F.col("match_place")).alias("match_place"), "ok", *((F.round(f"p{c}", 3) + 0.0).alias(f"p{c}") for c in "xyz"))
 
 
 def _revisit(name: str):

@@ -8,7 +8,7 @@ from terraloc.functions import metrics
 from terraloc.operators import codes, features, images, modules, multilateration, registration, retrieval, scans
 from terraloc.plans import fixtures as fx
 from terraloc.plans import localization
-from terraloc.plans.localization import MOTION, _moved_pairs
+from terraloc.plans.localization import _moved_pairs
 from terraloc.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -163,12 +163,25 @@ def test_nearest_by_hand():
         assert np.allclose(dist[i, : len(d)], d) and (idx[i, len(d) :] == -1).all()
 
 
-@pytest.mark.parametrize("name", ["registration_loam", "registration_ndt"])
+@pytest.mark.parametrize("name", ["loam", "ndt"])
 def test_registration_finds_planted_motion(spark, name):
-    got = _moved_pairs(spark, SF, name.removeprefix("registration_"), 1.0).toPandas().set_index("frame_id").sort_index()
-    want = fx.frames(spark, SF).select("frame_id", *(F.expr(v).alias(k) for k, v in MOTION.items())).toPandas().set_index("frame_id").sort_index()
+    wide = localization.WIDE_MOTION
+    got = _moved_pairs(spark, SF, name, 1.0, wide, edges=name == "loam").toPandas().set_index("frame_id").sort_index()
+    want = fx.frames(spark, SF).select("frame_id", *(F.expr(v).alias(k) for k, v in wide.items())).toPandas().set_index("frame_id").sort_index()
     assert len(got) == len(want)
-    assert np.abs(got[list(MOTION)] - want[list(MOTION)]).values.max() < 0.02
+    for k in wide:
+        assert np.abs(got[k] - want[k]).max() < localization.EXACT[k]
+
+
+def test_rows_of_registration_tell_wrong_motions(spark):
+    wide = localization.WIDE_MOTION
+    planted = fx.frames(spark, SF).select("frame_id", *(F.expr(v).alias(k) for k, v in wide.items()))
+    right = localization._met(planted, wide).toPandas()
+    assert right[[f"{k}_met" for k in wide]].values.all()
+    still = localization._met(planted.select("frame_id", *(F.lit(0.0).alias(k) for k in wide)), wide).toPandas()
+    assert not still[[f"{k}_met" for k in wide]].values.any()
+    off = localization._met(planted.select("frame_id", *((F.col(k) + 0.01).alias(k) for k in wide)), wide).toPandas()
+    assert not off[[f"{k}_met" for k in wide]].values.any()
 
 
 def test_unknown_method():
@@ -243,10 +256,21 @@ def test_spectral_image_by_direct_sums():
 @pytest.mark.parametrize("least", [10, 5])
 def test_localize_by_registration(spark, monkeypatch, least):
     monkeypatch.setattr(localization, "LEAST_ENTRIES", least)  # the map has five entries here
-    got = QUERIES["localize"](spark, SF).toPandas()
+    got = localization._localized(spark, SF).toPandas().sort_values("frame_id")
     assert len(got) and (got["ok"] == (least == 5)).all()
-    truth = got[["gx", "gy", "gz"]].values if least == 5 else 0.0
-    assert np.abs(got[["px", "py", "pz"]].values - truth).max() <= 1e-6
+    truth = localization._stands(spark, SF).filter("frame_id % 2 = 0").toPandas().sort_values("frame_id")
+    if least == 5:
+        assert (got["match_place"].values == truth["place"].values).all() and (got["match_id"] % 2 == 1).all()
+    want = truth[["x", "y", "z"]].values if least == 5 else 0.0
+    assert np.abs(got[["px", "py", "pz"]].values - want).max() <= 1e-6
+
+
+def test_localize_needs_the_right_place(spark, monkeypatch):
+    """With places of three frames most queries' own place has too few map frames, and a wrong one's clouds don't register."""
+    monkeypatch.setattr(localization, "LEAST_ENTRIES", 1)
+    monkeypatch.setattr(localization, "PLACE_FRAMES", 1)
+    got = localization._localized(spark, SF).toPandas()
+    assert len(got) and not got["ok"].any() and not got[["px", "py", "pz"]].values.any()
 
 
 def test_ordinal_across_buckets(spark):
