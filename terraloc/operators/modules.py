@@ -63,8 +63,8 @@ class DescriptorModule(ABC):
         return spark.read.parquet(path)
 
     def search(self, queries: DataFrame, index: DataFrame, n: int) -> DataFrame:
-        """q, c, dist, yaw (radians), rk: the n best of each query's nearest keys, 10 of them, or 2n from n = 5 on."""
-        k = int(self.set.get("num_candidates", 0)) or (10 if n < 5 else 2 * n)
+        """q, c, dist, yaw (radians), rk: the n best of each query's nearest keys, 10 of them, or 2n from n = 5 on; more if num_candidates is more."""
+        k = max(int(self.set.get("num_candidates", 0)), 10 if n < 5 else 2 * n)
         near = retrieval.knn(self.keys(queries), self.keys(index), k)
         # Queries may bear ids of the index: sides are told apart by sign until the end.
         both = queries.withColumn("frame_id", -1 - F.col("frame_id")).unionByName(index)

@@ -1,54 +1,104 @@
-"""Exact kNN joins by blocks, radius joins by grid cells, and alignment of descriptors by circular shifts.
+"""Exact kNN joins by balls, radius joins by grid cells, and alignment of descriptors by circular shifts.
 
 Neighbours are found by squared distance, rounded to 9 places, and then id. Queries and map are packed, where they lie,
-into blocks of up to BLOCK rows of ids and numbers, so that keys aren't shuffled row by row or counted before, and one row of the
-joined plan is a pair of blocks that are read as matrices. Queries are a stated set; all of the map is searched for them.
+into balls of up to BLOCK near rows with a centre and a radius, so that keys aren't shuffled row by row or counted
+before. Queries read the balls with the nearest centres first. By the triangle inequality a ball's centre and radius
+bound how near its keys are, so that each query's k-th best distance so far rules out the balls that are farther, and
+only the others are read. Queries are a stated set; all of the map is searched for them.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections import deque
+
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terraloc.operators.descriptors import RINGS, SECTORS
 
 BLOCK = 512
+#: Keys of a task that are made balls together, and centres that are compared at once.
+CHUNK, CENTRES = 64 * BLOCK, 4096
+#: Rows of a ball of queries: fewer, as all of them meet what one of them needs.
+ASKING = 32
+#: Up to so many pairs of balls are compared without bounds.
+FEW_PAIRS = 1024
+TOLD = "array<struct<q:bigint,d:double>>"
+#: Tables that are kept for the steps of a search.
+SLOTS = 20
 #: Pairs of matrices that are compared at once.
 COMPARED = 256
 
 
-def _blocks(keys: DataFrame, chosen: str = "true") -> DataFrame:
-    """ids, ks: little-endian 64-bit ids and doubles of up to BLOCK keys of one partition. Null keys, or such that hold a null, have no neighbours.
+_SLOTS: deque[DataFrame] = deque()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, persisted in memory and on disk; beyond SLOTS the table that was kept first is let go, and computed again if it is read."""
+    _SLOTS.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    while len(_SLOTS) > SLOTS:
+        _SLOTS.popleft().unpersist()
+    return df
+
+
+def balls(x: np.ndarray, size: int = BLOCK) -> list[np.ndarray]:
+    """The rows of x in groups of up to `size` near ones: halves along the longest way, again and again."""
+    if len(x) <= size:
+        return [np.arange(len(x))]
+    a = x[((x - x.mean(0)) ** 2).sum(1).argmax()]
+    b = x[((x - a) ** 2).sum(1).argmax()]
+    order = np.argsort(x @ (b - a), kind="stable")
+    cut = -(-len(x) // 2 // size) * size  # full groups but the last
+    return [half[g] for half in (order[:cut], order[cut:]) for g in balls(x[half], size)]
+
+
+def _apart(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Distances (not squared) of rows of a and rows of b."""
+    diff = a[:, None] - b[None]
+    return np.abs(diff).sum(2) if metric == "l1" else np.sqrt((diff * diff).sum(2))
+
 
-    Keys for which the condition `chosen` doesn't hold are left out here, in the task: a filter would be pushed below
-    the aggregation that makes the keys, and what is chosen otherwise from the same table couldn't read its exchange.
+def _blocks(keys: DataFrame, *chosen: str, sizes: tuple[int, ...] = ()) -> DataFrame:
+    """Balls: side, block (a hash), ids, ks (little-endian 64-bit ids and doubles of up to BLOCK near keys of one partition), n, mid (the centre), far1, far2 (radius by l1 and l2). Null keys, or such that hold a null, have no neighbours.
+
+    For each condition in `chosen` (by default all keys) there are balls of the keys for which it holds, with its number
+    as their side, of its number of rows in `sizes` (by default BLOCK). They are made in one pass: filters would be pushed below the aggregation that makes the keys, so
+    that the sides couldn't read one exchange.
     """
 
-    def pack(batches):
-        held, size = [], 0
+    sizes = sizes or (BLOCK,) * max(1, len(chosen))
 
-        def block():
-            t = pa.Table.from_batches(held).combine_chunks()
-            ks = t.column(1).combine_chunks()
-            ks = pa.concat_arrays(ks.chunks) if isinstance(ks, pa.ChunkedArray) else ks
-            return [t.column(0).to_numpy().astype("<i8").tobytes()], [ks.flatten().to_numpy(zero_copy_only=False).astype("<f8").tobytes()]
+    def cut(side, held):
+        t = pa.Table.from_batches(held).combine_chunks()
+        ids, ks = t.column(0).to_numpy(), pa.concat_arrays(t.column(1).chunks).flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        rows = []
+        for own in balls(ks, sizes[side]):
+            x, mid = ks[own], ks[own].mean(0)
+            far = [float(_apart(x, mid[None], m).max()) for m in ("l1", "l2")]
+            rows.append((side, ids[own].astype("<i8").tobytes(), x.astype("<f8").tobytes(), len(own), mid.astype("<f8").tobytes(), *far))
+        return pa.record_batch([pa.array(c, pa.int32()) if k == 0 else pa.array(c) for k, c in enumerate(zip(*rows, strict=True))], names=["side", "ids", "ks", "n", "mid", "far1", "far2"])
 
+    def pack(batches):
+        held: dict[int, list] = {}
         for b in batches:
-            b = b.filter(b.column(2)).select([0, 1])
-            for at in range(0, b.num_rows, BLOCK):
-                part = b.slice(at, BLOCK)
-                if size + part.num_rows > BLOCK:
-                    yield pa.record_batch(list(map(pa.array, block())), names=["ids", "ks"])
-                    held, size = [], 0
-                held.append(part)
-                size += part.num_rows
-        if size:
-            yield pa.record_batch(list(map(pa.array, block())), names=["ids", "ks"])
-
-    known = F.col("frame_id").isNotNull() & F.col("k").isNotNull() & ~F.exists("k", F.isnull) & F.expr(chosen)
-    return keys.select(F.col("frame_id").cast("long"), F.col("k").cast("array<double>"), F.coalesce(known, F.lit(False))).mapInArrow(pack, "ids binary, ks binary").repartition("ids")  # so that a pair of blocks reads them, instead of packing them again
+            for side in range(b.num_columns - 2):
+                own = b.filter(b.column(2 + side)).select([0, 1])
+                if own.num_rows:
+                    held.setdefault(side, []).append(own)
+                if sum(x.num_rows for x in held.get(side, ())) >= CHUNK:
+                    yield cut(side, held.pop(side))
+        for side, own in held.items():
+            yield cut(side, own)
+
+    known = F.col("frame_id").isNotNull() & F.col("k").isNotNull() & ~F.exists("k", F.isnull)
+    sides = [F.coalesce(known & F.expr(c), F.lit(False)).alias(f"side{i}") for i, c in enumerate(chosen or ["true"])]
+    packed = keys.select(F.col("frame_id").cast("long"), F.col("k").cast("array<double>"), *sides).mapInArrow(pack, "side int, ids binary, ks binary, n long, mid binary, far1 double, far2 double")
+    # Dealt out and kept, so that later steps read the balls instead of packing them again; by no other search, whose files may have changed.
+    return kept(packed.select(F.md5(F.concat("ids", "ks")).alias("block"), "*", F.lit(uuid.uuid4().hex).alias("call")).repartition("block"))
 
 
 def save_index(entries: DataFrame, path: str) -> None:
@@ -67,25 +117,98 @@ def knn(queries: DataFrame, entries: DataFrame, k: int = 10, metric: str = "l2",
 
 def knn_within(keys: DataFrame, asked: str, searched: str, k: int = 10, metric: str = "l2") -> DataFrame:
     """knn of the keys for which the condition `asked` holds among those for which `searched` does; the keys are computed once."""
-    return _nearest(_blocks(keys, asked), _blocks(keys, searched), k, metric, False)
+    both = _blocks(keys, asked, searched, sizes=(ASKING, BLOCK))
+    return _nearest(both.filter("side = 0"), both.filter("side = 1"), k, metric, False)
 
 
 def knn_of_index(queries: DataFrame, index: DataFrame, k: int = 10, metric: str = "l2", without_own: bool = False) -> DataFrame:
     """knn, with the entries as load_index reads them."""
-    return _nearest(_blocks(queries), index, k, metric, without_own)
+    return _nearest(_blocks(queries, sizes=(ASKING,)), index, k, metric, without_own)
 
 
 def _nearest(asked: DataFrame, index: DataFrame, k: int, metric: str, without_own: bool) -> DataFrame:
     if metric not in ("l1", "l2"):
         raise ValueError(f"no such metric: {metric}")
+    sides = asked.select("block", F.col("ids").alias("qi"), F.col("ks").alias("qk")), index.select(F.col("block").alias("other"), "ids", "ks")
+    if asked.count() * index.count() <= FEW_PAIRS:  # bounds would cost more than they spare
+        every = sides[0].crossJoin(sides[1]).select("block", "qi", "qk", "ids", "ks")
+        return _ranked_rows(_near_rows(every, k, metric, without_own), k).select("q", "c", "d", "rk")
+    centres = _centres(index, metric)
+    first = kept(_met(sides[0].withColumn("told", F.lit(None).cast(TOLD)), centres, metric, k + without_own))
+    near = kept(_ranked_rows(_compared_balls(first, *sides, k, metric, without_own), k))
+    # What a query knows yet: its k-th distance, if it has as many. A ball asks for few queries, so the list is short.
+    kth = near.groupBy("block", "q").agg(F.count("*").alias("n"), F.max("d").alias("d")).filter(F.col("n") >= k)
+    told = kth.groupBy("block").agg(F.collect_list(F.struct("q", "d")).alias("told"))
+    left = _met(sides[0].join(told, "block", "left"), centres, metric, 0).join(first, ["block", "other"], "left_anti")
+    rest = _compared_balls(left, *sides, k, metric, without_own)
+    return _ranked_rows(near.drop("rk").unionByName(rest), k).select("q", "c", "d", "rk")
+
+
+def _ranked_rows(pairs: DataFrame, k: int) -> DataFrame:
+    return pairs.withColumn("rk", F.row_number().over(Window.partitionBy("q").orderBy("d", "c"))).filter(F.col("rk") <= k)
+
+
+def _centres(index: DataFrame, metric: str) -> DataFrame:
+    """others, ns, mids, fars: names, numbers of rows, centres and radii of up to CENTRES balls."""
+    far = "far1" if metric == "l1" else "far2"
+
+    def packed(held):
+        t = pa.Table.from_batches(held)
+        return pa.record_batch([pa.array([t.column("block").to_pylist()]), pa.array([t.column("n").to_pylist()]), pa.array([b"".join(t.column("mid").to_pylist())]), pa.array([t.column(far).to_pylist()])], names=["others", "ns", "mids", "fars"])
+
+    def gather(batches):
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size >= CENTRES:
+                yield packed(held)
+                held, size = [], 0
+        if size:
+            yield packed(held)
+
+    return index.select("block", "n", "mid", far).mapInArrow(gather, "others array<string>, ns array<long>, mids binary, fars array<double>")
+
 
+def _met(asked: DataFrame, centres: DataFrame, metric: str, rows: int) -> DataFrame:
+    """block, other: balls that some query of a ball (qi, qk, told) meets. With rows, those whose centres are nearest to it until they have so many; else those that hold a key, by their bounds, as near as what the query was told."""
+
+    def run(batches):
+        for b in batches:
+            for block, ids, ks, told, others, n, mids, fars in zip(*(b.column(c).to_pylist() for c in range(8)), strict=True):
+                ids, n, fars = np.frombuffer(ids, "<i8"), np.array(n), np.array(fars)
+                between = _apart(np.frombuffer(ks, "<f8").reshape(len(ids), -1), np.frombuffer(mids, "<f8").reshape(len(n), -1), metric)
+                if rows:
+                    order = np.argsort(between, axis=1, kind="stable")
+                    before = np.cumsum(n[order], axis=1) - n[order]
+                    keep = np.unique(order[before < rows])
+                else:
+                    known = {t["q"]: t["d"] for t in told or ()}
+                    most = np.array([known.get(i, np.inf) for i in ids.tolist()])
+                    lower = np.maximum(between - fars, 0)
+                    # Distances are rounded, and bounds are sums of rounded numbers.
+                    near = (lower if metric == "l1" else lower * lower) * (1 - 1e-9) - 1e-8 <= most[:, None]
+                    keep = np.nonzero(near.any(0))[0]
+                yield pa.record_batch([pa.array([block] * len(keep), pa.string()), pa.array([others[i] for i in keep.tolist()], pa.string())], names=["block", "other"])
+
+    met = asked.select("block", "qi", "qk", F.col("told").cast(TOLD).alias("told")).crossJoin(centres)
+    return met.mapInArrow(run, "block string, other string").distinct()
+
+
+def _compared_balls(met: DataFrame, asked: DataFrame, index: DataFrame, k: int, metric: str, without_own: bool) -> DataFrame:
+    """block, q, c, d: each query's k nearest keys of each ball that its ball meets."""
+    wide = met.select("block", "other").join(asked, "block").join(index, "other").select("block", "qi", "qk", "ids", "ks")
+    return _near_rows(wide, k, metric, without_own)
+
+
+def _near_rows(wide: DataFrame, k: int, metric: str, without_own: bool) -> DataFrame:
     def read(ids, ks):
         ids = np.frombuffer(ids, "<i8")
         return ids, np.frombuffer(ks, "<f8").reshape(len(ids), -1)
 
     def near(batches):
         for b in batches:
-            for qi, qk, ci, ck in zip(*(b.column(c).to_pylist() for c in ("qi", "qk", "ids", "ks")), strict=True):
+            for block, qi, qk, ci, ck in zip(*(b.column(c).to_pylist() for c in ("block", "qi", "qk", "ids", "ks")), strict=True):
                 (own, q), (ids, c) = read(qi, qk), read(ci, ck)
                 d = np.empty((len(q), len(c)))
                 for i in range(len(q)):  # differences, as |a|^2 - 2ab + |b|^2 loses places
@@ -107,11 +230,17 @@ def _nearest(asked: DataFrame, index: DataFrame, k: int, metric: str, without_ow
                 order = np.lexsort((wide, d), axis=1)[:, :k]
                 wide, d = np.take_along_axis(wide, order, 1).ravel(), np.take_along_axis(d, order, 1).ravel()
                 left, found = np.repeat(own, order.shape[1]), d < np.inf
-                yield pa.record_batch([pa.array(left[found]), pa.array(wide[found]), pa.array(d[found])], names=["q", "c", "d"])
+                yield pa.record_batch([pa.array([block] * int(found.sum()), pa.string()), pa.array(left[found]), pa.array(wide[found]), pa.array(d[found])], names=["block", "q", "c", "d"])
+
+    return wide.mapInArrow(near, "block string, q long, c long, d double")
+
 
-    pairs = asked.select(F.col("ids").alias("qi"), F.col("ks").alias("qk")).crossJoin(index).mapInArrow(near, "q long, c long, d double")
-    rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "c"))
-    return pairs.withColumn("rk", rank).filter(F.col("rk") <= k)
+def met_share(queries: DataFrame, entries: DataFrame, k: int = 10, metric: str = "l2") -> float:
+    """Which part of the pairs of balls a search of the k nearest reads; for reports."""
+    asked, index = _blocks(queries, sizes=(ASKING,)), _blocks(entries)
+    d = _ranked_rows(_nearest(asked, index, k, metric, False), k).groupBy("q").agg(F.max("d").alias("d"))
+    own = asked.select("block", F.col("ids").alias("qi"), F.col("ks").alias("qk")).crossJoin(d.agg(F.collect_list(F.struct("q", "d")).alias("told")))
+    return _met(own, _centres(index, metric), metric, 0).count() / max(asked.count() * index.count(), 1)
 
 
 def radius_join(queries: DataFrame, entries: DataFrame, radius2: float, by: tuple[str, ...] = ()) -> DataFrame:

@@ -396,6 +396,17 @@ def localize(spark, sf_dir):
     return found.select("frame_id", F.when(F.col("ok"), F.col("match_place")).alias("match_place"), "ok", *((F.round(f"p{c}", 3) + 0.0).alias(f"p{c}") for c in "xyz"))
 
 
+DEEP = 12
+
+
+@query(f"WITH {SHIFTS.replace('rk <= 10', f'rk <= {2 * DEEP}')}, t AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, c) AS rk FROM aligned) SELECT q, c, {R('dist', 'dist')}, {R('radians(shift*6e0)', 'yaw')}, CAST(rk AS INTEGER) AS rk FROM t WHERE rk <= {DEEP}")
+def search_deep(spark, sf_dir):
+    """More than four answers a query, for which twice as many candidates are aligned."""
+    module = modules.create("scancontext")
+    described = module.describe(fx.points(spark, sf_dir))
+    return rounded(module.search(described.filter("frame_id % 2 = 0"), described.filter("frame_id % 2 = 1"), DEEP))
+
+
 def _revisit(name: str):
     """Every frame, turned left by a right angle, sought among all frames as they were; SQL states the planted answer. Codes of turned images differ in faint responses, so their distances aren't stated."""
     exact = name in ("scancontext", "isc", "mercator")

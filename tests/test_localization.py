@@ -369,3 +369,50 @@ def test_codes_all_to_all(spark):
         assert (np.isnan(dist) and best[0] == float("inf")) or (dist, shift) == best
     assert got[3, 20][0] == 0 and got[20, 3][0] == 0
     assert codes.compare_all(table.limit(0), table, rows, columns, 1).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["l1", "l2"])
+@pytest.mark.parametrize(("own", "few"), [(False, 0), (True, 0), (True, 10_000)])
+def test_knn_by_balls_is_exact(spark, monkeypatch, metric, own, few):
+    monkeypatch.setattr(retrieval, "BLOCK", 8)
+    monkeypatch.setattr(retrieval, "ASKING", 4)
+    monkeypatch.setattr(retrieval, "FEW_PAIRS", few)
+    rng = np.random.default_rng(5)
+    centres = rng.uniform(-50, 50, (12, 3))
+    x = np.concatenate((centres[rng.integers(0, 12, 300)] + np.round(rng.normal(0, 1, (300, 3)), 1), np.zeros((20, 3))))
+    rows = [(i, [float(v) for v in p]) for i, p in enumerate(x)] + [(900, None), (901, [1.0, None, 2.0]), (None, [0.0] * 3)]
+    e = spark.createDataFrame(rows, "frame_id long, k array<double>").repartition(3)
+    q = e.filter("frame_id % 7 = 0")
+    got = {}
+    for r in retrieval.knn(q, e, 5, metric, own).collect():
+        got.setdefault(r["q"], []).append((r["rk"], r["d"], r["c"]))
+    for i in range(0, 320, 7):
+        diff = np.abs(x - x[i])
+        d = np.round(diff.sum(1) if metric == "l1" else (diff * diff).sum(1), 9)
+        near = sorted((float(v), j) for j, v in enumerate(d) if not own or j != i)[:5]
+        assert sorted(got[i]) == [(n + 1, d, j) for n, (d, j) in enumerate(near)]
+    some = e.filter("frame_id < 3")
+    assert retrieval.knn(q, some, 5, metric).count() == 3 * q.count()
+    assert retrieval.knn(q, e.filter("frame_id < 0"), 5, metric).count() == 0
+
+
+def test_balls_of_clustered_keys_are_pruned(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.uniform(-100, 100, (64, 20))
+    clustered = centres[np.arange(64 * 600) % 64] + rng.normal(0, 0.1, (64 * 600, 20))
+    uniform = rng.uniform(-1, 1, (64 * 600, 20))
+    shares = []
+    for x in (clustered, uniform):
+        e = spark.createDataFrame([(i, p) for i, p in enumerate(x.tolist())], "frame_id long, k array<double>").repartition(2)
+        shares.append(retrieval.met_share(e.filter("frame_id % 50 = 0"), e))
+    print("pairs of balls read, clustered and uniform:", shares)
+    assert shares[0] < 0.3
+
+
+def test_balls_keep_every_row():
+    rng = np.random.default_rng(7)
+    for n in (1, 8, 9, 100, 1000):
+        for x in (rng.normal(size=(n, 2)), np.zeros((n, 2))):
+            groups = retrieval.balls(x, 8)
+            assert sorted(np.concatenate(groups).tolist()) == list(range(n)) and max(map(len, groups)) <= 8
+            assert sum(len(g) < 8 for g in groups) <= 1
