@@ -141,9 +141,21 @@ def compare_joined(wide: DataFrame, rows: int, columns: int, around: int = 2, op
     return wide.select("q", "c", "ta", "ma", "tb", "mb").mapInArrow(run, "q long, c long, dist double, shift int")
 
 
-def compare_all(queries: DataFrame, entries: DataFrame, rows: int, columns: int, parts: int, around: int = 2) -> DataFrame:
+def least_unlike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], size: int) -> np.ndarray:
+    """What the distances of codes in a and in b (by row, unmasked set bits and masked ones) are at least, whatever the shift: turns leave the numbers of a row as they are, and masks hide no more bits than they hold."""
+    (own, hid), (other, over) = ((x[:, None].astype(np.int64), y[:, None].astype(np.int64)) for x, y in (a, b))
+    other, over = other.swapaxes(0, 1), over.swapaxes(0, 1)
+    unlike = np.maximum(np.maximum(own - other - over, other - own - hid), 0).sum(2)
+    return unlike / np.maximum(size - np.maximum(hid, over).sum(2), 1)
+
+
+def compare_all(queries: DataFrame, entries: DataFrame, rows: int, columns: int, parts: int, around: int = 2, n: int | None = None, compared=None) -> DataFrame:
     """q, c, dist, shift as compare_codes with shift "spectral", of each query's code with each entry's (frame_id, t, m); null codes have no distance.
 
+    With n, only the n nearest entries of each query are sure to be among them: a query goes through a block's codes in
+    the order of what their distances are at least, and stops when that is over its n-th best so far in the task. The
+    accumulator `compared`, if given, counts the pairs that were compared.
+
     Codes travel in blocks of CODES, over `parts` tasks, and a block's phases are computed once for all codes of the other side's block.
     """
 
@@ -169,18 +181,42 @@ def compare_all(queries: DataFrame, entries: DataFrame, rows: int, columns: int,
     def read(ids, t, m):
         ids = np.frombuffer(ids, "<i8")
         t, m = (np.unpackbits(np.frombuffer(x, np.uint8).reshape(len(ids), -1), axis=1, count=rows * columns).reshape(-1, rows, columns).astype(bool) for x in (t, m))
-        return ids, t, m, phases(t & ~m)
+        return ids, t, m, phases(t & ~m), ((t & ~m).sum(2), m.sum(2))
+
+    def sought(sides, best):
+        (qi, qt, qm, qp, qn), (ci, ct, cm, cp, cn) = sides
+        least, out = least_unlike(qn, cn, rows * columns), []
+        for i in range(len(qi)):
+            found = best.setdefault(i, [])
+            for j in np.argsort(least[i], kind="stable").tolist():
+                if len(found) == n and least[i, j] > found[-1] + 1e-9:  # distances are rounded
+                    break
+                start = int(-spectral_shifts(qp[i : i + 1], cp[j : j + 1], columns)[0, 0] % columns)
+                d, s = hamming((qt[i], qm[i]), (ct[j], cm[j]), [start + k for k in range(-around, around + 1)])
+                out.append((int(qi[i]), int(ci[j]), d, s))
+                if d == d:
+                    found.append(d)
+                    found.sort()
+                    del found[n:]
+        if compared is not None:
+            compared.add(len(out))
+        return pa.record_batch([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int32()))], names=["q", "c", "dist", "shift"])
 
     def run(batches):
-        last = {}
+        last, best = {}, {}
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in range(6)), strict=True):
                 sides = []
                 for side, parts in (("q", row[:3]), ("c", row[3:])):
                     if last.get(side, (None,))[0] != parts:
                         last[side] = parts, read(*parts)
+                        if side == "q":
+                            best = {}
                     sides.append(last[side][1])
-                (qi, qt, qm, qp), (ci, ct, cm, cp) = sides
+                (qi, qt, qm, qp, qn), (ci, ct, cm, cp, cn) = sides
+                if n is not None:
+                    yield sought(sides, best)
+                    continue
                 start = -spectral_shifts(qp, cp, columns) % columns  # c's turn onto q is q's turn onto c backwards
                 got = [hamming((qt[i], qm[i]), (ct[j], cm[j]), [int(start[i, j]) + k for k in range(-around, around + 1)]) for i in range(len(qi)) for j in range(len(ci))]
                 yield pa.record_batch([pa.array(np.repeat(qi, len(ci))), pa.array(np.tile(ci, len(qi))), pa.array([d for d, _ in got], pa.float64()), pa.array([s for _, s in got], pa.int32())], names=["q", "c", "dist", "shift"])

@@ -153,9 +153,9 @@ class Iris(Mdfsc):
         return descriptors.bit_set(points)
 
     def search(self, queries, index, n):
-        """Each query against all of the index; the exhaustive search is the method, in blocks of codes."""
+        """Each query against all of the index, as is the method, in blocks of codes; those whose rows' numbers of bits rule them out aren't aligned."""
         parts = self.set["threads"] if self.set["threads"] > 0 else queries.sparkSession.sparkContext.defaultParallelism
-        scored = codes.compare_all(queries, index, self.bits, 360, parts).filter("not isnan(dist)")
+        scored = codes.compare_all(queries, index, self.bits, 360, parts, n=n).filter("not isnan(dist)")
         return retrieval.top(scored, n).select("q", "c", "dist", self.yaw(), "rk")
 
 

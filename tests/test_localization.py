@@ -416,3 +416,27 @@ def test_balls_keep_every_row():
             groups = retrieval.balls(x, 8)
             assert sorted(np.concatenate(groups).tolist()) == list(range(n)) and max(map(len, groups)) <= 8
             assert sum(len(g) < 8 for g in groups) <= 1
+
+
+@pytest.mark.parametrize("hide", [0.0, 0.2])
+def test_pruned_code_search_finds_the_nearest(spark, hide):
+    rng = np.random.default_rng(8)
+    rows, columns, some = 12, 40, []
+    for i in range(40):
+        t, m = rng.random((rows, columns)) < rng.uniform(0.1, 0.9, (rows, 1)), rng.random((rows, columns)) < hide
+        some.append((i, t, m))
+        if i % 4 == 0:
+            flip = rng.random((rows, columns)) < 0.03
+            some.append((100 + i, np.roll(t ^ flip, int(rng.integers(0, 40)), 1), m))
+    table = spark.createDataFrame([(i, bytearray(np.packbits(t).tobytes()), bytearray(np.packbits(m).tobytes())) for i, t, m in some], "frame_id long, t binary, m binary")
+    asked = table.filter("frame_id >= 100")
+    best = lambda df: sorted((r.q, r.rk, r.c, r.dist, r["shift"]) for r in retrieval.top(df.filter("not isnan(dist)"), 3).collect())
+    count = spark.sparkContext.accumulator(0)
+    found = best(codes.compare_all(asked, table, rows, columns, 2, n=3, compared=count))
+    assert found == best(codes.compare_all(asked, table, rows, columns, 2))
+    assert 0 < count.value < 10 * 50 or hide
+    for i, t, m in some[:10]:
+        for j, u, o in some[:10]:
+            bound = codes.least_unlike(((t & ~m).sum(1)[None], m.sum(1)[None]), ((u & ~o).sum(1)[None], o.sum(1)[None]), rows * columns)[0, 0]
+            d, _ = codes.hamming((t, m), (u, o), range(columns))
+            assert bound <= d + 1e-9 or d != d
