@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terraloc.operators.retrieval import nearest_points
+
 ROUNDS, TOLERANCE = 30, 5e-4
 
 
@@ -246,3 +248,45 @@ def normal_equations(rows: DataFrame, key: str, jacobian: list[str], error: str)
     a = [F.sum(F.col(x) * F.col(y)).alias(f"a_{i}_{j}") for i, x in enumerate(jacobian) for j, y in enumerate(jacobian) if i <= j]
     b = [F.sum(F.col(x) * F.col(error)).alias(f"b_{i}") for i, x in enumerate(jacobian)]
     return rows.groupBy(key).agg(*a, *b, F.avg(F.abs(F.col(error))).alias("loss"))
+
+
+def plane_rows(source: DataFrame, target: DataFrame, middle: np.ndarray, reach: float) -> DataFrame:
+    """j0..j5, e: derivatives of each source point (q, x, y, z) by a turn about the middle and a shift, and its weighted distance from the plane of its five nearest target points (c, x, y, z), all within reach; as plane_terms has it."""
+    near = nearest_points(source, target, 5, reach)
+    at = near.join(target.select("c", F.struct("x", "y", "z").alias("p")), "c").groupBy("q").agg(F.sort_array(F.collect_list(F.struct("rk", "p"))).alias("near"))
+    wide = at.filter(F.size("near") == 5).join(source, "q").select("x", "y", "z", "near")
+
+    def run(batches):
+        for b in batches:
+            p = np.stack([b.column(c).to_numpy() for c in "xyz"], 1)
+            near = b.column("near").flatten().field("p")
+            groups = np.stack([near.field(c).to_numpy() for c in "xyz"], 1).reshape(-1, 5, 3)
+            n, d, ok = plane_terms(p, groups)
+            j = np.hstack([np.cross(p - middle, n), n])[ok]
+            yield pa.record_batch([*map(pa.array, j.T), pa.array(d[ok])], names=[*(f"j{i}" for i in range(6)), "e"])
+
+    return wide.mapInArrow(run, ", ".join(f"j{i} double" for i in range(6)) + ", e double")
+
+
+def register_map(source: DataFrame, target: DataFrame, rounds: int = ROUNDS, reach: float = 1.0) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """R, t, mean residual and rounds that lay the source's surfaces (q, x, y, z) on the target's planes (c, x, y, z), both of any size: correspondences are a join, and only the sums of the normal equations reach the driver. Stops as `register` does."""
+    rot, shift, loss, k = np.eye(3), np.zeros(3), float("nan"), 0
+    for k in range(1, rounds + 1):
+        moved = source.select("q", *((sum(float(rot[i, j]) * F.col(c) for j, c in enumerate("xyz")) + float(shift[i])).alias(n) for i, n in enumerate("xyz")))
+        mean = moved.agg(*(F.avg(c) for c in "xyz")).first()
+        if mean[0] is None:
+            return rot, shift, float("nan"), k
+        middle = np.array(mean)
+        rows = plane_rows(moved, target, middle, reach).withColumn("one", F.lit(1))
+        sums = normal_equations(rows, "one", [f"j{i}" for i in range(6)], "e").first()
+        if sums is None:
+            return rot, shift, float("nan"), k
+        a = np.array([[sums[f"a_{min(i, j)}_{max(i, j)}"] for j in range(6)] for i in range(6)])
+        if np.linalg.matrix_rank(a, tol=1e-9 * max(1.0, float(np.trace(a)))) < 6:
+            return rot, shift, float("nan"), k
+        x = np.linalg.solve(a, -np.array([sums[f"b_{i}"] for i in range(6)]))
+        loss, r = float(sums["loss"]), turn(x[:3])
+        rot, shift = r @ rot, r @ (shift - middle) + middle + x[3:]
+        if np.linalg.norm(x[:3]) < TOLERANCE and np.linalg.norm(x[3:]) < TOLERANCE:
+            break
+    return rot, shift, loss, k

@@ -265,6 +265,41 @@ def radius_join(queries: DataFrame, entries: DataFrame, radius2: float, by: tupl
     return asking.join(dealt, [*key, "_part"]).withColumn("d", d).filter(F.col("d") < radius2).select(*by, "q", "c", "d")
 
 
+def nearest_points(queries: DataFrame, entries: DataFrame, k: int, reach: float, rings: int = 3) -> DataFrame:
+    """queries: q, x, y, z; entries: c, x, y, z. q, c, d, rk: the k nearest entries of each query strictly within `reach`, by squared distance, rounded to 9 places, and then c.
+
+    Entries lie in cubes of a `rings`-th of the reach. A query asks its own cube and the 26 around it; only if it hasn't
+    k entries yet that are nearer than what these cubes surely cover, it asks the next ring of cubes. Each ring is an
+    equi-join on cubes, a crowded cube being cut into parts of BLOCK entries, so neither side has to fit a task. Points
+    with a null id or coordinate have no neighbours.
+    """
+    side = reach / rings * (1 + 1e-9)  # wider by more than the division rounds
+    known = entries.dropna(subset=["c", "x", "y", "z"]).select("c", *(F.col(x).cast("double").alias(f"c{x}") for x in "xyz"), F.struct(*(F.floor(F.col(x) / side).alias(x) for x in "xyz")).alias("cube"))
+    parts = known.groupBy("cube").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    dealt = kept(known.join(parts, "cube").withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")).drop("parts"))
+    parts = kept(parts)
+    asking = queries.dropna(subset=["q", "x", "y", "z"]).select("q", *(F.col(x).cast("double").alias(x) for x in "xyz"))
+    found = None
+    order = Window.partitionBy("q").orderBy("d", "c")
+    for steps in range(1, rings + 1):
+        if found is not None:
+            served = found.groupBy("q").agg(F.count("*").alias("n"), F.max("d").alias("far")).filter((F.col("n") >= k) & (F.col("far") < (side * (steps - 1)) ** 2)).select("q")
+            asking = asking.join(served, "q", "left_anti")
+        asked = asking
+        for x in "xyz":
+            asked = asked.withColumn(f"_{x}", F.explode(F.sequence(F.lit(-steps), F.lit(steps))))
+        if steps > 1:
+            asked = asked.filter(F.greatest(*(F.abs(f"_{x}") for x in "xyz")) == steps)
+        cube = F.struct(*((F.floor(F.col(x) / side) + F.col(f"_{x}")).alias(x) for x in "xyz"))
+        asked = asked.select("q", *"xyz", cube.alias("cube")).join(parts, "cube").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        apart = [F.col(x) - F.col(f"c{x}") for x in "xyz"]
+        d = F.round(apart[0] * apart[0] + apart[1] * apart[1] + apart[2] * apart[2], 9)
+        new = asked.join(dealt, ["cube", "part"]).select("q", "c", d.alias("d")).filter(F.col("d") < reach * reach)
+        both = new if found is None else found.drop("rk").unionByName(new)
+        found = kept(both.withColumn("rk", F.row_number().over(order)).filter(F.col("rk") <= k))
+    return found
+
+
 def coarse_shifts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Of each pair of matrices (pairs, rings, sectors), the columns that b's is turned right by to be nearest to a's by sector keys; first wins."""
     ka, kb, columns = a.mean(1), b.mean(1), np.arange(a.shape[2])

@@ -182,6 +182,21 @@ def radius_search(spark, sf_dir):
     return rounded(found)
 
 
+MAP_REACH = 3.0
+
+
+@query(f"""WITH {fx.CLOUD}, m AS MATERIALIZED (SELECT frame_id, frame_id*100000 + pt AS id, x, y, z, CAST(floor(x/301e-2) AS INTEGER) AS i, CAST(floor(y/301e-2) AS INTEGER) AS j, CAST(floor(z/301e-2) AS INTEGER) AS k FROM cloud),
+n AS MATERIALIZED (SELECT m.* EXCLUDE (i, j, k), i + a.range AS i, j + b.range AS j, k + c.range AS k FROM m, range(-1, 2) a, range(-1, 2) b, range(-1, 2) c WHERE frame_id % 20 = 0),
+p AS (SELECT n.id AS q, m.id AS c, round((n.x - m.x)*(n.x - m.x) + (n.y - m.y)*(n.y - m.y) + (n.z - m.z)*(n.z - m.z), 9) AS d FROM n JOIN m USING (i, j, k) WHERE m.frame_id % 20 <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, c) AS rk FROM p WHERE d < 9)
+SELECT q, c, {R('d', 'd')}, CAST(rk AS INTEGER) AS rk FROM r WHERE rk <= 5""")
+def nearest_map_points(spark, sf_dir):
+    """The five nearest points within 3 m, among those of all other frames together, of each point of every twentieth frame."""
+    c = fx.cloud(spark, sf_dir).withColumn("id", F.col("frame_id") * 100000 + F.col("pt"))
+    asked, searched = (c.filter(where).select(F.col("id").alias(name), "x", "y", "z") for where, name in (("frame_id % 20 = 0", "q"), ("frame_id % 20 <> 0", "c")))
+    return rounded(retrieval.nearest_points(asked, searched, 5, MAP_REACH))
+
+
 @query(f"WITH {SHIFTS} SELECT q, c, s0 FROM coarse")
 def sc_coarse_align(spark, sf_dir):
     described = descriptors.matrices(descriptors.height_max(fx.points(spark, sf_dir)))

@@ -440,3 +440,32 @@ def test_pruned_code_search_finds_the_nearest(spark, hide):
             bound = codes.least_unlike(((t & ~m).sum(1)[None], m.sum(1)[None]), ((u & ~o).sum(1)[None], o.sum(1)[None]), rows * columns)[0, 0]
             d, _ = codes.hamming((t, m), (u, o), range(columns))
             assert bound <= d + 1e-9 or d != d
+
+
+def test_nearest_points_by_hand(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 16)
+    rng = np.random.default_rng(9)
+    x = np.round(np.concatenate((rng.uniform(-4, 4, (150, 3)), rng.normal(0, 0.05, (60, 3)), rng.uniform(20, 40, (20, 3)))), 2)
+    y = np.round(np.concatenate((rng.uniform(-4, 4, (40, 3)), [[0.0, 0, 0], [30, 30, 30], [-2, -2, -2]])), 2)
+    e = spark.createDataFrame([*((i, *map(float, p)) for i, p in enumerate(x)), (999, None, 0.0, 0.0), (None, 0.0, 0.0, 0.0)], "c long, x double, y double, z double")
+    q = spark.createDataFrame([*((i, *map(float, p)) for i, p in enumerate(y)), (999, 0.0, None, 0.0)], "q long, x double, y double, z double")
+    got = sorted((r.q, r.rk, r.c, r.d) for r in retrieval.nearest_points(q, e, 5, 3.0).collect())
+    want = []
+    for i, p in enumerate(y):
+        d = [(round(float(v), 9), j) for j, v in enumerate(((x - p) ** 2).sum(1))]
+        want += [(i, n + 1, j, v) for n, (v, j) in enumerate(sorted(t for t in d if t[0] < 9)[:5])]
+    assert got == want
+    assert retrieval.nearest_points(q.limit(0), e, 5, 3.0).count() == 0 and retrieval.nearest_points(q, e.limit(0), 5, 3.0).count() == 0
+
+
+def test_map_registration_as_in_one_task(spark):
+    room = localization._room(spark, SF).filter("frame_id = 1").toPandas()[["x", "y", "z"]].values
+    motion = (registration.turn(np.array([0.02, -0.01, 0.05])), np.array([0.1, -0.08, 0.05]))
+    seen = (room - motion[1]) @ motion[0]
+    table = lambda name, x: spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], f"{name} long, x double, y double, z double")
+    rot, shift, loss, rounds = registration.register_map(table("q", seen), table("c", room), rounds=4)
+    none = np.zeros((0, 3))
+    r, t, l, _ = registration.register({"corner": none, "surface": seen}, {"corner": none, "surface": room}, (np.eye(3), np.zeros(3)), 4)
+    assert np.allclose(rot, r, atol=1e-6) and np.allclose(shift, t, atol=1e-6) and np.isclose(loss, l, atol=1e-6)
+    assert np.abs(shift - motion[1]).max() < 0.01 and rounds <= 4
+    assert np.isnan(registration.register_map(table("q", none), table("c", room))[2])
