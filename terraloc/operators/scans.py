@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraloc.functions.geometry import azimuth, planar_range
+from terraloc.operators.retrieval import kept
+
 
 def by_frame():
     return Window.partitionBy("frame_id").orderBy("pt")
@@ -113,3 +115,14 @@ def ordinal(frames: DataFrame, key: str, bucket: int = 65_536) -> DataFrame:
     starts = cut.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
     own = F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1
     return cut.withColumn("_o", own).join(starts, "_b").withColumn("ord", F.col("_s") + F.col("_o")).drop("_b", "_n", "_s", "_o")
+
+
+def placed(rows: DataFrame, *order) -> DataFrame:
+    """ord: each row's place, from 0, by any columns. Rows are sorted by ranges, and a range's first place is the sum of the sizes of those before it, so no task sees all rows; ties are numbered in any order."""
+    part, at = "_part", "_at"
+    spread = kept(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id()))
+    sizes = spread.groupBy(part).agg(F.min(at).alias("_first"), F.count("*").alias("_n"))
+    # A row for each range.
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(part, (before - F.col("_first")).alias("_start"))
+    return spread.join(F.broadcast(starts), part).withColumn("ord", F.col(at) + F.col("_start")).drop(part, at, "_start")

@@ -40,9 +40,9 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def _written(spark: SparkSession, tag: str, lines: DataFrame) -> str:
-    """The folder of one text file of the column value in the order of ord; a line a frame."""
+    """The folder of text files, by ranges of ord, of the column value in its order; a line a frame."""
     path = scratch(spark, tag)
-    lines.coalesce(1).sortWithinPartitions("ord").select("value").write.text(path)
+    lines.repartitionByRange("ord").sortWithinPartitions("ord").select("value").write.text(path)
     return path
 
 
@@ -55,7 +55,7 @@ def _poses(spark, sf_dir) -> DataFrame:
 
 
 def _order(columns: str) -> str:
-    return f"{fx.POSES}, o AS (SELECT *, CAST(row_number() OVER (ORDER BY frame_id) - 1 AS INTEGER) AS ord FROM poses) SELECT {columns} FROM o"
+    return f"{fx.POSES}, o AS (SELECT *, row_number() OVER (ORDER BY frame_id) - 1 AS ord FROM poses) SELECT {columns} FROM o"
 
 
 ORDERED = f"{fx.CLOUD}, s AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY pt % 32, CASE WHEN atan2(y, x) < 0 THEN atan2(y, x) + 2*pi() ELSE atan2(y, x) END, pt) - 1 AS i FROM cloud)"
@@ -65,7 +65,7 @@ FLOATS = ", ".join(R(f"CAST(CAST({c} AS FLOAT) AS DOUBLE)", c) for c in ("x", "y
 @query(f"""WITH {ORDERED}, n AS (SELECT *, CASE WHEN y > 0 AND lag(y) OVER w < 0 THEN 1 ELSE 0 END AS new, count(*) OVER (PARTITION BY frame_id) AS n FROM s WINDOW w AS (PARTITION BY frame_id ORDER BY i))
 SELECT CAST(frame_id AS VARCHAR) || '.bin' AS path, i AS pt, {FLOATS}, CAST(sum(new) OVER (PARTITION BY frame_id ORDER BY i) AS INTEGER) AS ring, {R('99e-2/n*i + 1e-9', 'time')} FROM n""")
 def kitti_scan(spark, sf_dir):
-    """Each frame in 32 turns as a scan of four floats a point."""
+    """Each frame in 32 turns as a scan file of four floats a point."""
 
     def pack(batches):
         for b in batches:
@@ -75,23 +75,50 @@ def kitti_scan(spark, sf_dir):
     az = F.atan2("y", "x")
     turn = F.struct((F.col("pt") % 32).alias("turn"), F.when(az < 0, az + 2 * np.pi).otherwise(az).alias("az"), "pt", "x", "y", "z", "intensity")
     frames = fx.cloud(spark, sf_dir).groupBy("frame_id").agg(F.sort_array(F.collect_list(turn)).alias("p"))
-    scans = frames.select(F.concat(F.col("frame_id").cast("string"), F.lit(".bin")).alias("path"), "p").mapInArrow(pack, "path string, content binary")
+    packed = frames.select(F.concat(F.col("frame_id").cast("string"), F.lit(".bin")).alias("path"), "p").mapInArrow(pack, "path string, content binary")
+    scans = _as_files(spark, "kitti", packed)
     off_ties = F.col("time") + 1e-9  # as engines round halves differently
     return _as_doubles(files.scan_points(scans, ".bin").withColumn("time", off_ties))
 
 
+def _as_files(spark: SparkSession, tag: str, scans: DataFrame) -> DataFrame:
+    """path, content of files of that content, written by tasks and read again; their paths are names."""
+    path = scratch(spark, tag)
+    files.write_files(scans.withColumnRenamed("path", "name"), path)
+    found = spark.read.format("binaryFile").load(path)
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("path"), "content")
+
+
 def _as_doubles(points: DataFrame) -> DataFrame:
     return rounded(points.select("path", "pt", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "z", "intensity")), "ring", "time"))
 
 
 @query(f"WITH {fx.CLOUD} SELECT CAST(frame_id AS VARCHAR) || '.pcd' AS path, pt - 1 AS pt, {FLOATS}, CAST(pt % 32 AS INTEGER) AS ring, {R('pt/1e1', 'time')} FROM cloud")
 def pcd_scan(spark, sf_dir):
-    """Each frame as an ascii point file with rings and times."""
-    head = "# .PCD\nFIELDS x y z intensity ring time\nSIZE 4 4 4 4 2 8\nTYPE F F F F U F\nCOUNT 1 1 1 1 1 1\nPOINTS "
-    line = F.concat_ws(" ", *_texts("x", "y", "z", "intensity"), (F.col("pt") % 32).cast("string"), (F.col("pt") / 10.0).cast("string"))
-    frames = fx.cloud(spark, sf_dir).groupBy("frame_id").agg(F.sort_array(F.collect_list(F.struct("pt", line.alias("line")))).alias("p"))
-    text = F.concat(F.lit(head), F.size("p").cast("string"), F.lit("\nDATA ascii\n"), F.array_join(F.col("p.line"), "\n"), F.lit("\n"))
-    return _as_doubles(files.scan_points(frames.select(F.concat(F.col("frame_id").cast("string"), F.lit(".pcd")).alias("path"), text.cast("binary").alias("content")), ".pcd"))
+    """Each frame as a point file with rings and times; by turns ascii, binary and compressed."""
+    point = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("intensity", "<f4"), ("ring", "<u2"), ("time", "<f8")])
+    head = "# .PCD\nFIELDS x y z intensity ring time\nSIZE 4 4 4 4 2 8\nTYPE F F F F U F\nCOUNT 1 1 1 1 1 1\nPOINTS {}\nDATA {}\n"
+
+    def encoded(frame_id, p):
+        kind = ("ascii", "binary", "binary_compressed")[frame_id % 3]
+        if kind == "ascii":
+            body = "".join(" ".join(str(v) for v in row) + "\n" for row in p).encode()
+        elif kind == "binary":
+            body = p.tobytes()
+        else:  # field by field; runs of up to 32 literals are a valid compression
+            plain = b"".join(p[c].tobytes() for c in point.names)
+            packed = b"".join(bytes([len(plain[i : i + 32]) - 1]) + plain[i : i + 32] for i in range(0, len(plain), 32))
+            body = np.array([len(packed), len(plain)], "<u4").tobytes() + packed
+        return head.format(len(p), kind).encode() + body
+
+    def pack(batches):
+        for b in batches:
+            content = [encoded(i, np.array([tuple(q[c] for c in point.names) for q in frame], point)) for i, frame in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.record_batch([pa.array([f"{i}.pcd" for i in b.column(0).to_pylist()]), pa.array(content, pa.binary())], names=["path", "content"])
+
+    own = F.struct("pt", "x", "y", "z", "intensity", (F.col("pt") % 32).alias("ring"), (F.col("pt") / 10.0).alias("time"))
+    frames = fx.cloud(spark, sf_dir).groupBy("frame_id").agg(F.sort_array(F.collect_list(own)).alias("p"))
+    return _as_doubles(files.scan_points(_as_files(spark, "pcd", frames.mapInArrow(pack, "path string, content binary")), ".pcd"))
 
 
 @query("WITH " + _order(f"ord, {R('frame_id/1e1 + 17e-9', 't')}"))
@@ -122,7 +149,7 @@ def trace_lines(spark, sf_dir):
 ECEF_OF = "(6378137e0/sqrt(1 - E2*sin(la)*sin(la)) + alt)*cos(la)*cos(lo) AS ex, (6378137e0/sqrt(1 - E2*sin(la)*sin(la)) + alt)*cos(la)*sin(lo) AS ey, (6378137e0/sqrt(1 - E2*sin(la)*sin(la))*(1 - E2) + alt)*sin(la) AS ez".replace("E2", "(1 - (63567523142e-4*63567523142e-4)/(6378137e0*6378137e0))")
 
 
-@query(f"""WITH {fx.POSES}, ll AS (SELECT CAST(row_number() OVER (ORDER BY frame_id) - 1 AS INTEGER) AS ord, radians({fx.GPS['lat']}) AS la, radians({fx.GPS['lon']}) AS lo, {fx.GPS['alt']} AS alt, roll, pitch, yaw FROM poses),
+@query(f"""WITH {fx.POSES}, ll AS (SELECT row_number() OVER (ORDER BY frame_id) - 1 AS ord, radians({fx.GPS['lat']}) AS la, radians({fx.GPS['lon']}) AS lo, {fx.GPS['alt']} AS alt, roll, pitch, yaw FROM poses),
 p AS (SELECT *, {ECEF_OF} FROM ll), q AS (SELECT p.*, o.ex - p.ex AS dx, o.ey - p.ey AS dy, o.ez - p.ez AS dz FROM p, (SELECT ex, ey, ez FROM p WHERE ord = 0) o)
 SELECT ord, round(-sin(lo)*dx + cos(lo)*dy, 4) + 0e0 AS x, round(-sin(la)*cos(lo)*dx - sin(la)*sin(lo)*dy + cos(la)*dz, 4) + 0e0 AS y, round(cos(la)*cos(lo)*dx + cos(la)*sin(lo)*dy + sin(la)*dz, 4) + 0e0 AS z, {', '.join(R(c, c) for c in POSE[3:])}, {', '.join(R(m, f'm{i // 3}{i % 3}') for i, m in enumerate(ROT))} FROM q""")
 def gps_lines(spark, sf_dir):
@@ -143,12 +170,7 @@ def heldout_names(spark, sf_dir):
 def _numbered(spark, sf_dir) -> str:
     """A folder of a file for each frame, named by its number."""
     path = scratch(spark, "numbered")
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for r in fx.frames(spark, sf_dir).collect():  # a row a file
-        out = system.create(where.suffix(f"/{r.frame_id}.bin"))
-        out.write(0)
-        out.close()
+    files.write_files(fx.frames(spark, sf_dir).select(F.concat(F.col("frame_id").cast("string"), F.lit(".bin")).alias("name"), F.lit(b"0").alias("content")), path)
     return path
 
 

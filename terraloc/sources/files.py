@@ -6,15 +6,19 @@ Spark's readers. Any Hadoop path will do. Bad files raise, but for the lines tha
 
 from __future__ import annotations
 
+import posixpath
 import struct
+import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terraloc.functions.geometry import quaternion, rotation, to_ecef, to_tangent
 from terraloc.operators.features import kitti_rings
+from terraloc.operators.scans import placed
 
 POINT = "path string, pt long, x float, y float, z float, intensity float, ring int, time double"
 #: Fixed values of the descriptor file format: header and record layouts, little-endian, without padding.
@@ -33,8 +37,7 @@ def _ordered(names: DataFrame) -> DataFrame:
     base = F.element_at(F.split("path", "/"), -1)
     number = F.coalesce(F.regexp_extract(base, r"^\s*([+-]?\d+)", 1).try_cast("long"), F.lit(0))
     found = names.withColumn("number", number)
-    # One row a file; the list is as short as a folder's.
-    return found.withColumn("ord", F.row_number().over(Window.orderBy("number", base, "path")) - 1)
+    return placed(found.withColumn("_base", base), "number", "_base", "path").drop("_base")
 
 
 def parse_bin(data: bytes) -> dict[str, np.ndarray]:
@@ -146,9 +149,16 @@ def scan_points(files: DataFrame, extension: str, block: int = 65_536) -> DataFr
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """value, ord: a text's lines in order. A file is read whole as one row, for its order; these are short."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("ord", "value"))
-    return text.filter("value <> ''")
+    """file, ord, value: the lines that aren't empty of a file, or of a folder's files one after the other by name; ord counts the empty ones too. A task reads a split of a file, and a split's first place is the sum of the sizes of those before it."""
+    split = ["file", "_start"]
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), "value", F.monotonically_increasing_id().alias("_i"))
+    # A row for each split of a file.
+    sizes = text.groupBy(*split).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(*split, before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*split).orderBy("_i")) - 1
+    numbered = text.withColumn("_own", own).join(starts, split).withColumn("ord", F.col("_before") + F.col("_own"))
+    return numbered.select("file", "ord", "value").filter("value <> ''")
 
 
 def _numbers(line: str = "value", sep: str = r"\s+"):
@@ -197,8 +207,7 @@ def read_gps(spark: SparkSession, folder: str) -> DataFrame:
     angles = [F.get("v", i) for i in range(3, 6)]
     m = rotation(*angles)
     out = both.select("at", *(p.alias(n) for p, n in zip([*place, *angles], ("x", "y", "z", "roll", "pitch", "yaw"), strict=True)), *(m[i][j].alias(f"m{i}{j}") for i in range(3) for j in range(3)))
-    # Poses of one drive: a row per scan.
-    return out.withColumn("ord", F.row_number().over(Window.orderBy("at")) - 1).drop("at")
+    return placed(out, "at").drop("at")
 
 
 def read_heldout(spark: SparkSession, path: str) -> DataFrame:
@@ -211,9 +220,8 @@ def frames(files: DataFrame, clock: DataFrame, trace: DataFrame) -> DataFrame:
     n = [d.agg(F.count("*").alias(c)) for d, c in ((files, "nf"), (clock, "nc"), (trace, "nt"))]
     counts = n[0].crossJoin(n[1]).crossJoin(n[2])  # one row each
     same = F.assert_true((F.col("nf") == F.col("nc")) & (F.col("nc") == F.col("nt")), F.concat_ws(" ", F.lit("files, times and poses:"), "nf", "nc", "nt"))
-    order = Window.orderBy("ord")
-    placed = [d.withColumn("ord", F.row_number().over(order) - 1) for d in (files, clock, trace.drop("t"))]
-    joined = placed[0].join(placed[1], "ord", "full").join(placed[2], "ord", "full")
+    sides = [placed(d.withColumnRenamed("ord", "_was"), "_was").drop("_was") for d in (files, clock, trace.drop("t"))]
+    joined = sides[0].join(sides[1], "ord", "full").join(sides[2], "ord", "full")
     return joined.crossJoin(F.broadcast(counts.select(same.alias("same")))).filter("same is null").drop("same")
 
 
@@ -283,3 +291,20 @@ def write_descriptors_text(cells: DataFrame, path: str) -> None:
     lines = cells.groupBy("frame_id", "ring").agg(F.sort_array(F.collect_list(F.struct("sector", "v"))).alias("r"))
     text = lines.select("frame_id", "ring", F.array_join(F.transform("r", lambda c: c["v"].cast("string")), " ").alias("value"))
     text.repartition("frame_id").sortWithinPartitions("frame_id", "ring").select("frame_id", "value").write.partitionBy("frame_id").mode("overwrite").text(path)
+
+
+def write_files(rows: DataFrame, folder: str) -> None:
+    """rows: name, content (bytes). A file for each row, written by the tasks to a folder named by a URI; a name is given once its file is whole, so a task that is tried again leaves no part of one."""
+
+    def run(batches):
+        system, where = fs.FileSystem.from_uri(folder)
+        system.create_dir(where, recursive=True)
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                hidden = posixpath.join(where, f"_{uuid.uuid4().hex}.tmp")
+                with system.open_output_stream(hidden) as out:
+                    out.write(content)
+                system.move(hidden, posixpath.join(where, name))
+            yield pa.record_batch([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    rows.select("name", F.col("content").cast("binary")).mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()

@@ -6,7 +6,7 @@ import struct
 import numpy as np
 import pytest
 
-from terraloc.operators import modules
+from terraloc.operators import modules, scans
 from terraloc.plans import fixtures as fx
 from terraloc.sources import files
 from terraloc.sources.descriptors import DescriptorSink
@@ -167,3 +167,30 @@ def test_module_finds_the_turned_frame(spark, name):
     got = module.search(module.describe(turned), module.describe(points), 1).toPandas()
     assert len(got) == 6 and (got["q"] == got["c"]).all()
     assert np.allclose(got["yaw"], np.pi / 2, atol=np.radians(3.1))
+
+
+def test_lines_of_split_files_keep_their_places(spark, tmp_path):
+    lines = [f"{i} {i * 10}" if i % 7 else "" for i in range(3000)]
+    for k, part in enumerate((lines[:1800], lines[1800:])):
+        (tmp_path / f"part-{k}.txt").write_text("\n".join(part) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = [(r["ord"], r["value"]) for r in files._lines(spark, str(tmp_path)).orderBy("ord").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [(i, v) for i, v in enumerate(lines) if v]
+
+
+def test_rows_are_placed_across_ranges(spark):
+    df = spark.createDataFrame([(i * 7919 % 1000, i % 3) for i in range(1000)], "a int, b int").repartition(7)
+    got = scans.placed(df, "b", "a").orderBy("ord").collect()
+    assert [r["ord"] for r in got] == list(range(1000))
+    assert [(r["b"], r["a"]) for r in got] == sorted((r["b"], r["a"]) for r in got)
+    assert scans.placed(df.limit(0), "a").count() == 0
+
+
+def test_files_are_written_by_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([(f"{i}.bin", bytes([i]) * i) for i in range(20)], "name string, content binary").repartition(4)
+    files.write_files(rows, f"file://{tmp_path}/out")
+    assert {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir()} == {f"{i}.bin": bytes([i]) * i for i in range(20)}
