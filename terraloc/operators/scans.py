@@ -64,28 +64,29 @@ def last_written(cloud: DataFrame, columns: int = 360) -> DataFrame:
 
 
 POSE = ("value",)
-BUCKET = 86_400_000_000
 
 
-def interpolate(trace: DataFrame, times: DataFrame, columns: tuple[str, ...] = POSE, clamp: bool = False, bucket: int = BUCKET) -> DataFrame:
+def interpolate(trace: DataFrame, times: DataFrame, columns: tuple[str, ...] = POSE, clamp: bool = False, ranges: int | None = None) -> DataFrame:
     """trace: t and columns, times: id and t (integers). Linear interpolation between the poses around each time.
 
-    Poses and times are cut into buckets of time; each bucket also gets the last pose before it and the first after it,
-    so that no window spans the whole trace. A time on a pose has its values. Times outside are dropped, or with
-    clamp get the first or last pose.
+    Poses and times are cut into ranges of time at quantiles that Spark samples (as many ranges as it shuffles to, if
+    None), so that a range holds about as many rows wherever they crowd; each range also gets the last pose before it
+    and the first after it. No window spans the whole trace. A time on a pose has its values. Times outside are dropped,
+    or with clamp get the first or last pose; null times are dropped.
     """
-    keyed = trace.groupBy("t").agg(*(F.max(c).alias(c) for c in columns)).withColumn("b", F.floor(F.col("t") / bucket))
+    keyed = trace.groupBy("t").agg(*(F.max(c).alias(c) for c in columns)).filter("t is not null")
     pose = F.struct("t", *columns)
-    # A row for each bucket that has poses or times: time over bucket, whatever the rows.
-    edges = keyed.groupBy("b").agg(F.min_by(pose, "t").alias("first"), F.max_by(pose, "t").alias("last"))
-    wanted = times.withColumn("b", F.floor(F.col("t") / bucket))
-    every = edges.join(wanted.select("b").distinct(), "b", "full_outer")
+    wanted = times.filter("t is not null").select("id", "t", F.lit(True).alias("asked"), F.lit(None).cast(keyed.select(pose.alias("p")).schema["p"].dataType).alias("p"))
+    both = wanted.unionByName(keyed.select(F.lit(None).cast(times.schema["id"].dataType).alias("id"), "t", F.lit(False).alias("asked"), pose.alias("p")))
+    # Equal times are in one range.
+    cut = kept((both.repartitionByRange(ranges, "t") if ranges else both.repartitionByRange("t")).withColumn("b", F.spark_partition_id()))
+    # A row for each range.
+    edges = cut.groupBy("b").agg(F.min_by("p", F.when(~F.col("asked"), F.col("t"))).alias("first"), F.max_by("p", F.when(~F.col("asked"), F.col("t"))).alias("last"))
     order = Window.orderBy("b")
-    sides = every.select("b", F.last("last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("first", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
-    inner = wanted.select("id", "t", "b", F.lit(None).cast(keyed.select(pose.alias("p")).schema["p"].dataType).alias("p")).unionByName(keyed.select(F.lit(None).cast("long").alias("id"), "t", "b", pose.alias("p")))
+    sides = edges.select("b", F.last("last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("first", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
     near = Window.partitionBy("b").orderBy("t")
-    found = inner.select("id", "t", "b", F.last("p", True).over(near.rangeBetween(Window.unboundedPreceding, 0)).alias("p0"), F.first("p", True).over(near.rangeBetween(0, Window.unboundedFollowing)).alias("p1")).filter("id is not null")
-    found = found.join(sides, "b", "left").select("id", "t", F.coalesce("p0", "before").alias("p0"), F.coalesce("p1", "after").alias("p1"))
+    found = cut.select("id", "t", "b", "asked", F.last("p", True).over(near.rangeBetween(Window.unboundedPreceding, 0)).alias("p0"), F.first("p", True).over(near.rangeBetween(0, Window.unboundedFollowing)).alias("p1")).filter("asked")
+    found = found.join(F.broadcast(sides), "b", "left").select("id", "t", F.coalesce("p0", "before").alias("p0"), F.coalesce("p1", "after").alias("p1"))
     if clamp:
         found = found.select("id", "t", F.coalesce("p0", "p1").alias("p0"), F.coalesce("p1", "p0").alias("p1"))
     gap = F.nullif(F.col("p1.t") - F.col("p0.t"), F.lit(0))

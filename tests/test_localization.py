@@ -469,3 +469,18 @@ def test_map_registration_as_in_one_task(spark):
     assert np.allclose(rot, r, atol=1e-6) and np.allclose(shift, t, atol=1e-6) and np.isclose(loss, l, atol=1e-6)
     assert np.abs(shift - motion[1]).max() < 0.01 and rounds <= 4
     assert np.isnan(registration.register_map(table("q", none), table("c", room))[2])
+
+
+def test_interpolation_of_a_crowded_day(spark):
+    rng = np.random.default_rng(10)
+    t = np.unique(np.concatenate((rng.integers(0, 10**6, 400), rng.integers(10**9, 10**9 + 500, 300))))
+    v = rng.normal(size=len(t))
+    asked = np.concatenate((t[::9], rng.integers(-10, 10**9 + 600, 500)))
+    trace = spark.createDataFrame([*((int(a), float(b)) for a, b in zip(t, v, strict=True)), (None, 1.0)], "t long, value double")
+    times = spark.createDataFrame([*((i, int(a)) for i, a in enumerate(asked)), (9999, None)], "id long, t long")
+    for ranges in (None, 1, 9):
+        got = {r["id"]: r["value"] for r in scans.interpolate(trace, times, clamp=True, ranges=ranges).collect()}
+        assert sorted(got) == list(range(len(asked))) and np.allclose([got[i] for i in range(len(asked))], np.interp(asked, t, v))
+        inside = {r["id"] for r in scans.interpolate(trace, times, ranges=ranges).collect()}
+        assert inside == {i for i, a in enumerate(asked) if t[0] <= a <= t[-1]}
+    assert scans.interpolate(trace.limit(0), times, clamp=True).count() == 0
