@@ -17,6 +17,7 @@ from terraloc.plans import fixtures as fx
 from terraloc.plans.queries import ROT, SC, R, _embedding_sql, query, rounded
 from terraloc.sources import descriptors as sink
 from terraloc.sources import files
+from terraloc.streaming.dynamic import DynamicIndex, rows_of
 
 POSE = ("x", "y", "z", "roll", "pitch", "yaw")
 
@@ -233,6 +234,23 @@ def saved_index(spark, sf_dir):
     return rounded(retrieval.knn_of_index(e.filter("frame_id % 50 = 0"), retrieval.load_index(spark, path), without_own=True))
 
 
+CHANGED = _embedding_sql("(a.k[i] - b.k[i])*(a.k[i] - b.k[i])").replace("FROM embeddings", "FROM (SELECT vec_id, CASE WHEN vec_id % 11 = 4 THEN list_transform(embedding, lambda v: -v) ELSE embedding END AS embedding FROM embeddings WHERE vec_id % 5 <> 1 OR vec_id % 11 = 4)")
+
+
+@query(CHANGED)
+def dynamic_index(spark, sf_dir):
+    """knn_embeddings after four batches of inserts, one of deletes and one that puts some entries back with turned signs."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("frame_id"), F.col("embedding").cast("array<double>").alias("k"))
+    index = DynamicIndex(spark, scratch(spark, "dynamic"), base=64)
+    change = lambda op, df: df.select(F.lit(op).alias("op"), "frame_id", "k")
+    for part in range(4):
+        index.apply(change("insert", e.filter(F.col("frame_id") % 4 == part)))
+    index.apply(change("delete", e.filter("frame_id % 5 = 1")))
+    index.apply(change("insert", e.filter("frame_id % 11 = 4").withColumn("k", F.transform("k", lambda v: -v))))
+    asked = rows_of(index.entries()).filter("frame_id % 50 = 0")
+    return rounded(index.search(asked, without_own=True))
+
+
 @query(f"WITH {SC}, f AS (SELECT DISTINCT frame_id FROM sc), k AS (SELECT frame_id, ring, sum(v)/60 AS k FROM sc GROUP BY ALL) SELECT f.frame_id, CAST(i.range AS INTEGER) AS ring, {R('coalesce(k, 0)', 'k')} FROM f, range(20) i LEFT JOIN k ON k.frame_id = f.frame_id AND k.ring = i.range")
 def saved_module(spark, sf_dir):
     """A module's keys after its descriptors were saved and loaded."""

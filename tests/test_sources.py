@@ -6,11 +6,12 @@ import struct
 import numpy as np
 import pytest
 
-from terraloc.operators import modules, scans
+from terraloc.operators import modules, retrieval, scans
 from terraloc.plans import fixtures as fx
 from terraloc.sources import files
 from terraloc.sources.descriptors import DescriptorSink
 from terraloc.streaming import index
+from terraloc.streaming.dynamic import DynamicIndex, rows_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -194,3 +195,37 @@ def test_files_are_written_by_tasks(spark, tmp_path):
     rows = spark.createDataFrame([(f"{i}.bin", bytes([i]) * i) for i in range(20)], "name string, content binary").repartition(4)
     files.write_files(rows, f"file://{tmp_path}/out")
     assert {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir()} == {f"{i}.bin": bytes([i]) * i for i in range(20)}
+
+
+def test_dynamic_index_holds_what_changes_leave(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 8)
+    r, held = np.random.default_rng(11), {}
+    index_of = DynamicIndex(spark, f"file://{tmp_path}/index", base=8)
+    schema = "op string, frame_id long, k array<double>"
+    assert index_of.entries().count() == 0
+    for n in range(7):
+        gone = [int(i) for i in r.integers(0, 60, 6)]
+        new = {int(i): [float(v) for v in np.round(r.normal(size=2), 3)] for i in r.integers(0, 60, 0 if n == 5 else 14)}
+        rows = [*(("delete", i, None) for i in gone), *(("insert", i, k) for i, k in new.items()), ("insert", None, [0.0, 0.0]), ("insert", 99, None), ("insert", 98, [1.0, None])]
+        for _ in range(2):  # the second time it was applied already
+            index_of.apply(spark.createDataFrame(rows, schema), n)
+        for i in gone:
+            held.pop(i, None)
+        held |= new
+        assert {x["frame_id"]: x["k"] for x in rows_of(index_of.entries()).collect()} == held
+    levels = [s["level"] for s in index_of.manifest()["segments"]]
+    assert len(levels) == len(set(levels))
+    asked = spark.createDataFrame([(i, held[i]) for i in sorted(held)[:9]], "frame_id long, k array<double>")
+    got = sorted((x["q"], x["rk"], x["c"]) for x in index_of.search(asked, 3).collect())
+    near = lambda i: sorted((round(sum((a - b) ** 2 for a, b in zip(held[i], held[j], strict=True)), 9), j) for j in held)[:3]
+    assert got == [(i, n + 1, j) for i in sorted(held)[:9] for n, (_, j) in enumerate(near(i))]
+
+
+def test_dynamic_index_follows_a_stream(spark, tmp_path):
+    schema = "op string, frame_id long, k array<double>"
+    index_of = DynamicIndex(spark, f"file://{tmp_path}/index", base=2)
+    for n, rows in enumerate(([("insert", i, [float(i), 0.0]) for i in range(6)], [("delete", 2, None), ("insert", 9, [9.0, 0.0])])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.json(f"{tmp_path}/in/{n}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").json(f"{tmp_path}/in")
+        index_of.follow(stream, f"{tmp_path}/check").awaitTermination()
+    assert sorted(x["frame_id"] for x in rows_of(index_of.entries()).collect()) == [0, 1, 3, 4, 5, 9]
