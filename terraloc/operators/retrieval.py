@@ -110,9 +110,13 @@ def load_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def knn(queries: DataFrame, entries: DataFrame, k: int = 10, metric: str = "l2", without_own: bool = False) -> DataFrame:
-    """queries, entries: frame_id, k (arrays of one length). q, c, d, rk: the k nearest entries of each query; without_own leaves out those of the query's id. The metric is l1 or l2 (squared)."""
-    return knn_of_index(queries, _blocks(entries), k, metric, without_own)
+def knn(queries: DataFrame, entries: DataFrame, k: int = 10, metric: str = "l2", without_own: bool = False, eps: float = 0.0) -> DataFrame:
+    """queries, entries: frame_id, k (arrays of one length). q, c, d, rk: the k nearest entries of each query; without_own leaves out those of the query's id. The metric is l1 or l2 (squared).
+
+    With eps the search stops sooner: a query leaves out balls that can't hold a key nearer than its k-th so far by a
+    factor of 1 + eps, so each of its distances is within that factor of the exact one of its rank.
+    """
+    return knn_of_index(queries, _blocks(entries), k, metric, without_own, eps)
 
 
 def knn_within(keys: DataFrame, asked: str, searched: str, k: int = 10, metric: str = "l2") -> DataFrame:
@@ -121,16 +125,16 @@ def knn_within(keys: DataFrame, asked: str, searched: str, k: int = 10, metric:
     return _nearest(both.filter("side = 0"), both.filter("side = 1"), k, metric, False)
 
 
-def knn_of_index(queries: DataFrame, index: DataFrame, k: int = 10, metric: str = "l2", without_own: bool = False) -> DataFrame:
+def knn_of_index(queries: DataFrame, index: DataFrame, k: int = 10, metric: str = "l2", without_own: bool = False, eps: float = 0.0) -> DataFrame:
     """knn, with the entries as load_index reads them."""
-    return _nearest(_blocks(queries, sizes=(ASKING,)), index, k, metric, without_own)
+    return _nearest(_blocks(queries, sizes=(ASKING,)), index, k, metric, without_own, eps)
 
 
-def _nearest(asked: DataFrame, index: DataFrame, k: int, metric: str, without_own: bool) -> DataFrame:
+def _nearest(asked: DataFrame, index: DataFrame, k: int, metric: str, without_own: bool, eps: float = 0.0) -> DataFrame:
     if metric not in ("l1", "l2"):
         raise ValueError(f"no such metric: {metric}")
     sides = asked.select("block", F.col("ids").alias("qi"), F.col("ks").alias("qk")), index.select(F.col("block").alias("other"), "ids", "ks")
-    if asked.count() * index.count() <= FEW_PAIRS:  # bounds would cost more than they spare
+    if not eps and asked.count() * index.count() <= FEW_PAIRS:  # bounds would cost more than they spare
         every = sides[0].crossJoin(sides[1]).select("block", "qi", "qk", "ids", "ks")
         return _ranked_rows(_near_rows(every, k, metric, without_own), k).select("q", "c", "d", "rk")
     centres = _centres(index, metric)
@@ -139,7 +143,7 @@ def _nearest(asked: DataFrame, index: DataFrame, k: int, metric: str, without_ow
     # What a query knows yet: its k-th distance, if it has as many. A ball asks for few queries, so the list is short.
     kth = near.groupBy("block", "q").agg(F.count("*").alias("n"), F.max("d").alias("d")).filter(F.col("n") >= k)
     told = kth.groupBy("block").agg(F.collect_list(F.struct("q", "d")).alias("told"))
-    left = _met(sides[0].join(told, "block", "left"), centres, metric, 0).join(first, ["block", "other"], "left_anti")
+    left = _met(sides[0].join(told, "block", "left"), centres, metric, 0, eps).join(first, ["block", "other"], "left_anti")
     rest = _compared_balls(left, *sides, k, metric, without_own)
     return _ranked_rows(near.drop("rk").unionByName(rest), k).select("q", "c", "d", "rk")
 
@@ -170,7 +174,7 @@ def _centres(index: DataFrame, metric: str) -> DataFrame:
     return index.select("block", "n", "mid", far).mapInArrow(gather, "others array<string>, ns array<long>, mids binary, fars array<double>")
 
 
-def _met(asked: DataFrame, centres: DataFrame, metric: str, rows: int) -> DataFrame:
+def _met(asked: DataFrame, centres: DataFrame, metric: str, rows: int, eps: float = 0.0) -> DataFrame:
     """block, other: balls that some query of a ball (qi, qk, told) meets. With rows, those whose centres are nearest to it until they have so many; else those that hold a key, by their bounds, as near as what the query was told."""
 
     def run(batches):
@@ -185,7 +189,7 @@ def _met(asked: DataFrame, centres: DataFrame, metric: str, rows: int) -> DataFr
                 else:
                     known = {t["q"]: t["d"] for t in told or ()}
                     most = np.array([known.get(i, np.inf) for i in ids.tolist()])
-                    lower = np.maximum(between - fars, 0)
+                    lower = np.maximum(between - fars, 0) * (1 + eps)
                     # Distances are rounded, and bounds are sums of rounded numbers.
                     near = (lower if metric == "l1" else lower * lower) * (1 - 1e-9) - 1e-8 <= most[:, None]
                     keep = np.nonzero(near.any(0))[0]
