@@ -59,15 +59,23 @@ def balls(x: np.ndarray, size: int = BLOCK) -> list[np.ndarray]:
 def _apart(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     """Distances (not squared) of rows of a and rows of b."""
     diff = a[:, None] - b[None]
+    if metric == "so2":
+        return wrapped(diff[..., -1])
     return np.abs(diff).sum(2) if metric == "l1" else np.sqrt((diff * diff).sum(2))
 
 
-def _blocks(keys: DataFrame, *chosen: str, sizes: tuple[int, ...] = ()) -> DataFrame:
+def wrapped(angle: np.ndarray) -> np.ndarray:
+    """How far apart two angles are that differ by `angle`, the short way round: 0 to pi."""
+    return np.abs((angle + np.pi) % (2 * np.pi) - np.pi)
+
+
+def _blocks(keys: DataFrame, *chosen: str, sizes: tuple[int, ...] = (), circle: bool = False) -> DataFrame:
     """Balls: side, block (a hash), ids, ks (little-endian 64-bit ids and doubles of up to BLOCK near keys of one partition), n, mid (the centre), far1, far2 (radius by l1 and l2). Null keys, or such that hold a null, have no neighbours.
 
     For each condition in `chosen` (by default all keys) there are balls of the keys for which it holds, with its number
     as their side, of its number of rows in `sizes` (by default BLOCK). They are made in one pass: filters would be pushed below the aggregation that makes the keys, so
-    that the sides couldn't read one exchange.
+    that the sides couldn't read one exchange. On a circle the key is its last number, an angle; near ones are
+    neighbours across the cut too, and centre and radius are an angle and the short way round.
     """
 
     sizes = sizes or (BLOCK,) * max(1, len(chosen))
@@ -76,9 +84,11 @@ def _blocks(keys: DataFrame, *chosen: str, sizes: tuple[int, ...] = ()) -> DataF
         t = pa.Table.from_batches(held).combine_chunks()
         ids, ks = t.column(0).to_numpy(), pa.concat_arrays(t.column(1).chunks).flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
         rows = []
-        for own in balls(ks, sizes[side]):
-            x, mid = ks[own], ks[own].mean(0)
-            far = [float(_apart(x, mid[None], m).max()) for m in ("l1", "l2")]
+        ks = ks[:, -1:] if circle else ks
+        for own in balls(np.hstack((np.cos(ks), np.sin(ks))) if circle else ks, sizes[side]):
+            x = ks[own]
+            mid = np.arctan2(np.sin(x).mean(0), np.cos(x).mean(0)) if circle else x.mean(0)
+            far = [float(_apart(x, mid[None], m).max()) for m in (("so2", "so2") if circle else ("l1", "l2"))]
             rows.append((side, ids[own].astype("<i8").tobytes(), x.astype("<f8").tobytes(), len(own), mid.astype("<f8").tobytes(), *far))
         return pa.record_batch([pa.array(c, pa.int32()) if k == 0 else pa.array(c) for k, c in enumerate(zip(*rows, strict=True))], names=["side", "ids", "ks", "n", "mid", "far1", "far2"])
 
@@ -101,9 +111,9 @@ def _blocks(keys: DataFrame, *chosen: str, sizes: tuple[int, ...] = ()) -> DataF
     return kept(packed.select(F.md5(F.concat("ids", "ks")).alias("block"), "*", F.lit(uuid.uuid4().hex).alias("call")).repartition("block"))
 
 
-def save_index(entries: DataFrame, path: str) -> None:
-    """entries: frame_id, k. Writes them as blocks, which load_index reads for searches without packing them again."""
-    _blocks(entries).write.mode("overwrite").parquet(path)
+def save_index(entries: DataFrame, path: str, circle: bool = False) -> None:
+    """entries: frame_id, k. Writes them as balls, which load_index reads for searches without packing them again; on a circle for so2."""
+    _blocks(entries, circle=circle).write.mode("overwrite").parquet(path)
 
 
 def load_index(spark: SparkSession, path: str) -> DataFrame:
@@ -111,12 +121,12 @@ def load_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def knn(queries: DataFrame, entries: DataFrame, k: int = 10, metric: str = "l2", without_own: bool = False, eps: float = 0.0) -> DataFrame:
-    """queries, entries: frame_id, k (arrays of one length). q, c, d, rk: the k nearest entries of each query; without_own leaves out those of the query's id. The metric is l1 or l2 (squared).
+    """queries, entries: frame_id, k (arrays of one length). q, c, d, rk: the k nearest entries of each query; without_own leaves out those of the query's id. The metric is l1, l2 (squared) or so2, the short way round between the keys' last numbers as angles; so3 is l2 of four numbers.
 
     With eps the search stops sooner: a query leaves out balls that can't hold a key nearer than its k-th so far by a
     factor of 1 + eps, so each of its distances is within that factor of the exact one of its rank.
     """
-    return knn_of_index(queries, _blocks(entries), k, metric, without_own, eps)
+    return knn_of_index(queries, _blocks(entries, circle=metric == "so2"), k, metric, without_own, eps)
 
 
 def knn_within(keys: DataFrame, asked: str, searched: str, k: int = 10, metric: str = "l2") -> DataFrame:
@@ -126,12 +136,12 @@ def knn_within(keys: DataFrame, asked: str, searched: str, k: int = 10, metric:
 
 
 def knn_of_index(queries: DataFrame, index: DataFrame, k: int = 10, metric: str = "l2", without_own: bool = False, eps: float = 0.0) -> DataFrame:
-    """knn, with the entries as load_index reads them."""
-    return _nearest(_blocks(queries, sizes=(ASKING,)), index, k, metric, without_own, eps)
+    """knn, with the entries as load_index reads them; so2 needs an index on a circle."""
+    return _nearest(_blocks(queries, sizes=(ASKING,), circle=metric == "so2"), index, k, metric, without_own, eps)
 
 
 def _nearest(asked: DataFrame, index: DataFrame, k: int, metric: str, without_own: bool, eps: float = 0.0) -> DataFrame:
-    if metric not in ("l1", "l2"):
+    if metric not in ("l1", "l2", "so2"):
         raise ValueError(f"no such metric: {metric}")
     sides = asked.select("block", F.col("ids").alias("qi"), F.col("ks").alias("qk")), index.select(F.col("block").alias("other"), "ids", "ks")
     if not eps and asked.count() * index.count() <= FEW_PAIRS:  # bounds would cost more than they spare
@@ -191,7 +201,7 @@ def _met(asked: DataFrame, centres: DataFrame, metric: str, rows: int, eps: floa
                     most = np.array([known.get(i, np.inf) for i in ids.tolist()])
                     lower = np.maximum(between - fars, 0) * (1 + eps)
                     # Distances are rounded, and bounds are sums of rounded numbers.
-                    near = (lower if metric == "l1" else lower * lower) * (1 - 1e-9) - 1e-8 <= most[:, None]
+                    near = (lower * lower if metric == "l2" else lower) * (1 - 1e-9) - 1e-8 <= most[:, None]
                     keep = np.nonzero(near.any(0))[0]
                 yield pa.record_batch([pa.array([block] * len(keep), pa.string()), pa.array([others[i] for i in keep.tolist()], pa.string())], names=["block", "other"])
 
@@ -217,7 +227,7 @@ def _near_rows(wide: DataFrame, k: int, metric: str, without_own: bool) -> DataF
                 d = np.empty((len(q), len(c)))
                 for i in range(len(q)):  # differences, as |a|^2 - 2ab + |b|^2 loses places
                     diff = c - q[i]
-                    d[i] = np.abs(diff).sum(1) if metric == "l1" else np.einsum("ij,ij->i", diff, diff)
+                    d[i] = np.einsum("ij,ij->i", diff, diff) if metric == "l2" else np.abs(diff).sum(1) if metric == "l1" else wrapped(diff[:, -1])
                 d = np.round(d, 9)
                 if without_own:
                     d[own[:, None] == ids] = np.inf

@@ -182,6 +182,14 @@ def radius_search(spark, sf_dir):
     return rounded(found)
 
 
+@query(f"""WITH {fx.POSES}, a AS (SELECT frame_id, yaw + roll AS k FROM poses), p AS (SELECT a.frame_id AS q, b.frame_id AS c, abs(a.k - b.k - 2*pi()*round((a.k - b.k)/(2*pi()))) AS d FROM a, a b WHERE a.frame_id <> b.frame_id),
+r AS (SELECT q, c, round(d, 9) AS d, row_number() OVER (PARTITION BY q ORDER BY round(d, 9), c) AS rk FROM p) SELECT q, c, {R('d', 'd')}, CAST(rk AS INTEGER) AS rk FROM r WHERE rk <= 10""")
+def knn_headings(spark, sf_dir):
+    """The ten frames with the nearest headings of each frame; headings are on a circle, so those beside its cut are near one another."""
+    keys = fx.poses(spark, sf_dir).select("frame_id", F.array(F.col("yaw") + F.col("roll")).alias("k"))
+    return rounded(retrieval.knn(keys, keys, 10, "so2", without_own=True))
+
+
 EPS = 0.5
 
 

@@ -371,7 +371,7 @@ def test_codes_all_to_all(spark):
     assert codes.compare_all(table.limit(0), table, rows, columns, 1).count() == 0
 
 
-@pytest.mark.parametrize("metric", ["l1", "l2"])
+@pytest.mark.parametrize("metric", ["l1", "l2", "so2"])
 @pytest.mark.parametrize(("own", "few"), [(False, 0), (True, 0), (True, 10_000)])
 def test_knn_by_balls_is_exact(spark, monkeypatch, metric, own, few):
     monkeypatch.setattr(retrieval, "BLOCK", 8)
@@ -388,7 +388,8 @@ def test_knn_by_balls_is_exact(spark, monkeypatch, metric, own, few):
         got.setdefault(r["q"], []).append((r["rk"], r["d"], r["c"]))
     for i in range(0, 320, 7):
         diff = np.abs(x - x[i])
-        d = np.round(diff.sum(1) if metric == "l1" else (diff * diff).sum(1), 9)
+        turn = np.arctan2(np.sin(x - x[i]), np.cos(x - x[i]))[:, -1]
+        d = np.round({"l1": diff.sum(1), "l2": (diff * diff).sum(1), "so2": np.abs(turn)}[metric], 9)
         near = sorted((float(v), j) for j, v in enumerate(d) if not own or j != i)[:5]
         assert sorted(got[i]) == [(n + 1, d, j) for n, (d, j) in enumerate(near)]
     some = e.filter("frame_id < 3")
