@@ -84,8 +84,9 @@ def interpolate(trace: DataFrame, times: DataFrame, columns: tuple[str, ...] = P
     edges = cut.groupBy("b").agg(F.min_by("p", F.when(~F.col("asked"), F.col("t"))).alias("first"), F.max_by("p", F.when(~F.col("asked"), F.col("t"))).alias("last"))
     order = Window.orderBy("b")
     sides = edges.select("b", F.last("last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("first", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
-    near = Window.partitionBy("b").orderBy("t")
-    found = cut.select("id", "t", "b", "asked", F.last("p", True).over(near.rangeBetween(Window.unboundedPreceding, 0)).alias("p0"), F.first("p", True).over(near.rangeBetween(0, Window.unboundedFollowing)).alias("p1")).filter("asked")
+    # Both ways as growing frames: one that shrinks is gone through anew for each row.
+    near, back = Window.partitionBy("b").orderBy("t"), Window.partitionBy("b").orderBy(F.desc("t"))
+    found = cut.select("id", "t", "b", "asked", F.last("p", True).over(near.rangeBetween(Window.unboundedPreceding, 0)).alias("p0"), F.last("p", True).over(back.rangeBetween(Window.unboundedPreceding, 0)).alias("p1")).filter("asked")
     found = found.join(F.broadcast(sides), "b", "left").select("id", "t", F.coalesce("p0", "before").alias("p0"), F.coalesce("p1", "after").alias("p1"))
     if clamp:
         found = found.select("id", "t", F.coalesce("p0", "p1").alias("p0"), F.coalesce("p1", "p0").alias("p1"))
