@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from terraloc.operators import codes, descriptors, images, retrieval
 
 PREFIX = "search."
+#: An index of fewer entries has no match for any query.
+LEAST_ENTRIES = 10
 
 
 class DescriptorModule(ABC):
@@ -74,6 +76,12 @@ class DescriptorModule(ABC):
         return best.select((-1 - F.col("q")).alias("q"), "c", "dist", self.yaw(), "rk")
 
 
+    def match(self, queries: DataFrame, index: DataFrame, least: int = LEAST_ENTRIES) -> DataFrame:
+        """The best of each query, as search has it; none of any query while the index has fewer than `least` entries."""
+        enough = index.agg((F.count("*") >= least).alias("enough")).filter("enough")
+        return self.search(queries, index, 1).crossJoin(F.broadcast(enough)).drop("enough")
+
+
 class ScanContext(DescriptorModule):
     """num_ring x num_sector matrices; frames without a point in reach have no descriptor. Ids of frames are 0 or more."""
 

@@ -110,6 +110,14 @@ def hamming_shift(spark, sf_dir):
     return rounded(codes.compare_codes(pairs, coded, 1, 64))
 
 
+@query(_code_sql("2e-2").replace("range(-2, 3) r(s)", "(SELECT a.range + 32*b.range AS s FROM range(-2, 3) a, range(2) b) r"))
+def hamming_both_ways(spark, sf_dir):
+    """hamming_shift about no turn and about half a turn; the better of the two."""
+    e, pairs = _embedding_pairs(spark, sf_dir)
+    coded = e.select("frame_id", _packed_bits(lambda v: v > 0).alias("t"), _packed_bits(lambda v: F.abs(v) < 0.02).alias("m"))
+    return rounded(codes.compare_codes(pairs, coded, 1, 64, opposite="both"))
+
+
 @query(_embedding_sql("(a.k[i] - b.k[i])*(a.k[i] - b.k[i])").rpartition(" SELECT q, c,")[0] + f""", h AS (SELECT q, c, CAST(s AS INTEGER) AS shift, round(list_sum(list_transform(range(0, 64), lambda i: abs(a.k[i // 8 * 8 + (i - s + 8) % 8 + 1] - b.k[i + 1]))), 9) AS dist
 FROM t JOIN e a ON a.frame_id = q JOIN e b ON b.frame_id = c, range(8) r(s) WHERE rk <= 10), g AS (SELECT *, row_number() OVER (PARTITION BY q, c ORDER BY dist, shift) AS n FROM h) SELECT q, c, {R('dist', 'dist')}, shift FROM g WHERE n = 1""")
 def l1_shift(spark, sf_dir):
@@ -377,8 +385,9 @@ def normal_equations(spark, sf_dir):
 PLACE_FRAMES = 20
 #: Where frames stand, within half a metre of their place's middle; even ones (queries) have turned left by 6 degrees a step.
 PLACE = {"x": "CAST((frame_id*frame_id*31 + frame_id*7) % 101 AS DOUBLE)/1e2 - 5e-1", "y": "CAST((frame_id*frame_id*17 + frame_id*13) % 103 AS DOUBLE)/1e2 - 5e-1", "z": "CAST((frame_id*frame_id*11 + frame_id*5) % 97 AS DOUBLE)/1e2 - 5e-1"}
-#: A map of fewer entries has no match for any query; so many map frames around the match are anchors.
-LEAST_ENTRIES, ANCHORS = 10, 8
+LEAST_ENTRIES = modules.LEAST_ENTRIES
+#: So many map frames around the match are anchors.
+ANCHORS = 8
 #: Clouds whose points lie this far apart after registration, in the mean, don't show the same place.
 ALIKE = 0.05
 
@@ -434,6 +443,14 @@ def localize(spark, sf_dir):
     return found.select("frame_id", F.when(F.col("ok"), F.col("match_place")).alias("match_place"), "ok", *((F.round(f"p{c}", 3) + 0.0).alias(f"p{c}") for c in "xyz"))
 
 
+@query(f"WITH {SHIFTS}, t AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, c) AS rk FROM aligned) SELECT q, c, {R('dist', 'dist')}, {R('radians(shift*6e0)', 'yaw')}, CAST(rk AS INTEGER) AS rk FROM t WHERE rk = 1 AND (SELECT count(*) FROM rk WHERE frame_id % 2 = 1) >= {modules.LEAST_ENTRIES}")
+def module_match(spark, sf_dir):
+    """The best match of each even frame among the odd ones, if these are enough to match with."""
+    module = modules.create("scancontext")
+    described = module.describe(fx.points(spark, sf_dir))
+    return rounded(module.match(described.filter("frame_id % 2 = 0"), described.filter("frame_id % 2 = 1")))
+
+
 DEEP = 12
 
 
