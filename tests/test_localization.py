@@ -296,7 +296,7 @@ def test_saved_index_finds_the_same(spark, tmp_path):
     got = retrieval.knn_of_index(e.filter("frame_id < 10"), retrieval.load_index(spark, str(tmp_path / "index")), 3)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, retrieval.knn(e.filter("frame_id < 10"), e.filter("frame_id > 9"), 3).collect()))
     with pytest.raises(ValueError):
-        retrieval.knn(e, e, metric="so2")
+        retrieval.knn(e, e, metric="none")
 
 
 def test_cosine_of_an_empty_row_is_null(spark):
