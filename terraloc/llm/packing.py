@@ -6,6 +6,10 @@ are shortest so far, where the state is a count for each pattern of lengths. A p
 among the pieces of a length, so that pieces find their sequence by (length, rank) alone. Ranks are counted in each
 task and completed by sums over (length, task), so that no length's pieces need to meet in one task.
 
+Middling lengths leave packs half empty (three of 700 don't fit in 2,048). While padding takes over WASTE of all tokens,
+the emptiest packs are given up and the ids of their pieces are poured, longest first, into the gaps of the others, which
+cuts these pieces anew. Where each falls follows from its length and rank, as all of one length lie side by side.
+
 Ids are those of the tokenizers library: texts of a plain range of characters are normalised and split here, and each
 distinct word is encoded once by the library; other texts go to the library whole. A vocabulary file that states other
 steps than these is refused.
@@ -34,6 +38,8 @@ from terraloc.llm.common import by_size, save, table
 
 SEQUENCE = 2048
 END = 1
+#: Share of padding up to which no document is cut to fill gaps.
+WASTE = 0.01
 CACHED_WORDS = 400_000
 #: The word pattern that the vocabulary file states.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -110,11 +116,11 @@ class Encoder:
         return [self.whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
 
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, place long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, place long, ids binary"
 
 
 def pieces(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENCE) -> DataFrame:
-    """PIECES of all documents; place is a piece's number among those of its length in its task."""
+    """PIECES of all documents; place is a piece's number among those of its length in its task, ids are those of pieces shorter than a sequence."""
     path = vocabulary or default_vocabulary()
     end = np.array([END], "<u4").tobytes()
 
@@ -128,10 +134,10 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUE
                 for a in range(0, n, sequence):
                     cut = ids[4 * a : 4 * (a + sequence)]
                     size = len(cut) // 4
-                    out.append((i, a, size, zlib.crc32(cut), n, part, seen[size]))
+                    out.append((i, a, size, zlib.crc32(cut), n, part, seen[size], cut if size < sequence else None))
                     seen[size] += 1
-            cols = list(zip(*out, strict=True)) if out else [[]] * 7
-            yield pa.record_batch([pa.array(c, pa.int32() if k == 5 else pa.int64()) for k, c in enumerate(cols)], names=[x.split()[0] for x in PIECES.split(", ")])
+            cols = list(zip(*out, strict=True)) if out else [[]] * 8
+            yield pa.record_batch([pa.array(c, {5: pa.int32(), 7: pa.binary()}.get(k, pa.int64())) for k, c in enumerate(cols)], names=[x.split()[0] for x in PIECES.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
@@ -159,6 +165,46 @@ def pack_histogram(counts: dict[int, int], sequence: int = SEQUENCE) -> list[tup
     return [p for packs in room for p in packs]
 
 
+def given_up(patterns: list[tuple[tuple[int, ...], int]], sequence: int = SEQUENCE, waste: float = WASTE) -> tuple[list[tuple[tuple[int, ...], int]], Counter]:
+    """The patterns that stay, fullest last, and how many pieces of each length are left to pour into their gaps: as many of the emptiest sequences go as bring padding down to `waste`."""
+    tokens, packs = sum(sum(p) * n for p, n in patterns), sum(n for _, n in patterns)
+    over = packs - max(-(-tokens // sequence), int(tokens / (sequence * (1 - waste))))
+    kept, loose = [], Counter()
+    for pattern, n in sorted(patterns, key=lambda p: (sum(p[0]), p[0])):
+        gone = min(n, max(over, 0))
+        over -= gone
+        for length in pattern:
+            loose[length] += gone
+        if n > gone:
+            kept.append((pattern, n - gone))
+    return kept, +loose
+
+
+class Gaps:
+    """What the patterns leave empty, widest first, as one run of places."""
+
+    def __init__(self, kept: list[tuple[tuple[int, ...], int]], sequence: int = SEQUENCE):
+        base, rows = 0, []
+        for pattern, n in kept:
+            rows.append((sequence - sum(pattern), base, n, sum(pattern)))
+            base += n
+        self.rows = sorted((r for r in rows if r[0]), reverse=True)
+        self.starts = np.cumsum([0, *(r[0] * r[2] for r in self.rows)])
+
+    def spans(self, at: int, length: int):
+        """Sequence, offset and length of each part of what lies at these places."""
+        k = int(np.searchsorted(self.starts, at, side="right")) - 1
+        while length:
+            room, base, n, used = self.rows[k]
+            copy, inside = divmod(at - int(self.starts[k]), room)
+            if copy == n:
+                k += 1
+                continue
+            size = min(length, room - inside)
+            yield base + copy, used + inside, size
+            at, length = at + size, length - size
+
+
 def slots(patterns: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     """Rows (length, first rank, first sequence, offset) by length and rank."""
     rank, base, out = Counter(), 0, []
@@ -177,19 +223,44 @@ def pack(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENC
     cut = save(pieces(docs, vocabulary, sequence), "pieces")
     per = save(cut.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")
     counts = {r.length: r.n for r in per.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `sequence` rows
-    found = slots(pack_histogram(counts, sequence))
+    kept, loose = given_up(pack_histogram(counts, sequence), sequence)
+    found, gaps = slots(kept), Gaps(kept, sequence)
+    placed = np.zeros(sequence + 1, np.int64)  # pieces of each length that stay in a pattern
+    poured, at = {}, 0
+    for length in sorted(counts, reverse=True):
+        placed[length] = counts[length] - loose[length]
+        poured[length], at = at, at + length * loose[length]
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = per.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    ranked = cut.join(first, ["length", "part"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("place")).alias("rank"))
+    own = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
+    names = [*own, "sequence_id", "offset"]
+    schema = ", ".join(f"{c} long" for c in names)
+    rank = (F.col("first") + F.col("place")).alias("rank")
 
     def run(batches):
         keys = found[:, 0] << 44 | found[:, 1]
         for b in batches:
             length, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
             at = found[np.searchsorted(keys, length << 44 | rank, side="right") - 1] if len(found) else found
-            yield pa.record_batch([*(b.column(k) for k in range(5)), pa.array(at[:, 2] + rank - at[:, 1]), pa.array(at[:, 3])], names=[*b.schema.names[:5], "sequence_id", "offset"])
+            yield pa.record_batch([*(b.column(k) for k in range(5)), pa.array(at[:, 2] + rank - at[:, 1]), pa.array(at[:, 3])], names=names).filter(pa.array(rank < placed[length]))
+
+    def pour(batches):
+        for b in batches:
+            out = []
+            for doc, start, length, ids, n, rank in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                done = 0
+                if rank >= placed[length]:
+                    for seq, offset, size in gaps.spans(poured[length] + (rank - int(placed[length])) * length, length):
+                        out.append((doc, start + done, size, zlib.crc32(ids[4 * done : 4 * (done + size)]), n, seq, offset))
+                        done += size
+            cols = list(zip(*out, strict=True)) if out else [[]] * 7
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=names)
 
-    return ranked.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    packed = cut.join(first, ["length", "part"]).select(*own, rank).mapInArrow(run, schema)
+    if not loose:
+        return packed
+    rest = cut.filter(F.col("length").isin(sorted(loose))).join(first, ["length", "part"])  # at most `sequence` lengths
+    return packed.unionByName(rest.select("doc_id", "start", "length", "ids", "doc_tokens", rank).mapInArrow(pour, schema))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -305,6 +305,46 @@ def test_packing(spark):
     assert ((g.groupby("sequence_id").length.cumsum() - g.length) == g.offset).all() and g.groupby("sequence_id").length.sum().max() <= 2048
 
 
+def check_packing(got, texts: dict) -> None:
+    """Pieces tile their documents and their sequences, and hold the library's ids."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(packing.default_vocabulary())
+    for i, own in got.sort_values("start").groupby("doc_id"):
+        ids = np.array([*lib.encode(texts[i], add_special_tokens=False).ids, 1], "<u4")
+        assert own.start.tolist() == [0, *own.length.cumsum().tolist()[:-1]] and own.length.sum() == len(ids)
+        assert [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(own.start, own.length, strict=True)] == own.ids_crc32.tolist()
+    assert set(got.doc_id) == set(texts)
+    g = got.sort_values(["sequence_id", "offset"])
+    assert ((g.groupby("sequence_id").length.cumsum() - g.length) == g.offset).all() and g.groupby("sequence_id").length.sum().max() <= 2048
+
+
+@pytest.mark.parametrize("words", [[699], [1199, 899], [1024, 511], [1500, 1400, 1300], [700, 680, 30, 3000]])
+def test_middling_lengths_are_poured_into_gaps(spark, words):
+    texts = {i: " ".join(["the"] * (words[i % len(words)] + i % 3)) for i in range(120)}
+    got = packing.pack(docs(spark, texts.items()).repartition(3)).toPandas()
+    check_packing(got, texts)
+    assert got.sequence_id.nunique() == got.sequence_id.max() + 1
+    assert 2048 * got.sequence_id.nunique() - got.length.sum() < 0.01 * 2048 * got.sequence_id.nunique() + 2048
+
+
+@pytest.mark.parametrize("counts", [{700: 1000}, {1200: 1000, 900: 1000}, {1025: 500, 512: 1000}, {2048: 3}, {5: 1}, {}])
+def test_few_sequences_for_middling_lengths(counts):
+    patterns = packing.pack_histogram(counts)
+    kept, loose = packing.given_up(patterns)
+    tokens, packs = sum(k * n for k, n in counts.items()), sum(n for _, n in kept)
+    assert sum(sum(p) * n for p, n in kept) + sum(k * n for k, n in loose.items()) == tokens
+    assert packs * 2048 - tokens <= max(0.03 * packs * 2048, 2047)
+    gaps, at, seen = packing.Gaps(kept), 0, {}
+    for length, n in loose.items():
+        for _ in range(n):
+            for seq, offset, size in gaps.spans(at, length):
+                assert 0 <= seq < packs and seen.setdefault(seq, offset) == offset
+                seen[seq] = offset + size
+                at += size
+    assert all(v <= 2048 for v in seen.values())
+
+
 def test_histogram_packing_uses_all_pieces():
     counts = {int(k): int(v) for k, v in zip(rng.integers(1, 2049, 300), rng.integers(1, 50, 300), strict=True)}
     patterns = packing.pack_histogram(counts)
