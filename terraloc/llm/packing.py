@@ -11,7 +11,7 @@ the emptiest packs are given up and the ids of their pieces are poured, longest
 cuts these pieces anew. Where each falls follows from its length and rank, as all of one length lie side by side.
 
 Ids are those of the tokenizers library: texts of a plain range of characters are normalised and split here, and each
-distinct word is encoded once by the library; other texts go to the library whole. A vocabulary file that states other
+distinct word is encoded once by the library's model; other texts go to the library whole. A vocabulary file that states other
 steps than these is refused.
 
 Defined cases: null texts are empty and give the one id END; repeated rows and equal texts are packed each for itself;
@@ -23,9 +23,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import zlib
 from collections import Counter
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,8 @@ WASTE = 0.01
 CACHED_WORDS = 400_000
 #: The word pattern that the vocabulary file states.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Bytes that byte-level vocabularies write as characters from 256 on, in their order.
+BYTES = {b: 256 + k for k, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 #: Beyond these, composition, lower case or white space may differ between the libraries.
 USUAL = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xA0, 0x100)])
 UNUSUAL = re.compile(r"[^\t-\r\x20-\x7e\xa0-įı-ɏ‐-‧€]")
@@ -73,34 +75,31 @@ class Encoder:
 
         spec = json.load(open(path, encoding="utf-8"))
         parts = [(spec[k] or {}).get(of, []) for k, of in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
-        if [p["type"] for x in parts for p in x] != ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] or parts[1][0]["pattern"].get("Regex") != WORD.pattern or spec["model"].get("end_of_word_suffix") != "</w>":
+        if [p["type"] for x in parts for p in x] != ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] or parts[1][0]["pattern"].get("Regex") != WORD.pattern or parts[1][1]["add_prefix_space"] or spec["model"].get("end_of_word_suffix") != "</w>":
             raise ValueError(f"{path} normalizes or cuts texts in another way than WORD")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        vocabulary = self.tokenizer.get_vocab()
-        self.final = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.final[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}  # by the pattern's words
         self.tokens: dict[str, bytes] = {}  # by what stands between white space
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def word(self, word: str) -> bytes:
+        """A word's ids by the model alone: nothing before it changes a word of a usual text but for its bytes' characters."""
+        plain = word if word.isascii() else word.encode().decode("latin-1").translate(BYTES)
+        ids = [t.id for t in self.model.tokenize(plain)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def learn(self, tokens: set[str]) -> None:
         tokens = list(tokens)
         parts = [(t,) if t.isalpha() else WORD.findall(t) for t in tokens]  # letters alone are one word
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
-        new = list({w for p in parts for w in p}.difference(self.words))
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            # One text of many words: each word ends in a token that the vocabulary marks as a word's end.
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.nonzero(self.final[ids])[0] + 1
-            raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
-            cut = [raw[a:b] for a, b in pairwise(at)] if len(ends) == len(some) else [self.whole(w) for w in some]
-            self.words.update(zip(some, cut, strict=True))
+        new = {w for p in parts for w in p}.difference(self.words)
+        self.words.update((w, self.word(w)) for w in new)
         get = self.words.__getitem__
         self.tokens.update(zip(tokens, [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in parts], strict=True))
 
