@@ -410,6 +410,13 @@ def test_balls_of_clustered_keys_are_pruned(spark):
     assert shares[0] < 0.3
 
 
+def test_balls_are_near_across_partitions(spark):
+    """Keys lie in no order over 16 partitions: balls made where keys lie are as wide as all space, and each query needs most of them."""
+    x = np.random.default_rng(16).uniform(-1, 1, (32_768, 3))
+    e = spark.createDataFrame([(i, p) for i, p in enumerate(x.tolist())], "frame_id long, k array<double>").repartition(16)
+    assert retrieval.met_share(e.filter("frame_id % 500 = 0"), e, 5) < 0.15
+
+
 def test_balls_keep_every_row():
     rng = np.random.default_rng(7)
     for n in (1, 8, 9, 100, 1000):
