@@ -290,6 +290,16 @@ def test_radius_join_by_hand(spark, monkeypatch):
     assert retrieval.radius_join(e.withColumnRenamed("c", "q"), e.limit(0), 4.0).count() == 0
 
 
+def test_radius_join_across_cubes(spark):
+    """Points far apart and on both sides of cubes' borders, of other types of ids."""
+    at = np.random.default_rng(17).uniform(-20, 20, (400, 3)) * [1.0, 1.0, 0.1]
+    e = spark.createDataFrame([(f"p{i}", *map(float, p)) for i, p in enumerate(at)], "c string, x double, y double, z double")
+    found = retrieval.radius_join(e.withColumnRenamed("c", "q"), e, 1.0)
+    got = {(r.q, r.c): r.d for r in found.collect()}
+    d = ((at[:, None] - at[None]) ** 2).sum(2)
+    assert set(got) == {(f"p{i}", f"p{j}") for i, j in zip(*np.nonzero(d < 1.0), strict=True)} and found.count() == len(got)
+
+
 def test_saved_index_finds_the_same(spark, tmp_path):
     e = spark.createDataFrame([(i, [float(i * i % 17), float(i % 5)]) for i in range(40)], "frame_id long, k array<double>")
     retrieval.save_index(e.filter("frame_id > 9"), str(tmp_path / "index"))
