@@ -201,11 +201,13 @@ def test_walls_that_meet_do_not_bend_the_motion(name):
 
 def test_few_points_are_compared_as_in_cells(monkeypatch):
     rng = np.random.default_rng(3)
-    a, b = rng.random((200, 3)) * 3, np.round(rng.random((300, 3)) * 3, 1)
+    a, b = rng.random((200, 3)), np.round(rng.random((300, 3)), 1)
     got = []
     for most in (0, 1000):
         monkeypatch.setattr(registration, "FEW_POINTS", most)
-        got.append(registration.Cells(b, 0.5).nearest(a, 4))
+        cells = registration.Cells(b, 0.5)
+        assert cells.whole == (most > 0)
+        got.append(cells.nearest(a, 4))
     assert all((x == y).all() for x, y in zip(*got, strict=True))
 
 
@@ -290,6 +292,17 @@ def test_localize_by_registration(spark, monkeypatch, least):
     assert np.abs(got[["px", "py", "pz"]].values - want).max() <= 1e-6
 
 
+def test_localize_goes_on_to_farther_candidates(spark, monkeypatch):
+    """Where the one candidate by key is the farthest entry, of another place, frames are sought again among more."""
+    near, some = retrieval.knn_of_index, "/root/testdata/sf0.01"
+    monkeypatch.setattr(localization, "CANDIDATES", 1)
+    monkeypatch.setattr(retrieval, "knn_of_index", lambda q, index, k: near(q, index, k) if k > 1 else near(q, index, 50).filter("rk = 50").withColumn("rk", F.lit(1)))
+    got = localization._localized(spark, some).toPandas().sort_values("frame_id")
+    truth = localization._stands(spark, some).filter("frame_id % 2 = 0").toPandas().sort_values("frame_id")
+    assert got["ok"].all() and (got["match_place"].values == truth["place"].values).all()
+    assert np.abs(got[["px", "py", "pz"]].values - truth[["x", "y", "z"]].values).max() <= 1e-6
+
+
 def test_localize_needs_the_right_place(spark, monkeypatch):
     """With places of three frames most queries' own place has too few map frames, and a wrong one's clouds don't register."""
     monkeypatch.setattr(localization, "LEAST_ENTRIES", 1)
