@@ -70,7 +70,8 @@ def kitti_scan(spark, sf_dir):
 
     def pack(batches):
         for b in batches:
-            content = [np.array([[p[c] for c in ("x", "y", "z", "intensity")] for p in frame], "<f4").tobytes() for frame in b.column(1).to_pylist()]
+            # A frame at a time, so that memory doesn't grow with the frames of a batch.
+            content = [np.stack([frame.values.field(c).to_numpy() for c in ("x", "y", "z", "intensity")], 1).astype("<f4").tobytes() for frame in b.column(1)]
             yield pa.record_batch([b.column(0), pa.array(content, pa.binary())], names=["path", "content"])
 
     az = F.atan2("y", "x")
@@ -112,9 +113,15 @@ def pcd_scan(spark, sf_dir):
             body = np.array([len(packed), len(plain)], "<u4").tobytes() + packed
         return head.format(len(p), kind).encode() + body
 
+    def points_of(frame):  # a frame at a time, so that memory doesn't grow with the frames of a batch
+        p = np.empty(len(frame), point)
+        for c in point.names:
+            p[c] = frame.field(c).to_numpy()
+        return p
+
     def pack(batches):
         for b in batches:
-            content = [encoded(i, np.array([tuple(q[c] for c in point.names) for q in frame], point)) for i, frame in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            content = [encoded(i, points_of(frame.values)) for i, frame in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
             yield pa.record_batch([pa.array([f"{i}.pcd" for i in b.column(0).to_pylist()]), pa.array(content, pa.binary())], names=["path", "content"])
 
     own = F.struct("pt", "x", "y", "z", "intensity", (F.col("pt") % 32).alias("ring"), (F.col("pt") / 10.0).alias("time"))

@@ -300,10 +300,10 @@ def write_files(rows: DataFrame, folder: str) -> None:
         system, where = fs.FileSystem.from_uri(folder)
         system.create_dir(where, recursive=True)
         for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 hidden = posixpath.join(where, f"_{uuid.uuid4().hex}.tmp")
                 with system.open_output_stream(hidden) as out:
-                    out.write(content)
+                    out.write(content.as_buffer())
                 system.move(hidden, posixpath.join(where, name))
             yield pa.record_batch([pa.array([b.num_rows], pa.int64())], names=["n"])
 
