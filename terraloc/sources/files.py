@@ -239,6 +239,14 @@ def descriptor_file(rows: list[dict], suffix: str = "") -> bytes:
 
 def parse_descriptors(data: bytes) -> list[dict]:
     """Rows of a descriptor file; wrong numbers in its header or a short file raise ValueError."""
+    return _plain(_records(data))
+
+
+def _plain(rows: np.ndarray) -> list[dict]:
+    return [{"name": r["name"].decode(), **{c: float(r[c]) for c in RECORD.names[1:-1]}, "data": r["data"].tolist()} for r in rows]
+
+
+def _records(data: bytes) -> np.ndarray:
     size = struct.calcsize(HEADER)
     if len(data) < size:
         raise ValueError("short header")
@@ -247,10 +255,11 @@ def parse_descriptors(data: bytes) -> list[dict]:
         raise ValueError("no descriptor file")
     if len(data) < size + count * RECORD.itemsize:
         raise ValueError("file ends early")
-    rows = np.frombuffer(data, RECORD, count, size)
-    return [{"name": r["name"].decode(), **{c: float(r[c]) for c in RECORD.names[1:-1]}, "data": r["data"].tolist()} for r in rows]
+    return np.frombuffer(data, RECORD, count, size)
 
 
+#: Descriptors that become an Arrow batch.
+READ_ROWS = 256
 DESCRIPTOR = "path string, name string, timestamp double, x double, y double, z double, roll double, pitch double, yaw double, data array<float>"
 
 
@@ -261,7 +270,9 @@ def read_descriptors(spark: SparkSession, path: str) -> DataFrame:
         schema = pa.schema([("path", pa.string()), ("name", pa.string()), *((c, pa.float64()) for c in RECORD.names[1:-1]), ("data", pa.list_(pa.float32()))])
         for b in batches:
             for p, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                yield pa.RecordBatch.from_pylist([{"path": p, **r} for r in parse_descriptors(content.as_py())], schema)
+                rows = _records(content.as_py())
+                for at in range(0, len(rows), READ_ROWS):
+                    yield pa.RecordBatch.from_pylist([{"path": p, **r} for r in _plain(rows[at : at + READ_ROWS])], schema)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, DESCRIPTOR)
 
