@@ -474,6 +474,30 @@ def test_balls_keep_every_row():
             assert sum(len(g) < 8 for g in groups) <= 1
 
 
+@pytest.mark.parametrize("n, share", [(1, 1.0), (3, 1.0), (3, 0.0), (60, 1.0)])
+def test_codes_are_aligned_only_where_numbers_of_bits_allow(spark, monkeypatch, n, share):
+    """The n nearest by bounds are those of all alignments, whether few pairs are left (share 1) or all meet in blocks (0), and far fewer pairs are aligned."""
+    monkeypatch.setattr(codes, "PAIRWISE", share)
+    monkeypatch.setattr(codes, "COUNTED", 16)
+    rng = np.random.default_rng(21)
+    rows, columns, some = 70, 40, []
+    for i in range(48):
+        t, m = rng.random((rows, columns)) < rng.uniform(0.1, 0.9, (rows, 1)), rng.random((rows, columns)) < 0.01 * (i % 3)
+        some += [(i, t, m), (100 + i, np.roll(t ^ (rng.random((rows, columns)) < 0.01), 5, 1), m)]
+    some += [(300, some[0][1], np.ones((rows, columns), bool))]
+    table = spark.createDataFrame([(i, bytearray(np.packbits(t).tobytes()), bytearray(np.packbits(m).tobytes())) for i, t, m in some] + [(301, None, None)], "frame_id long, t binary, m binary")
+    asked, searched = table.filter("frame_id >= 100"), table.filter("frame_id < 100")
+    best = lambda df: sorted((r.q, r.rk, r.c, r.dist, r["shift"]) for r in retrieval.top(df.filter("not isnan(dist)"), n).collect())
+    exact = codes.compare_all(asked, searched, rows, columns, 2)
+    found = codes.nearest_codes(asked, searched, rows, columns, n, 2)
+    assert best(found) == best(exact)
+    if n == 1:  # the third nearest is as far as any other
+        assert found.filter("q < 300").count() < 48 * 48 / 4
+    pairs = codes.nearest_of_pairs(exact.select("q", "c"), table, rows, columns, n, shift="spectral")
+    assert best(pairs) == best(exact)
+    assert n > 1 or pairs.filter("q < 300").count() < 48 * 48 / 4
+
+
 @pytest.mark.parametrize("hide", [0.0, 0.2])
 def test_pruned_code_search_finds_the_nearest(spark, hide):
     rng = np.random.default_rng(8)
