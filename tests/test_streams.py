@@ -1,8 +1,10 @@
 """Streamed rings and thinning equal those of whole frames, however the stream is cut."""
 
 from datetime import UTC, datetime, timedelta
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 
 from terraloc.operators import features, scans
 from terraloc.streaming import scans as streamed
@@ -63,3 +65,22 @@ def test_late_rows_and_an_empty_stream(spark, tmp_path):
     ahead = [(5, 1, 1.0, -1.0, 0.0, START + timedelta(hours=2), None)]
     got = run(spark, tmp_path, [ahead, rows, []], late="1 minute", keep="1 minute")
     assert got == {(5, 1): (-1, 1)}
+
+
+def test_a_batch_reads_and_writes_one_state(spark):
+    """A frame's batch costs two calls to the state, and one timer for all batches, which is set again when newer points came."""
+    calls, held, timers = [], {}, []
+
+    def value(name, schema):
+        return SimpleNamespace(get=lambda: calls.append("get") or held.get(name), update=lambda v: calls.append("update") or held.update({name: v}), clear=lambda: held.pop(name, None))
+
+    scan = streamed.FrameScan(2.0, 1000, 1)
+    scan.init(SimpleNamespace(getValueState=value, registerTimer=timers.append))
+    points = pd.DataFrame(cloud(1, 60), columns=["frame_id", "pt", "x", "y", "z", "ts", "ring"]).assign(ms=lambda d: d.pt)
+    out = [list(scan.handleInputRows((0,), iter([points[points.pt % 3 == k]]), None)) for k in (1, 2, 0)]
+    assert calls == ["get", "update"] * 3 and timers == [58 + 1000]
+    rows = pd.concat([x for part in out for x in part])
+    assert {(0, r.pt): (r.ring, r.kept) for r in rows.itertuples()} == whole(spark, cloud(1, 60))
+    at = lambda now: (SimpleNamespace(getCurrentWatermarkInMs=lambda: now), SimpleNamespace(getExpiryTimeInMs=lambda: 1058))
+    assert list(scan.handleExpiredTimer((0,), *at(1059))) == [] and held and timers == [1058, 1060]
+    assert list(scan.handleExpiredTimer((0,), *at(1060))) == [] and not held
