@@ -34,13 +34,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terraloc.llm.common import by_size, save, table
+from terraloc.llm.common import by_size, give_back, save, table
 
 SEQUENCE = 2048
 END = 1
 #: Share of padding up to which no document is cut to fill gaps.
 WASTE = 0.01
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 #: The word pattern that the vocabulary file states.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Bytes that byte-level vocabularies write as characters from 256 on, in their order.
@@ -137,6 +137,8 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUE
                     seen[size] += 1
             cols = list(zip(*out, strict=True)) if out else [[]] * 8
             yield pa.record_batch([pa.array(c, {5: pa.int32(), 7: pa.binary()}.get(k, pa.int64())) for k, c in enumerate(cols)], names=[x.split()[0] for x in PIECES.split(", ")])
+        del encoder
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 

@@ -234,7 +234,7 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     fps = save(fingerprints(docs), "fps")
     nodes = save(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     comps = components(links(nodes))
-    named = save(nodes.join(comps, nodes.node == comps.u, "left").select("fp", F.coalesce("component", "node").alias("component_id")), "comps")
+    named = save(nodes.join(comps.hint("merge"), nodes.node == comps.u, "left").select("fp", F.coalesce("component", "node").alias("component_id")), "comps")
     return salted_join(fps, named, ["fp"], deal="doc_id").select("doc_id", "fp", "text_hash", "component_id")
 
 
@@ -246,7 +246,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     id_name, hash_name = fresh(docs, "gone_id", "gone_hash")
     gone = salted_join(found.withColumn("first_id", F.col("component_id")), first, ["first_id"], deal="doc_id")
     gone = gone.filter((F.col("doc_id") != F.col("component_id")) | (F.col("text_hash") != F.col("least")))
-    gone = gone.select(F.col("doc_id").alias(id_name), F.col("text_hash").alias(hash_name))
+    gone = gone.select(F.col("doc_id").alias(id_name), F.col("text_hash").alias(hash_name)).hint("merge")
     return docs.join(gone, (docs["doc_id"].cast("long") == F.col(id_name)) & (F.xxhash64(F.coalesce(docs["text"].cast("binary"), F.lit(b""))) == F.col(hash_name)), "left_anti")
 
 

@@ -19,14 +19,16 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloc.llm.common import table
+from terraloc.llm.common import give_back, table
 
 TRAIN_DOCS = 6000
 TRAIN_BYTES = 64 << 20
@@ -36,7 +38,7 @@ LEAST_DF = 6
 LEAST_Z = 4.0
 THRESHOLD = 0.7
 PREFIXES = range(3, 8)
-CACHED_WORDS = 300_000
+CACHED_WORDS = 50_000
 BUCKETS = 1 << 22
 SENTENCE = re.compile(r"[^.!?\n]+")
 NOT_LETTER = re.compile(r"[\W\d_]+")
@@ -118,7 +120,7 @@ def fit(rows: list[tuple[str, int]], rounds: int = 300, rate: float = 0.1, l2: f
         return Model()
     index = {f: i for i, f in enumerate(names)}
     hits = _Hits(index)
-    in_of, row_of, col_of, plain, heads, doc_of = [], [], [], [], [], []  # a sentence is in a stretch, a stretch of a document
+    in_of, row_of, col_of, plain, heads, doc_of = (array("q") for _ in range(6))  # a sentence is in a stretch, a stretch of a document
     for d, (text, _) in enumerate(rows):
         heads.append(len(doc_of))
         doc_of.append(d)
@@ -129,8 +131,8 @@ def fit(rows: list[tuple[str, int]], rounds: int = 300, rate: float = 0.1, l2: f
                 plain.append(0)
             got = {f for w in words for f in hits[w]}
             if got:
-                row_of += [len(in_of)] * len(got)
-                col_of += [index[f] for f in got]
+                row_of.extend(repeat(len(in_of), len(got)))
+                col_of.extend(index[f] for f in got)
                 in_of.append(len(doc_of) - 1)
             else:
                 plain[-1] += 1
@@ -232,7 +234,9 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
             left -= sizes[k]
             fitting.append(k)
     sample = texts.join(ids(fitting), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    return fit([(r.text, picked[r.doc_id]) for r in sample.sort("doc_id").toLocalIterator()])
+    model = fit([(r.text, picked[r.doc_id]) for r in sample.sort("doc_id").toLocalIterator()])
+    give_back()  # the texts and their features, which the driver would hold through all later steps
+    return model
 
 
 def filter_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -245,6 +249,8 @@ def filter_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) ->
         for b in batches:
             keep = [score_text(x or "", model, hits)[0] < threshold for x in b.column(b.schema.names.index("text")).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
+        hits.clear()
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

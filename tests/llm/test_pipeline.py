@@ -101,3 +101,9 @@ def test_stages_equal_plain_versions(spark, tmp_path):
 def test_pipeline_over_tables_without_texts(spark, tmp_path, rows):
     write(spark, tmp_path, rows)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(rows)
+
+
+def test_near_dedup_broadcasts_no_table_that_grows_with_the_documents(spark):
+    docs = spark.createDataFrame([(i, words(30)) for i in range(20)], "doc_id long, text string")
+    plan = simhash.near_dedup(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
