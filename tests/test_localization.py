@@ -445,6 +445,39 @@ def test_knn_by_balls_is_exact(spark, monkeypatch, metric, own, few):
     assert retrieval.knn(q, e.filter("frame_id < 0"), 5, metric).count() == 0
 
 
+@pytest.mark.parametrize("metric", ["l1", "l2"])
+@pytest.mark.parametrize(("far", "size"), [(0.0, 1.0), (1e7, 1e-3), (0.0, 1e20), (0.0, 1e-30)])
+def test_single_precision_only_bounds(metric, far, size):
+    """Bounds hold for near keys far from the origin and for large and small ones, and are close to the distances; too large keys have none."""
+    rng = np.random.default_rng(31)
+    a, b = (far + rng.normal(0, size, (n, 64)) for n in (130, 70))
+    exact = np.array([np.abs(b - x).sum(1) if metric == "l1" else ((b - x) ** 2).sum(1) for x in a])
+    about = retrieval._at_least(a - b.mean(0), b - b.mean(0), metric)
+    if size == 1e20 and metric == "l2":
+        assert about is None
+        return
+    d, over = about
+    assert d.dtype == np.float32 and (d <= exact + 1e-8).all() and (exact <= d + over[:, None] + 1e-8).all()
+    assert (over <= 1e-3 * exact.mean() + 1e-8).all()
+
+
+@pytest.mark.parametrize("metric", ["l1", "l2"])
+def test_near_pairs_are_told_in_single_precision(monkeypatch, metric):
+    """A panel finds what all distances tell, whose differences it computes for few pairs; before, l1 and l2 were compared in double precision throughout."""
+    rng = np.random.default_rng(32)
+    x, mid = rng.normal(0, 1, (1100, 64)), np.zeros(64)
+    x[600] = x[5]
+    monkeypatch.setattr(retrieval, "_apart", lambda a, b, m, f=retrieval._apart: f(a, b, m) if len(a) == 1 else pytest.fail("all differences were computed"))
+    panel = retrieval._Panel(np.arange(100).astype("<i8").tobytes(), x[:100].tobytes(), None, 5, metric, True, 0.0)
+    for at in (100, 600):
+        panel.meet(np.arange(at, at + 500).astype("<i8").tobytes(), x[at : at + 500].tobytes(), mid.tobytes(), 1e3)
+    for i in range(100):
+        diff = x[100:] - x[i]
+        d = np.round(np.abs(diff).sum(1) if metric == "l1" else np.einsum("ij,ij->i", diff, diff), 9)
+        order = np.lexsort((np.arange(len(d)), d))[:5]
+        assert panel.c[i].tolist() == (order + 100).tolist() and panel.d[i].tolist() == d[order].tolist()
+
+
 def test_balls_of_clustered_keys_are_pruned(spark):
     rng = np.random.default_rng(6)
     centres = rng.uniform(-100, 100, (64, 20))
