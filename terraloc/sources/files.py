@@ -298,10 +298,12 @@ def write_trace(trace: DataFrame, path: str) -> None:
 
 
 def write_descriptors_text(cells: DataFrame, path: str) -> None:
-    """A folder per frame with a line per ring of its values in order of sector."""
+    """A folder per frame with a line per ring of its values in order of sector. Files, not bytes, are what takes time, so frames are dealt to a fixed number of tasks that Spark doesn't join by their small sizes."""
+    spark = cells.sparkSession
+    tasks = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     lines = cells.groupBy("frame_id", "ring").agg(F.sort_array(F.collect_list(F.struct("sector", "v"))).alias("r"))
     text = lines.select("frame_id", "ring", F.array_join(F.transform("r", lambda c: c["v"].cast("string")), " ").alias("value"))
-    text.repartition("frame_id").sortWithinPartitions("frame_id", "ring").select("frame_id", "value").write.partitionBy("frame_id").mode("overwrite").text(path)
+    text.repartition(tasks, "frame_id").sortWithinPartitions("frame_id", "ring").select("frame_id", "value").write.partitionBy("frame_id").mode("overwrite").text(path)
 
 
 def write_files(rows: DataFrame, folder: str) -> None:

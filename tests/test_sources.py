@@ -116,6 +116,14 @@ def test_results_and_traces_as_text(spark, tmp_path):
     assert [r["value"] for r in spark.read.text(str(tmp_path / "x")).collect()] == ["1.0 2.0", "5.0"]
 
 
+def test_frames_of_text_are_written_by_many_tasks(spark, tmp_path):
+    """A folder a frame takes time by files; before, Spark joined the few bytes of all frames into one task."""
+    rows = [(i, 0, 0, float(i)) for i in range(60)]
+    files.write_descriptors_text(spark.createDataFrame(rows, "frame_id long, ring int, sector int, v double"), str(tmp_path / "x"))
+    found = list((tmp_path / "x").rglob("part-*.txt"))
+    assert len(found) == 60 and len({p.name[:10] for p in found}) >= 4
+
+
 @pytest.mark.parametrize("name", sorted(modules.MODULES))
 def test_module_finds_the_same_frame(spark, name, tmp_path):
     points = fx.points(spark, SF).filter("frame_id < 6")
