@@ -461,6 +461,21 @@ def test_single_precision_only_bounds(metric, far, size):
     assert (over <= 1e-3 * exact.mean() + 1e-8).all()
 
 
+def test_panels_meet_centres_by_slices(spark, monkeypatch):
+    """Distances of a panel's queries from the balls' centres are held for some queries at a time; the neighbours are the same."""
+    monkeypatch.setattr(retrieval, "BLOCK", 8)
+    monkeypatch.setattr(retrieval, "PRODUCTS", 64)
+    rng = np.random.default_rng(33)
+    x = rng.normal(0, 1, (300, 3))
+    slices = list(retrieval._between(np.arange(300).astype("<i8").tobytes(), x.tobytes(), x[:20].tobytes(), 20, "l2"))
+    assert all(d.size <= 64 for _, d in slices)
+    assert np.allclose(np.concatenate([d for _, d in slices]), np.sqrt(((x[:, None] - x[:20]) ** 2).sum(2)))
+    e = spark.createDataFrame([(i, p) for i, p in enumerate(x.tolist())], "frame_id long, k array<double>")
+    got = {(r["q"], r["rk"]): r["c"] for r in retrieval.knn(e, e, 3).collect()}
+    order = np.argsort(np.round(((x[:, None] - x) ** 2).sum(2), 9), 1, kind="stable")[:, :3]
+    assert got == {(i, n + 1): int(order[i, n]) for i in range(300) for n in range(3)}
+
+
 @pytest.mark.parametrize("metric", ["l1", "l2"])
 def test_near_pairs_are_told_in_single_precision(monkeypatch, metric):
     """A panel finds what all distances tell, whose differences it computes for few pairs; before, l1 and l2 were compared in double precision throughout."""
