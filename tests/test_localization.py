@@ -612,3 +612,9 @@ def test_interpolation_of_a_crowded_day(spark):
         inside = {r["id"] for r in scans.interpolate(trace, times, ranges=ranges).collect()}
         assert inside == {i for i, a in enumerate(asked) if t[0] <= a <= t[-1]}
     assert scans.interpolate(trace.limit(0), times, clamp=True).count() == 0
+
+
+def test_every_embedding_is_asked_for_its_labels(spark):
+    sf = "/root/testdata/sf0.001"
+    got = QUERIES["knn_labels_recall"](spark, sf)
+    assert sorted(r.q for r in got.collect()) == sorted(r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect())
