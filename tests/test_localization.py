@@ -618,3 +618,26 @@ def test_every_embedding_is_asked_for_its_labels(spark):
     sf = "/root/testdata/sf0.001"
     got = QUERIES["knn_labels_recall"](spark, sf)
     assert sorted(r.q for r in got.collect()) == sorted(r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect())
+
+
+def test_few_packs_of_centres_meet_panels(spark, monkeypatch):
+    """The balls of an index in many parts come in as few packs as hold them (before: one a part, each of which met each panel's queries), and only those around a panel meet its queries."""
+    monkeypatch.setattr(retrieval, "BLOCK", 8)
+    monkeypatch.setattr(retrieval, "CHUNK", 32)
+    monkeypatch.setattr(retrieval, "ASKING", 16)
+    x = np.random.default_rng(34).uniform(-1, 1, (1500, 3))
+    e = spark.createDataFrame([(i, p) for i, p in enumerate(x.tolist())], "frame_id long, k array<double>")
+    index, asked = retrieval.index_of(e), retrieval._asked(retrieval._known(e.filter("frame_id % 10 = 0")), k=3)
+    panels, n = asked.count(), index.count()
+    packs = retrieval._centres(index, "l2", n)
+    assert index.rdd.getNumPartitions() > 4 and packs.count() == 1
+    told, met = retrieval._bounded(asked, index, 3, "l2", panels, n)
+    assert told.count() == panels and met.count() < 0.6 * panels * n
+    monkeypatch.setattr(retrieval, "CENTRES", 16)
+    assert retrieval._centres(index, "l2", n).count() > 1
+    want = np.argsort(np.round(((x[::10, None] - x) ** 2).sum(2), 9), 1, kind="stable")[:, :3]
+    for got in (retrieval.knn(e.filter("frame_id % 10 = 0"), e, 3), *retrieval.knn_stopped(e, "frame_id % 10 = 0", 3, (0.0, 0.0))):
+        assert {(r["q"], r["rk"]): r["c"] for r in got.collect()} == {(10 * i, j + 1): int(c) for i, row in enumerate(want) for j, c in enumerate(row)}
+    near = retrieval.knn_within(e, "frame_id % 10 = 0", "true", 3, reach=0.1).filter("d < 0.01")
+    d = np.sort(((x[::10, None] - x) ** 2).sum(2), 1)[:, :3]
+    assert near.count() == int((np.round(d, 9) < 0.01).sum())
