@@ -641,3 +641,11 @@ def test_few_packs_of_centres_meet_panels(spark, monkeypatch):
     near = retrieval.knn_within(e, "frame_id % 10 = 0", "true", 3, reach=0.1).filter("d < 0.01")
     d = np.sort(((x[::10, None] - x) ** 2).sum(2), 1)[:, :3]
     assert near.count() == int((np.round(d, 9) < 0.01).sum())
+
+
+def test_plans_of_localize_hold_no_earlier_rounds(spark, monkeypatch):
+    """A later round's plan held those of all rounds before it, several times each, which the driver keeps."""
+    near, some = retrieval.knn_of_index, "/root/testdata/sf0.01"
+    monkeypatch.setattr(localization, "CANDIDATES", 1)
+    monkeypatch.setattr(retrieval, "knn_of_index", lambda q, index, k: near(q, index, k) if k > 1 else near(q, index, 50).filter("rk = 50").withColumn("rk", F.lit(1)))
+    assert len(localization._localized(spark, some)._jdf.queryExecution().toString()) < 10_000
